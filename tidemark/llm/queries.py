@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ann, licenses, quality
 from .byte_bpe import token_digests
 from .exact_dedup import exact_dedup
 from .language_id import language_predictions
 from .mixing import mix_words
+from .secrets import secret_spans
 from .simhash import simhash_groups
+from .substring_dedup import repeats_removed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +23,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -35,11 +47,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: their source and language stand for directories."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_simhash, op5_byte_bpe, op6_mixing, op9_exact_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup)}
 
 #: White space as DuckDB's RE2 has it.
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
