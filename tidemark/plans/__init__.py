@@ -1,6 +1,6 @@
 """Inputs derived from the test tables, and the registered queries with their SQL twins."""
 
-from . import series
+from . import evaluation, series, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "series"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "series", "tables"]

@@ -52,12 +52,12 @@ class Inputs:
         return self.table("lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_shipdate") >= F.lit("1998-07-01").cast("timestamp")).alias("is_current"))
 
     def hist(self) -> DataFrame:
-        x = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"), F.col("l_quantity").cast("double").alias("size"))
+        x = F.struct(F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"), F.col("l_quantity").cast("double").alias("size"))
         return self.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(x)).alias("hist"))
 
     def book(self, levels: int = 10) -> DataFrame:
         """Order-book snapshots by supplier and year, wide: ``lob_{side}_{price,size}_N``."""
-        li = self.table("lineitem").select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("y"), F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"), F.col("l_quantity").alias("size"), "l_orderkey", "l_linenumber")
+        li = self.table("lineitem").select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("y"), F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"), F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), "l_orderkey", "l_linenumber")
         sign = F.when(F.col("side") == "bid", -1).otherwise(1)
         n = F.row_number().over(Window.partitionBy("k", "y", "side").orderBy(F.col("price") * sign, "l_orderkey", "l_linenumber"))
         li = li.withColumn("n", n).where(F.col("n") <= levels)
@@ -100,11 +100,11 @@ scored AS (SELECT l.doc_id, quality AS y_true, lang AS regime, CAST(n_chars % 99
 DRIFT = """
 drift AS (SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_shipdate >= TIMESTAMP '1998-07-01' AS is_current FROM lineitem)"""
 HIST = """
-hist AS (SELECT l_orderkey, l_extendedprice / l_quantity AS rate, CAST(l_quantity AS DOUBLE) AS size FROM lineitem)"""
+hist AS (SELECT l_orderkey, ln(l_extendedprice / l_quantity) AS rate, CAST(l_quantity AS DOUBLE) AS size FROM lineitem)"""
 BOOK = """
 levels AS (SELECT * FROM (SELECT l_suppkey AS k, year(l_shipdate) AS y, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
-    round(l_extendedprice / l_quantity, 4) AS price, l_quantity AS size,
-    row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate), l_linestatus ORDER BY round(l_extendedprice / l_quantity, 4) * CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END, l_orderkey, l_linenumber) AS n
+    ln(l_extendedprice / l_quantity) AS price, l_quantity AS size,
+    row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate), l_linestatus ORDER BY ln(l_extendedprice / l_quantity) * CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END, l_orderkey, l_linenumber) AS n
   FROM lineitem) WHERE n <= 10),
 snaps AS (SELECT k, y, coalesce(max(CASE WHEN side = 'bid' AND n = 1 THEN price END), max(CASE WHEN side = 'ask' AND n = 1 THEN price END)) AS close,
   max(CASE WHEN side = 'bid' AND n = 1 THEN price END) AS bid1, max(CASE WHEN side = 'ask' AND n = 1 THEN price END) AS ask1,
