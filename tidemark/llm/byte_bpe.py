@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
+from .common import id_back, id_text
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -34,7 +36,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class ByteCodec:
     """Encodes and decodes by the ranks of a file in tiktoken's form; pieces are the matches of ``pattern``."""
 
-    def __init__(self, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memory: int = 400_000):
+    def __init__(self, path: str | None = None, pattern: str = public_tokenizers.PATTERN, memory: int = 200_000):
         with open(path or public_tokenizers.path(RANKS), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         chars = byte_characters()
@@ -111,9 +113,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for x in frames:
             ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in c.encode_batch([t or "" for t in x.text])]
-            yield pd.DataFrame({"doc_id": x.doc_id, "ids": ids})
+            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "ids": ids})
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, ids array<int>")
+    return id_back(id_text(docs, "text").mapInPandas(batches, "doc_id string, ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -122,9 +124,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for x in frames:
-            yield pd.DataFrame({"doc_id": x.doc_id, "text": [None if i is None else c.decode(i) for i in x.ids]})
+            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "text": [None if i is None else c.decode(i) for i in x.ids]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(batches, "doc_id long, text string")
+    return id_back(id_text(encoded, "ids").mapInPandas(batches, "doc_id string, text string"))
 
 
 def token_digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -139,6 +141,6 @@ def token_digests(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
         c = codec(path)
         for x in frames:
             out = [(len(i) // 4, sha(i), sha(c.decode_bytes(i)), np.frombuffer(i, "<i4") if with_ids else None) for i in c.encode_batch([t or "" for t in x.text])]
-            yield pd.DataFrame(out, columns=names).assign(doc_id=x.doc_id.to_numpy())[["doc_id", *names[: 3 + with_ids]]]
+            yield pd.DataFrame(out, columns=names).assign(doc_id=x.doc_id.to_numpy(object))[["doc_id", *names[: 3 + with_ids]]]
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return id_back(id_text(docs, "text").mapInPandas(batches, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids))

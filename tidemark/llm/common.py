@@ -24,6 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, for whose session Arrow batches are 1,000 rows unless they have been set: texts are long, and a Python worker holds
+    whole batches."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return docs
+
+
+def id_text(docs: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id`` as text, for Python: pandas would turn integers among nulls into floats; with ``columns``."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), *columns)
+
+
+def id_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

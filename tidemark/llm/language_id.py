@@ -55,14 +55,14 @@ class LanguageModel:
 class Predictor:
     """Scores batches of texts; remembers up to ``memory`` words with their scores."""
 
-    def __init__(self, model: LanguageModel, memory: int = 400_000):
+    def __init__(self, model: LanguageModel, memory: int = 150_000):
         self.model, self.memory = model, memory
         self.forget()
 
     def forget(self) -> None:
         self.rows, self.scores = dict(self.model.words), self.model.logs[: len(self.model.words)]
 
-    def predict(self, texts: list[str | None], step: int = 1 << 21) -> Iterator[tuple[str, float]]:
+    def predict(self, texts: list[str | None], step: int = 1 << 20) -> Iterator[tuple[str, float]]:
         i = 0
         while i < len(texts):
             part, size = [], 0

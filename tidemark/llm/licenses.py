@@ -7,11 +7,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, id_back, id_text, written
 
 #: Notices as they stand in file headers and licence files (fixed texts; pass others as ``templates``).
 TEMPLATES = {
@@ -94,7 +95,8 @@ def term_counts(docs: DataFrame, templates: Mapping[str, list[str]]) -> tuple[di
             for text in x.text:
                 n.update(terms.intersection(tokens(text or "")))
                 n[""] += 1
-        yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     found = {r.term: r.n for r in docs.select("text").mapInPandas(batches, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return found, found.pop("", 0)
@@ -119,9 +121,10 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least:
                 whole = t.best(tokens(text or ""), least)
                 found = whole or t.header(text or "", least)
                 out.append((found[1], found[0], "file" if whole else "header") if found else (None, None, None))
-            yield pd.concat([x[["doc_id", "path"]], pd.DataFrame(out, columns=["license", "score", "kind"], index=x.index)], axis=1)
+            names, scores, kinds = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "path": x.path.to_numpy(object), "license": np.array(names, object), "score": np.array(scores, float), "kind": np.array(kinds, object)})
 
-    own = docs.select("doc_id", "path", "text").mapInPandas(batches, "doc_id long, path string, license string, score double, kind string")
+    own = id_back(id_text(docs, "path", "text").mapInPandas(batches, "doc_id string, path string, license string, score double, kind string"))
     own = written(own.withColumn("score", F.nanvl("score", F.lit(None))).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "own")
     files = own.where("kind = 'file' and path is not null").groupBy("dir")
     files = files.agg(F.min(F.struct((-F.col("score")).alias("far"), F.col("path").alias("licensed_by"), F.col("license"))).alias("x")).select("dir", "x.licensed_by", "x.license")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, licenses, quality
 from .byte_bpe import token_digests
+from .common import in_small_batches
 from .exact_dedup import exact_dedup
 from .language_id import language_predictions
 from .mixing import mix_words
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return in_small_batches(table(spark, sf_dir, "documents"))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, id_back, id_text, written
 from .components import components
 
 #: Of the alternating bits 0, 2, 4, ...
@@ -39,9 +39,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"doc_id": x.doc_id, "f": np.array([fingerprint(t, words) for t in x.text], np.int64)})
+            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "f": np.array([fingerprint(t, words) for t in x.text], np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, f long")
+    return id_back(id_text(docs, "text").mapInPandas(batches, "doc_id string, f long"))
 
 
 def thermometer(f: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_back, id_text, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,11 +158,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
                     np.subtract.at(gone, np.asarray(starts) + window, 1)
                 stay = np.cumsum(gone[:-1]) == 0
                 out.append((len(words), int((~stay).sum()), b" ".join([w for w, k in zip(words, stay.tolist(), strict=True) if k]).decode()))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"]).assign(doc_id=x.doc_id.to_numpy())[["doc_id", "n_words", "n_removed", "kept"]]
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"]).assign(doc_id=x.doc_id.to_numpy(object))[["doc_id", "n_words", "n_removed", "kept"]]
 
     keyed = docs.select("doc_id", "text", _key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("version"))
-    found = keyed.join(earlier_windows(docs, window, **options), ["key", "version"], "left").select("doc_id", "text", "starts")
-    return found.mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
+    found = keyed.join(earlier_windows(docs, window, **options), ["key", "version"], "left")
+    return id_back(id_text(found, "text", "starts").mapInPandas(strip, "doc_id string, n_words long, n_removed long, kept string"))
 
 
 def repeats_removed(docs: DataFrame, **options) -> DataFrame:
