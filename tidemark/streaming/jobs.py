@@ -73,7 +73,7 @@ def stateful(df: DataFrame, step: Callable[[tuple | None, float], tuple[tuple, f
             out.append((keys[0], us, y))
         s.update((json.dumps(held), json.dumps(memory)))
         if held:
-            s.setTimeoutTimestamp(max(int(max(held)[0] // 1000) + 1, s.getCurrentWatermarkMs() + 1))
+            s.setTimeoutTimestamp(max(min(held)[0] // 1000 + 1, s.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["symbol", "us", "out"])
 
