@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,18 @@ from .fixtures import BARS, BARS_15M, BARS_ZERO, DERIV, Inputs
 from .registry import query
 
 KEYS = ["symbol", "ts"]
-BY = series()
+
+
+class Lazy:
+    """Columns and the window of a series, made when they are asked for: modules are imported before there is a session."""
+
+    NAMES = {"C": "close", "V": "volume", "Q": "quote_asset_volume", "TB": "taker_buy_base", "TQ": "taker_buy_quote"}
+
+    def __getattr__(self, name: str):
+        return series() if name == "BY" else F.col(self.NAMES[name])
+
+
+X = Lazy()
 P = "PARTITION BY symbol ORDER BY ts"
 
 
@@ -24,12 +37,12 @@ def full(agg: str, x: str, w: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {rows(w)} >= {w if least is None else least} THEN {agg}({x}) {rows(w)} END"
 
 
-def on_bars(name: str, outputs: dict[str, object], sql: dict[str, str], source: str = "bars", ctes: str = BARS, base: dict[str, str] | None = None) -> None:
+def on_bars(name: str, outputs: Callable[[], dict], sql: dict[str, str], source: str = "bars", ctes: str = BARS, base: dict[str, str] | None = None) -> None:
     """One query whose outputs are column expressions over a series, with its twin."""
 
     def run(s: Inputs) -> DataFrame:
         df = getattr(s, source)()
-        return df.select(*KEYS, *[(c() if callable(c) else c).alias(n) for n, c in outputs.items()])
+        return df.select(*KEYS, *[(c() if callable(c) else c).alias(n) for n, c in outputs().items()])
 
     inner = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in base.items())} FROM {source})" if base else source
     query(name, f"SELECT symbol, ts, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM {inner}", " ".join(sql), ctes=ctes)(run)
@@ -38,41 +51,40 @@ def on_bars(name: str, outputs: dict[str, object], sql: dict[str, str], source:
 query("ts5_bars_1h", "SELECT * FROM bars", "open high low close volume quote_asset_volume taker_buy_base taker_buy_quote", "number_of_trades", BARS)(lambda s: s.bars())
 query("ts5_bars_15m", "SELECT * FROM bars_15m", "open high low close volume quote_asset_volume", "number_of_trades", BARS_15M)(lambda s: s.bars_15m().drop("taker_buy_base", "taker_buy_quote"))
 
-C, V, Q, TB, TQ = (F.col(c) for c in ("close", "volume", "quote_asset_volume", "taker_buy_base", "taker_buy_quote"))
 HOUR, MINUTE, DAY = "(ts // 3600 % 24)", "(ts // 60 % 1440)", "((ts // 86400 + 3) % 7)"
-on_bars("scl3_4_time_features", S.time_features(F.col("ts")), {
+on_bars("scl3_4_time_features", lambda: S.time_features(F.col("ts")), {
     **{f"time_{n}_{f}": f"{f}({v} * (2 * pi() / {k}))" for n, v, k in (("minute", MINUTE, 1440), ("hour", HOUR, 24), ("dow", DAY, 7)) for f in ("sin", "cos")},
     "time_is_day": f"CAST({HOUR} >= 8 AND {HOUR} < 20 AS DOUBLE)", "time_is_night": f"CAST(NOT ({HOUR} >= 8 AND {HOUR} < 20) AS DOUBLE)",
     "time_is_weekend": f"CAST({DAY} >= 5 AS DOUBLE)", "time_is_weekday": f"CAST({DAY} < 5 AS DOUBLE)",
 })
 ZERO = f"{BARS},{BARS_ZERO}"
-on_bars("scl5_order_flow", {"tbr_base": S.taker_flow(TB, V)[0], "ofi_base": S.taker_flow(TB, V)[1], "ofi_quote": S.taker_flow(TQ, Q)[1]}, {"tbr_base": "taker_buy_base / nullif(volume, 0)", "ofi_base": "2 * (taker_buy_base / nullif(volume, 0)) - 1", "ofi_quote": "2 * (taker_buy_quote / nullif(quote_asset_volume, 0)) - 1"}, "bars_zero", ZERO)
-on_bars("scl6_vwap_distance", {"rel_close_vwap": S.vwap_distance(C, Q, V)}, {"rel_close_vwap": "abs(close - quote_asset_volume / nullif(volume, 0)) / nullif(quote_asset_volume / nullif(volume, 0), 0)"}, "bars_zero", ZERO)
-on_bars("scl7_taker_buy_sell", {"ratio": S.taker_buy_sell(TB, V)}, {"ratio": "taker_buy_base / nullif(volume - taker_buy_base, 0)"}, "bars_zero", ZERO)
-on_bars("scl8_liquidations", S.liquidation(F.col("liq_long"), F.col("liq_short"), F.col("open_interest")), {"deriv_liq_total": "liq_long + liq_short", "deriv_liq_net": "liq_long - liq_short", "deriv_liq_rel_oi": "(liq_long + liq_short) / nullif(open_interest, 0)"}, "deriv", f"{BARS},{DERIV}")
+on_bars("scl5_order_flow", lambda: {"tbr_base": S.taker_flow(X.TB, X.V)[0], "ofi_base": S.taker_flow(X.TB, X.V)[1], "ofi_quote": S.taker_flow(X.TQ, X.Q)[1]}, {"tbr_base": "taker_buy_base / nullif(volume, 0)", "ofi_base": "2 * (taker_buy_base / nullif(volume, 0)) - 1", "ofi_quote": "2 * (taker_buy_quote / nullif(quote_asset_volume, 0)) - 1"}, "bars_zero", ZERO)
+on_bars("scl6_vwap_distance", lambda: {"rel_close_vwap": S.vwap_distance(X.C, X.Q, X.V)}, {"rel_close_vwap": "abs(close - quote_asset_volume / nullif(volume, 0)) / nullif(quote_asset_volume / nullif(volume, 0), 0)"}, "bars_zero", ZERO)
+on_bars("scl7_taker_buy_sell", lambda: {"ratio": S.taker_buy_sell(X.TB, X.V)}, {"ratio": "taker_buy_base / nullif(volume - taker_buy_base, 0)"}, "bars_zero", ZERO)
+on_bars("scl8_liquidations", lambda: S.liquidation(F.col("liq_long"), F.col("liq_short"), F.col("open_interest")), {"deriv_liq_total": "liq_long + liq_short", "deriv_liq_net": "liq_long - liq_short", "deriv_liq_rel_oi": "(liq_long + liq_short) / nullif(open_interest, 0)"}, "deriv", f"{BARS},{DERIV}")
 
-on_bars("win1_sma", {"sma14": windows.sma(C)}, {"sma14": full("avg", "close", 14)})
+on_bars("win1_sma", lambda: {"sma14": windows.sma(X.C)}, {"sma14": full("avg", "close", 14)})
 RSI_BASE = {"ch": f"coalesce(close - lag(close) OVER ({P}), 0)"}
 UP, DOWN = full("avg", "greatest(ch, 0)", 14), full("avg", "greatest(-ch, 0)", 14)
-on_bars("win3_rsi", {"rsi14": windows.rsi(C)}, {"rsi14": f"CASE WHEN {DOWN} > 0 THEN 100 - 100 / (1 + ({UP}) / ({DOWN})) WHEN {UP} > 0 THEN 100 END"}, base=RSI_BASE)
-on_bars("win4_delta", {"d_tbr_base": lambda: delta(S.taker_flow(TB, V)[0], BY)}, {"d_tbr_base": f"t - lag(t) OVER ({P})"}, "bars_zero", ZERO, {"t": "taker_buy_base / nullif(volume, 0)"})
-on_bars("win5_z_volume", {"z_volume": z_score(F.nullif(V, F.lit(0.0)), 36, BY)}, {"z_volume": f"(v - ({full('avg', 'v', 36)})) / nullif({full('stddev_samp', 'v', 36)}, 0)"}, base={"v": "nullif(volume, 0)"})
-FLOW = {"ofi_base": (lambda: S.taker_flow(TB, V)[1]), "ofi_quote": (lambda: S.taker_flow(TQ, Q)[1]), "tbr_base": (lambda: S.taker_flow(TB, V)[0])}
+on_bars("win3_rsi", lambda: {"rsi14": windows.rsi(X.C)}, {"rsi14": f"CASE WHEN {DOWN} > 0 THEN 100 - 100 / (1 + ({UP}) / ({DOWN})) WHEN {UP} > 0 THEN 100 END"}, base=RSI_BASE)
+on_bars("win4_delta", lambda: {"d_tbr_base": lambda: delta(S.taker_flow(X.TB, X.V)[0], X.BY)}, {"d_tbr_base": f"t - lag(t) OVER ({P})"}, "bars_zero", ZERO, {"t": "taker_buy_base / nullif(volume, 0)"})
+on_bars("win5_z_volume", lambda: {"z_volume": z_score(F.nullif(X.V, F.lit(0.0)), 36, X.BY)}, {"z_volume": f"(v - ({full('avg', 'v', 36)})) / nullif({full('stddev_samp', 'v', 36)}, 0)"}, base={"v": "nullif(volume, 0)"})
+FLOW = {"ofi_base": (lambda: S.taker_flow(X.TB, X.V)[1]), "ofi_quote": (lambda: S.taker_flow(X.TQ, X.Q)[1]), "tbr_base": (lambda: S.taker_flow(X.TB, X.V)[0])}
 FLOW_SQL = {"ofi_base": "2 * (taker_buy_base / nullif(volume, 0)) - 1", "ofi_quote": "2 * (taker_buy_quote / nullif(quote_asset_volume, 0)) - 1", "tbr_base": "taker_buy_base / nullif(volume, 0)"}
-on_bars("win6_flow_means", {f"{c}_roll_{tf}": mean(f(), w, BY) for c, f in FLOW.items() for tf, w in (("1h", 1), ("4h", 4), ("1d", 24))}, {f"{c}_roll_{tf}": full("avg", c, w) for c in FLOW for tf, w in (("1h", 1), ("4h", 4), ("1d", 24))}, base=FLOW_SQL)
+on_bars("win6_flow_means", lambda: {f"{c}_roll_{tf}": mean(f(), w, X.BY) for c, f in FLOW.items() for tf, w in (("1h", 1), ("4h", 4), ("1d", 24))}, {f"{c}_roll_{tf}": full("avg", c, w) for c in FLOW for tf, w in (("1h", 1), ("4h", 4), ("1d", 24))}, base=FLOW_SQL)
 
 
 def log_return(s: DataFrame) -> DataFrame:
-    return s.withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(BY))
+    return s.withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(X.BY))
 
 
 RETURNS = f"{BARS},{BARS_ZERO},\nret AS (SELECT *, lc - lag(lc) OVER ({P}) AS r FROM (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS lc FROM bars_zero))"
-query("win7_ret3", f"SELECT symbol, ts, {full('sum', 'r', 3)} AS ret3 FROM ret", "ret3", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).select(*KEYS, total(F.col("r"), 3, BY).alias("ret3")))
-query("win8_log_returns", f"SELECT symbol, ts, lc - lag(lc, 4) OVER ({P}) AS mom_log_ret_4h, lc - lag(lc, 24) OVER ({P}) AS mom_log_ret_1d FROM ret", "mom_log_ret_4h mom_log_ret_1d", ctes=RETURNS)(lambda s: s.bars_zero().select(*KEYS, *[(F.ln("close") - F.lag(F.ln("close"), w).over(BY)).alias(f"mom_log_ret_{t}") for t, w in (("4h", 4), ("1d", 24))]))
-query("win9_13_realised_volatility", f"SELECT symbol, ts, {full('stddev_samp', 'r', 4)} AS vol_realized_4h, {full('stddev_samp', 'r', 24)} AS vol_realized_1d, {full('stddev_samp', 'r', 12)} AS volatility_60m FROM ret", "vol_realized_4h vol_realized_1d volatility_60m", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).select(*KEYS, *[deviation(F.col("r"), w, BY).alias(n) for n, w in (("vol_realized_4h", 4), ("vol_realized_1d", 24), ("volatility_60m", 12))]))
-query("win10_vol_of_vol", f"SELECT symbol, ts, {full('stddev_samp', 'v', 4)} AS vol_of_vol_4h FROM (SELECT *, {full('stddev_samp', 'r', 4)} AS v FROM ret)", "vol_of_vol_4h", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).withColumn("v", deviation(F.col("r"), 4, BY)).select(*KEYS, deviation(F.col("v"), 4, BY).alias("vol_of_vol_4h")))
-on_bars("win11_parkinson", {"vol_range_parkinson_1d": lambda: F.sqrt(mean(F.pow(F.ln(F.try_divide("high", F.col("low"))), 2), 24, BY) / (4 * 0.6931471805599453))}, {"vol_range_parkinson_1d": f"sqrt(({full('avg', 'x', 24)}) / (4 * ln(2)))"}, base={"x": "ln(high / nullif(low, 0)) ** 2"})
-on_bars("win14_true_range", {"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(BY)), F.abs(F.col("low") - F.lag("close").over(BY)))}, {"tr": f"greatest(high - low, abs(high - lag(close) OVER ({P})), abs(low - lag(close) OVER ({P})))"})
+query("win7_ret3", f"SELECT symbol, ts, {full('sum', 'r', 3)} AS ret3 FROM ret", "ret3", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).select(*KEYS, total(F.col("r"), 3, X.BY).alias("ret3")))
+query("win8_log_returns", f"SELECT symbol, ts, lc - lag(lc, 4) OVER ({P}) AS mom_log_ret_4h, lc - lag(lc, 24) OVER ({P}) AS mom_log_ret_1d FROM ret", "mom_log_ret_4h mom_log_ret_1d", ctes=RETURNS)(lambda s: s.bars_zero().select(*KEYS, *[(F.ln("close") - F.lag(F.ln("close"), w).over(X.BY)).alias(f"mom_log_ret_{t}") for t, w in (("4h", 4), ("1d", 24))]))
+query("win9_13_realised_volatility", f"SELECT symbol, ts, {full('stddev_samp', 'r', 4)} AS vol_realized_4h, {full('stddev_samp', 'r', 24)} AS vol_realized_1d, {full('stddev_samp', 'r', 12)} AS volatility_60m FROM ret", "vol_realized_4h vol_realized_1d volatility_60m", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).select(*KEYS, *[deviation(F.col("r"), w, X.BY).alias(n) for n, w in (("vol_realized_4h", 4), ("vol_realized_1d", 24), ("volatility_60m", 12))]))
+query("win10_vol_of_vol", f"SELECT symbol, ts, {full('stddev_samp', 'v', 4)} AS vol_of_vol_4h FROM (SELECT *, {full('stddev_samp', 'r', 4)} AS v FROM ret)", "vol_of_vol_4h", ctes=RETURNS)(lambda s: log_return(s.bars_zero()).withColumn("v", deviation(F.col("r"), 4, X.BY)).select(*KEYS, deviation(F.col("v"), 4, X.BY).alias("vol_of_vol_4h")))
+on_bars("win11_parkinson", lambda: {"vol_range_parkinson_1d": lambda: F.sqrt(mean(F.pow(F.ln(F.try_divide("high", F.col("low"))), 2), 24, X.BY) / (4 * 0.6931471805599453))}, {"vol_range_parkinson_1d": f"sqrt(({full('avg', 'x', 24)}) / (4 * ln(2)))"}, base={"x": "ln(high / nullif(low, 0)) ** 2"})
+on_bars("win14_true_range", lambda: {"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(X.BY)), F.abs(F.col("low") - F.lag("close").over(X.BY)))}, {"tr": f"greatest(high - low, abs(high - lag(close) OVER ({P})), abs(low - lag(close) OVER ({P})))"})
 query("win14_atr14", f"SELECT symbol, ts, {full('avg', 'tr', 14)} AS atr14 FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({P})), abs(low - lag(close) OVER ({P}))) AS tr FROM bars)", "atr14", ctes=BARS)(lambda s: features.momentum(s.bars(), 60).select(*KEYS, "atr14"))
 DER = f"{BARS},{DERIV}"
 query("win15_17_derivatives", f"""SELECT symbol, ts, open_interest - lag(open_interest, 3) OVER ({P}) AS oi_delta_15m, open_interest - lag(open_interest, 1) OVER ({P}) AS deriv_oi_velocity,
@@ -93,13 +105,13 @@ query("win19_hour_fill", """SELECT symbol, ts, coalesce(last_value(x IGNORE NULL
  FROM (SELECT *, CASE WHEN number_of_trades % 3 <> 0 THEN CAST(number_of_trades AS DOUBLE) END AS x FROM bars_15m)""", "onch_mempool_count", ctes=BARS_15M)(lambda s: s.bars_15m().select(*KEYS, windows.hour_fill(F.when(F.col("number_of_trades") % 3 != 0, F.col("number_of_trades").cast("double")), 12, fill=0.0).alias("onch_mempool_count")))
 query("win20_chained_change", f"""SELECT symbol, ts, coalesce(ch, CASE WHEN last_value(m IGNORE NULLS) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN can END) AS ch
  FROM (SELECT *, CASE WHEN ch IS NOT NULL THEN 1 WHEN can IS NULL THEN 0 END AS m FROM (SELECT *, CASE WHEN number_of_trades % 4 = 0 THEN open - 100 END AS ch, (close - lag(close) OVER ({P})) / nullif(lag(close) OVER ({P}), 0) * 100 AS can FROM bars_zero))""", "ch", ctes=ZERO)(lambda s: windows.chained_change(s.bars_zero().withColumn("ch", F.when(F.col("number_of_trades") % 4 == 0, F.col("open") - 100)), "close", "ch").select(*KEYS, "ch"))
-query("win21_z_and_delta", f"""SELECT symbol, ts, (mom - ({full('avg', 'mom', 36)})) / nullif({full('stddev_samp', 'mom', 36)}, 0) AS z_mom, mom - lag(mom) OVER ({P}) AS d_mom FROM (SELECT *, ln(close) - lag(ln(close), 4) OVER ({P}) AS mom FROM bars)""", "z_mom d_mom", ctes=BARS)(lambda s: features.z_and_delta(s.bars().withColumn("mom", F.ln("close") - F.lag(F.ln("close"), 4).over(BY)), ["mom"]).select(*KEYS, "z_mom", "d_mom"))
+query("win21_z_and_delta", f"""SELECT symbol, ts, (mom - ({full('avg', 'mom', 36)})) / nullif({full('stddev_samp', 'mom', 36)}, 0) AS z_mom, mom - lag(mom) OVER ({P}) AS d_mom FROM (SELECT *, ln(close) - lag(ln(close), 4) OVER ({P}) AS mom FROM bars)""", "z_mom d_mom", ctes=BARS)(lambda s: features.z_and_delta(s.bars().withColumn("mom", F.ln("close") - F.lag(F.ln("close"), 4).over(X.BY)), ["mom"]).select(*KEYS, "z_mom", "d_mom"))
 query("win22_volatility_regime", f"""SELECT symbol, ts, volatility, CASE WHEN volatility <= lo THEN 'calm' WHEN volatility >= hi THEN 'volatile' ELSE 'neutral' END AS regime FROM (
  SELECT *, quantile_cont(volatility, 0.3) OVER (PARTITION BY symbol) AS lo, quantile_cont(volatility, 0.7) OVER (PARTITION BY symbol) AS hi FROM (
  SELECT symbol, ts, first_value(v IGNORE NULLS) OVER ({P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS volatility FROM (
  SELECT *, {full('stddev_samp', 'c', 24, 12)} AS v FROM (SELECT *, coalesce(close / lag(close) OVER ({P}) - 1, 0) AS c FROM bars))))""", "volatility", ctes=BARS)(lambda s: windows.volatility_regime(s.bars()).select(*KEYS, "volatility", "regime"))
 query("win23_hysteresis", f"""SELECT symbol, ts, coalesce(last_value(CASE WHEN p >= 0.6 THEN 1 WHEN p <= 0.3 THEN 0 END IGNORE NULLS) OVER ({P}), 0) AS signal FROM (SELECT *, (number_of_trades % 10) / 10.0::DOUBLE AS p FROM bars)""", "", "signal", BARS)(lambda s: s.bars().select(*KEYS, windows.hysteresis(F.col("number_of_trades") % 10 / 10, 0.6, 0.3).alias("signal")))
-query("win24_span_mean", "SELECT symbol, ts, avg(ln(close)) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 604799 PRECEDING AND CURRENT ROW) AS mean_7d FROM bars", "mean_7d", ctes=BARS)(lambda s: s.bars().select(*KEYS, windows.span_mean(F.ln(C), 7).alias("mean_7d")))
+query("win24_span_mean", "SELECT symbol, ts, avg(ln(close)) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 604799 PRECEDING AND CURRENT ROW) AS mean_7d FROM bars", "mean_7d", ctes=BARS)(lambda s: s.bars().select(*KEYS, windows.span_mean(F.ln(X.C), 7).alias("mean_7d")))
 query("win25_sequences", f"""SELECT symbol, ts, CAST(CAST(a AS FLOAT) AS DOUBLE) AS first_close, CAST(CAST(b AS FLOAT) AS DOUBLE) AS last_close, l AS label, 8 AS n FROM (SELECT symbol, ts, lag(close, 7) OVER ({P}) AS a, close AS b, lead(close, 2) OVER ({P}) AS l FROM bars) WHERE a IS NOT NULL AND l IS NOT NULL""", "first_close last_close label", "n", BARS)(lambda s: windows.sequences(s.bars(), ["close", "open"], "close", 8, 2).select(*KEYS, F.col("sequence")[0][0].alias("first_close"), F.col("sequence")[7][0].alias("last_close"), "label", F.size("sequence").alias("n")))
 query("win26_decay_weight", "SELECT symbol, ts, exp((max(ts) OVER (PARTITION BY symbol) - ts) / 86400.0::DOUBLE * (-0.6931471805599453::DOUBLE / 7)) AS weight FROM bars", "weight", ctes=BARS)(lambda s: s.bars().select(*KEYS, windows.decay_weight(7.0).alias("weight")))
 EMA = f"""{BARS},
@@ -111,13 +123,13 @@ ema AS (
     ELSE (e.y * (11.0::DOUBLE / 13) ** e.g + o.x * (2.0::DOUBLE / 13)) / ((11.0::DOUBLE / 13) ** e.g + 2.0::DOUBLE / 13) END,
     CASE WHEN o.x IS NULL THEN e.g + 1 ELSE 1 END
   FROM ema e JOIN ord o ON o.symbol = e.symbol AND o.n = e.n + 1)"""
-query("win2_ema", "SELECT symbol, ts, y AS ema12 FROM ema", "ema12", ctes=EMA)(lambda s: windows.ema(s.bars().withColumn("x", F.when(F.col("number_of_trades") % 5 != 0, C)), "x", 12, "ema12").select(*KEYS, "ema12"))
+query("win2_ema", "SELECT symbol, ts, y AS ema12 FROM ema", "ema12", ctes=EMA)(lambda s: windows.ema(s.bars().withColumn("x", F.when(F.col("number_of_trades") % 5 != 0, X.C)), "x", 12, "ema12").select(*KEYS, "ema12"))
 TREND = f"""{BARS},
 ord AS (SELECT symbol, ts, close AS x, row_number() OVER ({P}) AS n FROM bars),
 ema AS (SELECT symbol, ts, n, x, x AS f, x AS s FROM ord WHERE n = 1
   UNION ALL SELECT o.symbol, o.ts, o.n, o.x, e.f / 3 + o.x * 2 / 3, e.s * (3.0::DOUBLE / 5) + o.x * (2.0::DOUBLE / 5) FROM ema e JOIN ord o ON o.symbol = e.symbol AND o.n = e.n + 1)"""
 query("win12_microtrend", "SELECT symbol, ts, (f - s) / nullif(x, 0) AS mom_microtrend_ema_ratio FROM ema", "mom_microtrend_ema_ratio", ctes=TREND)(lambda s: features.momentum(s.bars(), 60).select(*KEYS, "mom_microtrend_ema_ratio"))
-query("prj6_7_finished_floats", f"SELECT symbol, \"interval\", ts, CAST(coalesce(CAST(open - lag(open, 3) OVER ({P}) AS FLOAT), -1) AS DOUBLE) AS d3 FROM bars", "d3", ctes=BARS)(lambda s: features.finished(s.bars().select("symbol", "interval", "ts", delta(F.col("open"), BY, 3).alias("d3")), ["symbol", "interval", "ts"], -1.0))
+query("prj6_7_finished_floats", f"SELECT symbol, \"interval\", ts, CAST(coalesce(CAST(open - lag(open, 3) OVER ({P}) AS FLOAT), -1) AS DOUBLE) AS d3 FROM bars", "d3", ctes=BARS)(lambda s: features.finished(s.bars().select("symbol", "interval", "ts", delta(F.col("open"), X.BY, 3).alias("d3")), ["symbol", "interval", "ts"], -1.0))
 query("features_all")(lambda s: features.create_features(s.bars()))
 
 # labels
@@ -138,7 +150,7 @@ query("lab8_regression_target", f"SELECT symbol, ts, l AS target_reg, CASE WHEN
 
 # signals
 def ruled(s: Inputs) -> DataFrame:
-    b = s.bars().withColumns({"rsi": windows.rsi(C), "s7": windows.sma(C, 7), "s14": windows.sma(C, 14), "p": F.col("number_of_trades") % 10 / 10})
+    b = s.bars().withColumns({"rsi": windows.rsi(X.C), "s7": windows.sma(X.C, 7), "s14": windows.sma(X.C, 14), "p": F.col("number_of_trades") % 10 / 10})
     return b.withColumns({"rule_rsi": signals.below(F.col("rsi"), 45.0), "rule_sma": signals.crossover(F.col("s7"), F.col("s14"))})
 
 

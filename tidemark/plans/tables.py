@@ -12,12 +12,11 @@ from ..sources import payloads, scans, tables
 from .fixtures import BARS, BARS_15M, BOOK, HIST, PREDS, Inputs
 from .registry import query
 
-MS = F.unix_timestamp("ts") * 1000
 FROM, TO = 1704153600, 1705276800
 
 
 def prices(s: Inputs) -> DataFrame:
-    return s.bars().withColumn("open_time", MS).drop("ts")
+    return s.bars().withColumn("open_time", F.unix_timestamp("ts") * 1000).drop("ts")
 
 
 query("src1_price_scan", f"SELECT ts, close, volume, number_of_trades FROM bars WHERE symbol = 'click' AND ts BETWEEN {FROM} AND {TO}", "close volume", "number_of_trades", BARS)(lambda s: scans.price_scan(prices(s), "click", FROM * 1000, TO * 1000).select("ts", "close", "volume", "number_of_trades"))
@@ -91,7 +90,7 @@ PRED = "SELECT symbol, \"interval\", ts * 1000 AS target_time_ms, close AS p_hat
 
 def predictions(s: Inputs) -> DataFrame:
     done = F.unix_timestamp("ts") % 7200 == 0
-    return s.bars().select("symbol", "interval", MS.alias("target_time_ms"), F.col("close").alias("p_hat"), (F.col("number_of_trades") % 10 / 10).alias("prob_move_ge_05"), F.when(done, F.col("close")).alias("y_true_hat"), F.when(done, F.lit(0.0)).alias("abs_error"))
+    return s.bars().select("symbol", "interval", (F.unix_timestamp("ts") * 1000).alias("target_time_ms"), F.col("close").alias("p_hat"), (F.col("number_of_trades") % 10 / 10).alias("prob_move_ge_05"), F.when(done, F.col("close")).alias("y_true_hat"), F.when(done, F.lit(0.0)).alias("abs_error"))
 
 
 def upserted(s: Inputs) -> DataFrame:
