@@ -72,6 +72,14 @@ QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_si
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
 ORACLES = {
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT *, string_agg(word, ' ') OVER f AS t, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+late AS (SELECT doc_id, word, i, n = 20 AND row_number() OVER (PARTITION BY t, n = 20 ORDER BY doc_id, i) > 1 AS late FROM win),
+gone AS (SELECT doc_id, word, i, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM late),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_NORM}) AS text_sha256, length(coalesce(text, '')) AS size FROM documents),
 w AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
