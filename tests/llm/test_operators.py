@@ -303,3 +303,30 @@ def test_pipeline(spark, tmp_path, docs):
     got = Counter(r.doc_id for r in out.collect())
     assert got and 20 not in got and 30 not in got and max(got.values()) <= 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
+
+
+def test_reference_removal(spark, docs, rows, empty):
+    from tidemark.llm.suffix_automata import SuffixAutomaton, remove_reference
+
+    reference = spark.createDataFrame([(sentences(3, 30) + " " + sentences(0, 60),), (sentences(1, 45),), (None,), ("short one",)], "text string")
+    texts = [WORD.findall(r.text or "") for r in reference.collect()]
+    known = {tuple(t[i : i + 20]) for t in texts for i in range(len(t) - 19)}
+    for shard in (10, 200_000):
+        got = table(remove_reference(docs, reference, 20, shard))
+        for r in rows:
+            w = WORD.findall(r[1] or "")
+            gone = [False] * len(w)
+            for j in range(len(w) - 19):
+                if tuple(w[j : j + 20]) in known:
+                    gone[j : j + 20] = [True] * 20
+            assert (got[r[0]].n_words, got[r[0]].n_removed, got[r[0]].kept) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    assert remove_reference(empty, reference).count() == 0 and remove_reference(docs, empty).agg(F.sum("n_removed")).first()[0] == 0
+    with pytest.raises(ValueError):
+        remove_reference(docs, reference, most_words=5)
+    r = random.Random(8)
+    a, text = SuffixAutomaton(), [[bytes([r.choice(b"ab")]) for _ in range(40)] for _ in range(3)]
+    for t in text:
+        a.add(t)
+    probe = [bytes([r.choice(b"ab")]) for _ in range(60)]
+    inside = lambda s: any(t[i : i + len(s)] == s for t in text for i in range(len(t)))
+    assert a.statistics(probe) == [max(n for n in range(e + 2) if inside(probe[e + 1 - n : e + 1])) for e in range(60)]
