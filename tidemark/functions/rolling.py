@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ("symbol", "interval")
@@ -50,3 +50,20 @@ def correlation(x: Column, y: Column, w: int, by: WindowSpec) -> Column:
     f, both = by.rowsBetween(-(w - 1), 0), F.when(x.isNotNull() & y.isNotNull(), 1)
     varies = (F.max(x).over(f) > F.min(x).over(f)) & (F.max(y).over(f) > F.min(y).over(f))
     return F.when((F.count(both).over(f) == w) & varies, F.corr(x, y).over(f))
+
+
+def running_sums(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """Adds ``{c}_upto``, the sum of each of ``sums`` over all rows of the key up to ``value`` (one row for each value).
+
+    Two steps: inside each of about ``parts`` value ranges, and over the sums of the ranges, so that no task holds all values of a key.
+    """
+    keys = list(keys)
+    t = counts.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+    edges = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000))
+    t = t.join(t.groupBy("_key").agg(edges.alias("_edges")), "_key").withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = t.groupBy("_key", "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = before.select("_key", "_part", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy("_key", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(before, ["_key", "_part"])
+    return t.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}") for c in sums}).select(*counts.columns, *[f"{c}_upto" for c in sums])

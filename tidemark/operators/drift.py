@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import running_sums
+
 
 def unpivoted(df: DataFrame, features: Sequence[str], current: str = "is_current") -> DataFrame:
     """``feature, value, is_current`` rows from wide ones; nulls go."""
@@ -28,21 +30,12 @@ def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     return c.groupBy("feature").agg(F.when((F.max("na") > 0) & (F.max("nb") > 0), F.sum(term)).alias("psi"))
 
 
-def ks(long: DataFrame, parts: int = 64) -> DataFrame:
-    """``feature, ks``: the largest distance of the two distribution functions.
-
-    Counts by value come first; their running sums are taken in two steps, inside each of ``parts`` value ranges of a feature and over
-    the sums of the ranges, so that no task holds a feature's values.
-    """
+def ks(long: DataFrame) -> DataFrame:
+    """``feature, ks``: the largest distance of the two distribution functions, from counts by value and their running sums."""
     c = long.groupBy("feature", "value").agg(F.count_if("is_current").alias("b"), F.count_if(~F.col("is_current")).alias("a"))
-    edge = c.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("edges"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    c = c.join(F.broadcast(edge), "feature").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("value"))))
-    sums = c.groupBy("feature", "part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    ahead = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("feature", "part", F.coalesce(F.sum("sa").over(ahead), F.lit(0)).alias("sa"), F.coalesce(F.sum("sb").over(ahead), F.lit(0)).alias("sb"))
-    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    t = c.withColumns({"ca": F.sum("a").over(inside), "cb": F.sum("b").over(inside)}).join(sums, ["feature", "part"])
-    gap = F.abs(F.try_divide(F.col("ca") + F.col("sa"), F.col("na")) - F.try_divide(F.col("cb") + F.col("sb"), F.col("nb")))
+    sizes = c.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    t = running_sums(c, "value", ["a", "b"], ["feature"]).join(F.broadcast(sizes), "feature")  # one row for each feature
+    gap = F.abs(F.try_divide("a_upto", F.col("na")) - F.try_divide("b_upto", F.col("nb")))
     return t.groupBy("feature").agg(F.max(gap).alias("ks"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import KEY, series
+from ..functions.rolling import KEY, running_sums, series
 from .windows import equity
 
 LOW, HIGH = 1e-6, 1 - 1e-6
@@ -88,18 +89,16 @@ def by_regime_python(df: DataFrame, metric: Callable, regime: str = "regime") ->
 
 
 def order_statistic(df: DataFrame, x: Column, level: Callable[[int], float]) -> float:
-    """The value at rank ``ceil((n - 1) level(n))`` (from 0) of ``x``: counts by value, then their running sums over the distinct
-    values by range partitions, so that no task sorts them all."""
+    """The value at rank ``ceil((n - 1) level(n))`` (from 0) of ``x``: counts by value, their running sums, and the first that passes the rank."""
     n = df.where(x.isNotNull()).count()
     if not n:
         raise ValueError("no residuals")
     at = level(n)
     if at < 0:
         raise ValueError("too few residuals for this level")
-    import math
-
     rank = min(n - 1, math.ceil((n - 1) * at - 1e-12))
-    return df.where(x.isNotNull()).select(x.alias("x")).agg(F.percentile("x", F.lit(rank / (n - 1) if n > 1 else 0.0))).first()[0]
+    counts = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    return running_sums(counts, "x", ["n"]).where(F.col("n_upto") > rank).agg(F.min("x")).first()[0]
 
 
 def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, pred: str, alpha: float = 0.1, touch: bool = False) -> DataFrame:
@@ -118,9 +117,8 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, pred: str
 def auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank: counts by value first, then running sums over values."""
     by_value = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    by_value = by_value.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
+    by_value = running_sums(by_value, p, ["neg"], keys)
     return by_value.groupBy(*keys).agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
