@@ -14,7 +14,7 @@ from ..functions import arrays
 from ..functions import scalars as S
 from ..functions.rolling import KEY, correlation, delta, deviation, filled, mean, series, total, z_score
 from .timegrid import rows_for
-from .windows import ema, hour_fill
+from .windows import ema, emas, hour_fill
 
 #: Required columns, and the other names and constants below: fixed values of the feature contract.
 REQUIRED = ("timestamp", "open", "high", "low", "close", "volume", "quote_asset_volume", "taker_buy_base", "taker_buy_quote")
@@ -94,12 +94,15 @@ def momentum(df: DataFrame, step: int) -> DataFrame:
         if m >= step:
             second[f"vol_of_vol_{tf}"] = deviation(F.col(f"vol_realized_{tf}"), rows_for(m, step), by)
     df = df.withColumns(second).drop("_r", "_hl", "_tr")
-    fast = max(2, rows_for(60, step))
-    slow = max(fast + 1, rows_for(240, step))
-    df = ema(ema(df, "close", fast, "_fast"), "close", slow, "_slow")
+    df = df if "_fast" in df.columns else emas(df, trend_spans(step))
     return df.withColumn("mom_microtrend_ema_ratio", F.try_divide(F.col("_fast") - F.col("_slow"), F.col("close"))).drop("_fast", "_slow")
 
 
+def trend_spans(step: int) -> dict[str, tuple[str, int]]:
+    fast = max(2, rows_for(60, step))
+    return {"_fast": ("close", fast), "_slow": ("close", max(fast + 1, rows_for(240, step)))}
+
+
 def order_flow(df: DataFrame, step: int) -> DataFrame:
     by = series()
     tbr, ofi = S.taker_flow(F.col("taker_buy_base"), F.col("volume"))
@@ -110,7 +113,8 @@ def order_flow(df: DataFrame, step: int) -> DataFrame:
     for m, tf in TIMEFRAMES.items():
         if m >= step:
             out |= {f"{c}_roll_{tf}": mean(F.col(c), rows_for(m, step), by) for c in ("ofi_base", "ofi_quote", "tbr_base")}
-    return ema(df.withColumns(out).drop("_v"), "tbr_base", 12, "ema12_tbr_base")
+    df = df if "ema12_tbr_base" in df.columns else ema(df, "tbr_base", 12, "ema12_tbr_base")
+    return df.withColumns(out).drop("_v")
 
 
 def derivatives(df: DataFrame, step: int, fill: float = 0.0) -> DataFrame:
@@ -184,6 +188,9 @@ def create_features(df: DataFrame, settings: Settings = Settings()) -> DataFrame
     step, given = settings.step_minutes, df.columns
     if settings.onchain:
         df = df.withColumns({c: hour_fill(F.col(c), settings.forward_fill_limit) if c in given else F.lit(None).cast("double") for c in ONCHAIN})
+    # all averages with memory in one pass, before the windows, so that these need one exchange
+    tbr, _ = S.taker_flow(F.col("taker_buy_base"), F.col("volume"))
+    df = emas(df.withColumn("_tbr", tbr), trend_spans(step) | {"ema12_tbr_base": ("_tbr", 12)}).drop("_tbr")
     out = order_flow(momentum(df, step), step).withColumns(S.time_features(F.col("ts")))
     if settings.derivatives:
         out = derivatives(out, step, settings.fill)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,33 +23,46 @@ def rsi(close: Column, w: int = 14, keys: Sequence[str] = KEY) -> Column:
 
 
 def ema(df: DataFrame, x: str, span: int, out: str, keys: Sequence[str] = KEY, least: int = 1, block: int = 256) -> DataFrame:
-    """Exponential moving average ``y = (1 - a) y + a x`` with ``a = 2 / (span + 1)``, from the first value on.
+    """One average of :func:`emas`."""
+    return emas(df, {out: (x, span)}, keys, least, block)
 
-    Each row maps the last average affinely, ``y' = A y + B``; after ``g`` nulls the old weight has faded to ``d^g`` with ``d = 1 - a``, so
-    ``A = d^(g+1) / (d^(g+1) + a)``. Blocks of rows are composed by running products and sums inside the block, the blocks of a
+
+def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[str] = KEY, least: int = 1, block: int = 256) -> DataFrame:
+    """Exponential moving averages ``y = (1 - a) y + a x`` with ``a = 2 / (span + 1)`` from the first value on; ``wanted``: by name, the column
+    and its span (2 or more). All share one pass.
+
+    Each row maps the last average affinely, ``y' = A y + B``; a value ``g`` rows after the one before meets the weight ``d^g`` with ``d = 1 - a``, so
+    ``A = d^g / (d^g + a)``; a null changes nothing. Blocks of rows are composed by running products and sums inside the block, the blocks of a
     series (one pair of numbers each) in order, and the value carried into each block joins back. Any block can be
     computed by any task. Null before the first value and until ``least`` values are there.
     """
-    a, d = 2.0 / (span + 1), 1 - 2.0 / (span + 1)
-    by, keys = series(*keys), list(keys)
-    v = F.col(x).cast("double")
-    t = df.withColumn("_n", F.row_number().over(by)).withColumn("_seen", F.count(v).over(by)).withColumn("_block", F.floor((F.col("_n") - 1) / block))
-    at = F.last(F.when(v.isNotNull(), F.col("_n")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fade = F.pow(F.lit(d), (F.col("_n") - at).cast("double"))
-    t = t.withColumn("_A", F.when(v.isNull() | at.isNull(), F.lit(1.0)).otherwise(fade / (fade + a)))
-    t = t.withColumn("_B", F.when(v.isNull() | at.isNull(), F.lit(0.0)).otherwise((1 - F.col("_A")) * v))
+    by, keys, specs = series(*keys), list(keys), list(wanted.items())
+    every = range(len(specs))
+    t = df.withColumns({"_n": F.row_number().over(by)} | {f"_v{i}": F.col(x).cast("double") for i, (_, (x, _)) in enumerate(specs)})
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    here = {f"_at{i}": F.last(F.when(F.col(f"_v{i}").isNotNull(), F.col("_n")), ignorenulls=True).over(before) for i in every}
+    t = t.withColumns({"_block": F.floor((F.col("_n") - 1) / block)} | {f"_seen{i}": F.count(f"_v{i}").over(by) for i in every} | here)
+    for i, (_, (_, span)) in enumerate(specs):
+        a, fade = 2.0 / (span + 1), F.pow(F.lit(1 - 2.0 / (span + 1)), (F.col("_n") - F.col(f"_at{i}")).cast("double"))
+        t = t.withColumn(f"_A{i}", F.when(F.col(f"_v{i}").isNull() | F.col(f"_at{i}").isNull(), 1.0).otherwise(fade / (fade + a)))
+        t = t.withColumn(f"_B{i}", F.when(F.col(f"_v{i}").isNull(), 0.0).otherwise((1 - F.col(f"_A{i}")) * F.col(f"_v{i}")))
     inside = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_P", F.exp(F.sum(F.ln("_A")).over(inside)))
-    t = t.withColumn("_S", F.col("_P") * F.sum(F.col("_B") / F.col("_P")).over(inside))
-    blocks = t.groupBy(*keys, "_block").agg(F.max_by("_P", "_n").alias("p"), F.max_by("_S", "_n").alias("s"), F.min_by(v, F.when(v.isNotNull(), F.col("_n"))).alias("seed"))
-    series_of = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "p", "s", "seed"))).alias("bs"))
-    seed = F.get(F.filter("bs", lambda b: b.seed.isNotNull()), F.lit(0)).seed
-    step = lambda acc, b: F.struct((b.p * acc.y + b.s).alias("y"), F.concat(acc.out, F.array(F.struct(b["_block"].alias("_block"), acc.y.alias("_carry")))).alias("out"))
-    empty = F.expr("cast(array() as array<struct<_block:bigint,_carry:double>>)")
-    carries = series_of.select(*keys, F.explode(F.aggregate("bs", F.struct(seed.alias("y"), empty.alias("out")), step, lambda acc: acc.out)).alias("c")).select(*keys, "c.*")
-    joined = t.join(carries, [*keys, "_block"])
-    y = F.when(F.col("_seen") >= least, F.col("_P") * F.col("_carry") + F.col("_S"))
-    return joined.withColumn(out, F.when(F.col("_seen") > 0, y)).select(*df.columns, out)
+    t = t.withColumns({f"_P{i}": F.exp(F.sum(F.ln(f"_A{i}")).over(inside)) for i in every})
+    t = t.withColumns({f"_S{i}": F.col(f"_P{i}") * F.sum(F.col(f"_B{i}") / F.col(f"_P{i}")).over(inside) for i in every})
+    pairs = [F.struct(F.max_by(f"_P{i}", "_n").alias("p"), F.max_by(f"_S{i}", "_n").alias("s"), F.min_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_n"))).alias("seed")).alias(f"b{i}") for i in every]
+    series_of = t.groupBy(*keys, "_block").agg(*pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", *[f"b{i}" for i in every]))).alias("bs"))
+    empty = F.expr("cast(array() as array<double>)")
+
+    def carried(i: int) -> Column:
+        """The average that each block starts from."""
+        seed = F.get(F.filter("bs", lambda b: b[f"b{i}"].seed.isNotNull()), F.lit(0))[f"b{i}"].seed
+        step = lambda acc, b: F.struct((b[f"b{i}"].p * acc.y + b[f"b{i}"].s).alias("y"), F.concat(acc.out, F.array(acc.y)).alias("out"))
+        return F.aggregate("bs", F.struct(seed.alias("y"), empty.alias("out")), step, lambda acc: acc.out).alias(f"_carry{i}")
+
+    carries = series_of.select(*keys, F.transform("bs", lambda b: b["_block"]).alias("_block"), *[carried(i) for i in every])
+    carries = carries.select(*keys, F.inline(F.arrays_zip("_block", *[f"_carry{i}" for i in every])))
+    y = {out: F.when(F.col(f"_seen{i}") >= max(1, least), F.col(f"_P{i}") * F.col(f"_carry{i}") + F.col(f"_S{i}")) for i, (out, _) in enumerate(specs)}
+    return t.join(carries, [*keys, "_block"]).withColumns(y).select(*[c for c in df.columns if c not in wanted], *wanted)
 
 
 def hysteresis(p: Column, high: float, width: float, keys: Sequence[str] = KEY) -> Column:
