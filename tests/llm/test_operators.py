@@ -123,6 +123,33 @@ def test_drop_near_copies(docs):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {0, 1, None} and out.where("doc_id = 20").count() == 0
 
 
+@pytest.mark.parametrize("room", [48, 3])
+def test_near_groups_follow_similarity(spark, room):
+    from tidemark.llm.near_copies import near_groups
+
+    r, texts = random.Random(11), {}
+    for i in range(8):
+        w = sentences(200 + i, 120).split()
+        texts[len(texts)] = " ".join(w)
+        for n in (1, 2, 3, 5, 9, 20) + ((1,) * 9 + (2,) * 5 if i < 2 else ()):
+            v = list(w)
+            for j in r.sample(range(len(v)), n):
+                v[j] = f"other{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(v)
+    texts |= {500: "a b c", 501: "A  b c", 502: "a b d", 503: "", 504: None}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts.items()}
+    parent = {i: i for i in sets}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_groups(df, room=room).collect()} == {i: find(i) for i in sets}
+    assert sorted(x.doc_id for x in simhash.drop_near_copies(df).collect()) == sorted({find(i) for i in sets})
+
+
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 

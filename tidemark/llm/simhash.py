@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, id_back, id_text, written
 from .components import components
+from .near_copies import near_groups
 
 #: Of the alternating bits 0, 2, 4, ...
 EVEN = 0x5555555555555555
@@ -106,10 +107,13 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One document of each group, that of the smallest ``doc_id``, with all columns; a row without ``doc_id`` stays."""
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group, that of the smallest ``doc_id``, with all columns; a row without ``doc_id`` stays.
+
+    Groups are of similarity (``near_copies``): at 0.8 most copies differ by more bits than fingerprints can be joined on.
+    """
     columns = [f"d.`{c}`" for c in docs.columns]
-    keep = simhash_groups(docs.where("doc_id is not null"), words, bits).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_groups(docs.where("doc_id is not null"), words, similarity).where("doc_id = component_id").select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("d.doc_id").orderBy(F.lit(0)))
     kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id") == F.col("k.doc_id")).withColumn("_tm_one", one).where("_tm_one = 1")
     return kept.select(*columns).unionByName(docs.where("doc_id is null"))
