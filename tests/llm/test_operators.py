@@ -322,6 +322,19 @@ def test_licenses(spark, empty):
     assert got[4].licensed_by == "r/a/NOTICE" and got[8].licensed_by == "r/LICENSE"
     assert licenses.scan(empty.select("doc_id", "text", F.lit("p/q").alias("path"))).count() == 0
 
+@pytest.mark.parametrize("most", [0, 150])
+def test_quality_does_not_depend_on_what_is_broadcast(spark, most):
+    good = [(i, sentences(i, 30 + i), "en" if i % 3 else "de") for i in range(30)]
+    other = [(100, "Rare qq zz words, the cat", "en"), (101, "ünknown ßß tree", "fr"), (102, sentences(5, 9), None), (103, None, "en"), (104, " ", "de"), (None, "xx yy", "de"), (None, "the dog", "en")]
+    df = spark.createDataFrame([*good, *other], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    rows = lambda **x: sorted(((r.doc_id or -1, r.lang, r.keep, r.perplexity, r.threshold) for r in quality.classify(df, labels, **x).collect()), key=str)
+    whole, cut = rows(), rows(most=most)
+    assert [x[:3] for x in whole] == [x[:3] for x in cut] and len(cut) == 37
+    for x, y in zip(whole, cut, strict=True):
+        assert x[3:] == pytest.approx(y[3:], rel=1e-9) if x[3] is not None else y[3] is None
+
+
 
 def test_pipeline(spark, tmp_path, docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

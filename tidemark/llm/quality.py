@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_text, written
+from .common import attach, id_back, id_text, written
 
 #: Bits of a character in a packed n-gram; five fit into a long.
 BITS = 12
@@ -107,6 +107,14 @@ class KneserNey:
         total[todo] += self.unseen[lang]
         return total
 
+    def longest(self, grams: np.ndarray, lang: str) -> np.ndarray:
+        """Log-probabilities of longest n-grams; not a number where the table has none."""
+        if lang not in self.tables:
+            return np.full(len(grams), np.nan)
+        known, p, _ = self.tables[lang][ORDER]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return np.where(known[at] == grams, p[at].astype(np.float64), np.nan)
+
     def perplexity(self, text: str | None, lang: str) -> float | None:
         a = symbols(text)
         if len(a) < ORDER or not self.tables:
@@ -115,22 +123,23 @@ class KneserNey:
         return float(np.exp(min(-self.log_p(a, x).mean() for x in langs)))
 
 
-def fitted(trusted: DataFrame, most: int = 3_000_000) -> KneserNey:
-    """The model of all of ``trusted`` (``lang``, ``text``). It is broadcast, so of n-grams over ``most`` those of the least
-    probability are left to their shorter contexts (the weights of which are those of the whole counts)."""
-    rows = written(probabilities(written(gram_counts(trusted), "grams")), "model")
-    total = rows.count()
-    if total > most:
-        cut = rows.where(F.col("k") > 1).approxQuantile("p", [1 - most / total], 0.001)[0]
-        rows = rows.where((F.col("k") <= 1) | (F.col("p") >= cut))
+def model_table(trusted: DataFrame) -> DataFrame:
+    """The model of all of ``trusted`` (``lang``, ``text``) as ``probabilities`` gives it, whole, with the counts ``n`` of the longest n-grams."""
+    counts = written(gram_counts(trusted), "grams")
+    rows = probabilities(counts).join(counts.withColumn("k", F.lit(ORDER)), ["lang", "k", "gram"], "left")
+    return written(rows.withColumn("p", F.col("p").cast("float")).withColumn("back", F.col("back").cast("float")), "model")
+
+
+def in_memory(rows: DataFrame) -> KneserNey:
+    """The n-grams of ``rows`` as packed arrays."""
     floats = lambda x: x.to_numpy(np.float64).astype("<f4").tobytes()
 
     def pack(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("gram")
         return pd.DataFrame({"lang": [x.lang.iloc[0]], "k": [x.k.iloc[0]], "gram": [x.gram.to_numpy("<i8").tobytes()], "p": [floats(x.p)], "back": [floats(x.back)]})
 
-    # one row of packed arrays for each language and order, together no more than ``most`` n-grams
-    packed_rows = rows.groupBy("lang", "k").applyInPandas(pack, "lang string, k int, gram binary, p binary, back binary").collect()
+    # one row of packed arrays for each language and order
+    packed_rows = rows.select("lang", "k", "gram", "p", "back").groupBy("lang", "k").applyInPandas(pack, "lang string, k int, gram binary, p binary, back binary").collect()
     nothing = (np.array([-1]), np.array([np.nan]), np.array([np.nan]))
     tables: dict = {r.lang: {k: nothing for k in range(ORDER + 1)} for r in packed_rows}
     for r in packed_rows:
@@ -138,20 +147,96 @@ def fitted(trusted: DataFrame, most: int = 3_000_000) -> KneserNey:
     return KneserNey(tables, {lang: -float(np.log(len(t[1][0]) + 1)) for lang, t in tables.items()})
 
 
-def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``doc_id, lang, perplexity`` for each row; null for a text without words or an empty model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fitted(trusted: DataFrame) -> KneserNey:
+    """The whole model of ``trusted`` (``lang``, ``text``), for trusted text of bounded size."""
+    return in_memory(model_table(trusted))
+
+
+def frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The longest n-grams of the model that occur most often, ``most`` at the most."""
+    longest = rows.where(F.col("k") == ORDER)
+    total, n = 0, None
+    for r in longest.groupBy("n").count().orderBy(F.desc("n")).limit(most).toLocalIterator():
+        total += r["count"]
+        if total > most:
+            break
+        n = r.n
+    return longest.where(F.lit(False) if n is None else F.col("n") >= n)
+
+
+def log_probabilities(grams: DataFrame, rows: DataFrame) -> DataFrame:
+    """``lang, gram, p`` for each of the distinct longest n-grams ``grams`` (``lang, gram``) under the whole model, by joins with
+    its tables of each order: the longest known n-gram's probability, and the weights of the contexts that were new before it."""
+    unseen = rows.where("k = 1").groupBy("lang").agg((-F.ln(F.count("*") + 1)).alias("p"))  # one row for each language
+    todo, sums = grams.withColumn("sum", F.lit(0.0)), []
+    for k in range(ORDER, 0, -1):
+        todo = todo.withColumn("key", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).withColumn("context", F.shiftright("key", BITS))
+        known = rows.where((F.col("k") == k) & F.col("p").isNotNull()).select("lang", F.col("gram").alias("key"), "p")
+        weight = rows.where((F.col("k") == k - 1) & F.col("back").isNotNull()).select("lang", F.col("gram").alias("context"), "back")
+        met = written(todo.join(known, ["lang", "key"], "left").join(weight, ["lang", "context"], "left"), f"scored{k}")
+        sums.append(met.where("p is not null").select("lang", "gram", (F.col("sum") + F.col("p")).alias("p")))
+        todo = met.where("p is null").select("lang", "gram", (F.col("sum") + F.coalesce("back", F.lit(0.0))).alias("sum"))
+    sums.append(todo.join(F.broadcast(unseen), "lang").select("lang", "gram", (F.col("sum") + F.col("p")).alias("p")))
+    out = sums[0]
+    for x in sums[1:]:
+        out = out.unionByName(x)
+    return out
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            p = [shared.value.perplexity(t, g) for t, g in zip(x.text, x.lang, strict=True)]
-            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "lang": x.lang.to_numpy(object), "perplexity": pd.Series(p, dtype=float).to_numpy()})
 
-    keyed = id_text(docs.withColumn("lang", F.coalesce("lang", F.lit(""))), "lang", "text")
-    return id_back(keyed.mapInPandas(batches, "doc_id string, lang string, perplexity double")).withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
+def perplexities(docs: DataFrame, rows: DataFrame, most: int = 3_000_000) -> DataFrame:
+    """``doc_id, lang, perplexity`` for each row under the model ``rows`` (``model_table``); null for a text without words or an empty model.
 
+    A model of up to ``most`` n-grams is broadcast and scores each document in place. Of a larger one the ``most`` most frequent longest
+    n-grams are; the others that a document has, counted by document, meet the whole tables of all orders by joins. Both give the
+    same perplexities: what is broadcast decides where an n-gram is scored, not how.
+    """
+    docs = docs.withColumn("lang", F.coalesce("lang", F.lit("")))
+    spark = docs.sparkSession
+    whole = rows.count() <= most
+    model = in_memory(rows if whole else frequent(rows, most))
+    shared = spark.sparkContext.broadcast(model)
+
+    if whole:
+
+        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in frames:
+                p = [shared.value.perplexity(t, g) for t, g in zip(x.text, x.lang, strict=True)]
+                yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "lang": x.lang.to_numpy(object), "perplexity": pd.Series(p, dtype=float).to_numpy()})
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.15) -> DataFrame:
+        out = id_back(id_text(docs, "lang", "text").mapInPandas(batches, "doc_id string, lang string, perplexity double"))
+        return out.withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
+
+    langs = sorted(r.lang for r in rows.where("k = 0").select("lang").distinct().collect())
+    known = set(langs)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            out = []
+            for row, text, own in zip(x.row, x.text, x.lang, strict=True):
+                a = symbols(text)
+                if len(a) < ORDER:
+                    continue
+                grams, n = np.unique(packed(a, ORDER), return_counts=True)
+                for lang in [own] if own in known else langs:
+                    p = shared.value.longest(grams, lang)
+                    new = np.isnan(p)
+                    out.append((row, lang, int(n.sum()), float((p * n)[~new].sum()), grams[new], n[new]))
+            yield pd.DataFrame(out, columns=["row", "lang", "size", "sum", "grams", "n"])
+
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text"), "keyed")
+    first = written(keyed.select("row", "lang", "text").mapInPandas(parts, "row long, lang string, size long, sum double, grams array<long>, n array<long>"), "parts")
+    rest = first.select("row", "lang", F.explode(F.arrays_zip("grams", "n")).alias("x")).select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
+    counts = rest.groupBy("lang", "gram").agg(F.count("*").alias("rows"))
+    counts = written(counts, "asked")
+    scored = written(log_probabilities(counts.select("lang", "gram"), rows).join(counts, ["lang", "gram"]), "known")
+    key = lambda x: x.withColumn("key", F.struct("lang", "gram")).drop("lang", "gram")
+    sums = attach(key(rest), key(scored), "key", "rows").groupBy("row", F.col("key.lang").alias("lang")).agg(F.sum(F.col("p") * F.col("n")).alias("more"))
+    each = first.select("row", "lang", "size", "sum").join(sums, ["row", "lang"], "left")
+    best = each.groupBy("row").agg(F.min(F.exp(-(F.col("sum") + F.coalesce("more", F.lit(0.0))) / F.col("size"))).alias("perplexity"))
+    return keyed.select("row", "doc_id", "lang").join(best, "row", "left").select("doc_id", "lang", "perplexity")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.15, most: int = 3_000_000) -> DataFrame:
     """``doc_id, lang, perplexity, threshold, keep`` for each row of ``docs``.
 
     Trusted text: documents that ``labels`` (``doc_id, quality, toxic``) call good and not toxic. A language's threshold is
@@ -164,7 +249,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 19))
     some = F.broadcast(good.select(bucket.alias("_bucket")).distinct())  # 2^19 numbers at most, whatever the labels: spares most other texts the shuffle
     trusted = trusted.withColumn("_bucket", bucket).join(some, "_bucket", "left_semi").drop("_bucket").join(good, "doc_id", "left_semi")
-    scored = written(perplexities(docs, fitted(trusted)), "scored")
+    scored = written(perplexities(docs, model_table(trusted), most), "scored")
     known = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
     limit = F.percentile("perplexity", F.lit(quantile)) * margin
     own, every = known.groupBy("lang").agg(limit.alias("own")), known.agg(limit.alias("every")).first().every
