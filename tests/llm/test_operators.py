@@ -290,6 +290,18 @@ def test_ann(spark):
     assert ann.search(df.where("vec_id >= 1000 and vec_id < 1200"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_ann_of_repeated_rows(spark):
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    one = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(one.unionByName(one), F.col("id") % 50 == 0, recall=1.0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = u @ u[q]
+        s[q] = -9
+        assert [g.vec_id for g in sorted(got, key=lambda g: g.rank) if g.query_id == q] == np.argsort(-s)[:5].tolist()
+    assert len(got) == 30
+
+
 def test_quality(spark, empty):
     good = [(i, sentences(i, 80), "en") for i in range(120)]
     bad = [(500 + i, " ".join(random.Random(i).choice("#$%&*XQZ") * 5 for _ in range(60)), "en") for i in range(5)]
@@ -310,18 +322,6 @@ def test_kneser_ney_sums_to_one(spark):
     assert p == pytest.approx(1 - 0, abs=0.02)
 
 
-def test_licenses(spark, empty):
-    data = [
-        (1, "r/LICENSE", "\n".join(licenses.TEMPLATES["MIT"][1:])), (2, "r/a/x.py", "code of some kind"), (3, "r/a/NOTICE", "Licensed under the Apache License,\nVersion 2.0."),
-        (4, "r/a/b/y.py", "more code"), (5, "r/z.py", "/* This work is licensed under the GNU General Public License, version 3. */\n" + sentences(1, 100)), (6, "s/q.py", "nothing here"), (7, None, "Released under the MIT License.\n" + sentences(2, 50)), (8, "r/n.py", None),
-    ]
-    got = table(licenses.scan(spark.createDataFrame(data, "doc_id long, path string, text string")))
-    assert {i: (g.license, g.kind) for i, g in got.items()} == {
-        1: ("MIT", "file"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited"), 5: ("GPL-3.0", "header"), 6: (None, None), 7: ("MIT", "header"), 8: ("MIT", "inherited"),
-    }
-    assert got[4].licensed_by == "r/a/NOTICE" and got[8].licensed_by == "r/LICENSE"
-    assert licenses.scan(empty.select("doc_id", "text", F.lit("p/q").alias("path"))).count() == 0
-
 @pytest.mark.parametrize("most", [0, 150])
 def test_quality_does_not_depend_on_what_is_broadcast(spark, most):
     good = [(i, sentences(i, 30 + i), "en" if i % 3 else "de") for i in range(30)]
@@ -335,6 +335,18 @@ def test_quality_does_not_depend_on_what_is_broadcast(spark, most):
         assert x[3:] == pytest.approx(y[3:], rel=1e-9) if x[3] is not None else y[3] is None
 
 
+def test_licenses(spark, empty):
+    data = [
+        (1, "r/LICENSE", "\n".join(licenses.TEMPLATES["MIT"][1:])), (2, "r/a/x.py", "code of some kind"), (3, "r/a/NOTICE", "Licensed under the Apache License,\nVersion 2.0."),
+        (4, "r/a/b/y.py", "more code"), (5, "r/z.py", "/* This work is licensed under the GNU General Public License, version 3. */\n" + sentences(1, 100)), (6, "s/q.py", "nothing here"), (7, None, "Released under the MIT License.\n" + sentences(2, 50)), (8, "r/n.py", None),
+    ]
+    got = table(licenses.scan(spark.createDataFrame(data, "doc_id long, path string, text string")))
+    assert {i: (g.license, g.kind) for i, g in got.items()} == {
+        1: ("MIT", "file"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited"), 5: ("GPL-3.0", "header"), 6: (None, None), 7: ("MIT", "header"), 8: ("MIT", "inherited"),
+    }
+    assert got[4].licensed_by == "r/a/NOTICE" and got[8].licensed_by == "r/LICENSE"
+    assert licenses.scan(empty.select("doc_id", "text", F.lit("p/q").alias("path"))).count() == 0
+
 
 def test_pipeline(spark, tmp_path, docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
