@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -58,13 +59,31 @@ def test_exact_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(size)
 
 
-def test_digest_index_keeps_earlier_batches(spark, docs, rows):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    index.add(docs)
+def test_digest_index_of_several_batches(spark, docs, rows, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, buckets=4, path=path)
+    index.add(docs, "first")
     later = spark.createDataFrame([(100, rows[0][1] + "  "), (101, "something new")], "doc_id long, text string")
-    got = table(index.add(later))
-    assert (got[100].keep_id, got[100].kept, got[101].kept) == (21, False, True) and got[100].group_size == 4
-    assert index.table().count() == index.table().select("digest").distinct().count()
+    for _ in range(2):  # the second time is a retry
+        got = table(index.add(later, "second"))
+        assert (got[100].keep_id, got[100].kept, got[101].kept) == (21, False, True) and got[100].group_size == 4
+    other = exact_dedup.DigestIndex(spark, buckets=4, path=path)  # as another session finds it
+    got = table(other.add(spark.createDataFrame([(0, rows[0][1]), (1, "something  new"), (2, "")], "doc_id long, text string"), "third"))
+    assert [(got[i].keep_id, got[i].kept, got[i].group_size) for i in range(3)] == [(21, False, 5), (101, False, 2), (32, False, 4)]
+    got = table(other.add(docs, "first"))
+    assert got[21].kept and got[21].group_size == 3
+    assert other.groups().agg(F.sum("n")).first()[0] == len(rows) + 5
+    index.drop()
+    other.drop()
+
+
+def test_anti_join_does_not_shuffle_the_index(spark, docs):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    index.add(docs, "first")
+    best = docs.select(exact_dedup.digest_of(F.col("text")).alias("digest"))
+    plan = best.join(index.groups(9).hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.drop()
 
 
 def brute_print(text):
@@ -84,9 +103,22 @@ def test_simhash(docs, rows, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("room", [48, 3])
-@pytest.mark.parametrize("bits", [1, 2])
-def test_links_join_all_near_fingerprints(spark, room, bits):
+def grouped(items, pairs):
+    parent = {x: x for x in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in items}
+
+
+@pytest.mark.parametrize("room,bits", [(48, 1), (48, 2), (16, 2)])
+def test_links_are_all_near_fingerprints(spark, room, bits):
     r = random.Random(5)
     f = {r.getrandbits(64) for _ in range(200)}
     for c in list(f)[:8]:
@@ -94,33 +126,41 @@ def test_links_join_all_near_fingerprints(spark, room, bits):
             c ^= 1 << r.randrange(64)
             f.add(c)
             f.add(c ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    center = r.getrandbits(64)
+    f |= {center ^ sum(1 << b for b in range(8) if i >> b & 1) << 8 * (i % 8) for i in range(256)}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in f)
     df = spark.createDataFrame([(x,) for x in signed], "f long")
-    found = {frozenset((x.a, x.b)) for x in simhash.links(df, bits, room).collect()}
-    d = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
-    parent = {x: x for x in signed}
-
-    def find(p, x):
-        while p[x] != x:
-            x = p[x]
-        return x
-
-    def groups(pairs):
-        p = dict(parent)
-        for a, b in pairs:
-            a, b = find(p, a), find(p, b)
-            p[max(a, b)] = min(a, b)
-        return {x: find(p, x) for x in signed}
-
-    near = [(a, b) for a in signed for b in signed if a < b and d(a, b) <= bits]
-    assert groups(near) == groups([tuple(x) for x in found if len(x) == 2])
-    got = {x.node: x.root for x in components(simhash.links(df, bits, room)).collect()}
-    assert {x: got.get(x, x) for x in signed} == groups(near)
+    found = simhash.links(df, bits, room)
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
+    assert {(x.a, x.b) for x in found.collect()} == near
+    got = {x.node: x.root for x in components(found).collect()}
+    assert {x: got.get(x, x) for x in signed} == grouped(signed, near)
+
+
+def test_simhash_components_of_documents(spark):
+    r, rows = random.Random(9), [(900, None), (901, ""), (902, " \t")]
+    for i in range(6):
+        w = sentences(300 + i, 400).split()
+        for _ in range(12):
+            v = list(w)
+            for _ in range(r.randrange(3)):
+                v[r.randrange(len(v))] = f"w{r.randrange(99)}"
+            rows.append((len(rows), " ".join(v)))
+    rows += [(-5, rows[3][1]), (rows[3][0], rows[3][1])]
+    prints = [(i, brute_print(t)) for i, t in rows]
+    distinct = sorted({f for _, f in prints})
+    root = grouped(distinct, [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 2])
+    least = {f: min(i for i, g in prints if root[g] == root[f]) for f in distinct}
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((x.doc_id, int(x.fingerprint, 16), x.component_id) for x in got) == sorted((i, f, least[f]) for i, f in prints)
+    assert len(set(least.values())) < len(distinct)
 
 
 def test_drop_near_copies(docs):
     out = simhash.drop_near_copies(docs)
-    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {0, 1, None} and out.where("doc_id = 20").count() == 0
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {0, 1} and out.where("doc_id = 20 or doc_id is null").count() == 0
+    other = docs.where("doc_id = 1").withColumn("text", F.lit("quite another text under the same id")).unionByName(docs.where("doc_id is null"))
+    assert simhash.drop_near_copies(docs.unionByName(other)).count() == out.count() + 1  # the text without id is that of another document
 
 
 @pytest.mark.parametrize("room", [48, 3])
@@ -150,6 +190,20 @@ def test_near_groups_follow_similarity(spark, room):
     assert sorted(x.doc_id for x in simhash.drop_near_copies(df).collect()) == sorted({find(i) for i in sets})
 
 
+def test_full_bands_of_texts_that_are_not_similar(spark):
+    """Texts that share half their shingles fill bands without being similar; the pairs among them are still found."""
+    from tidemark.llm.near_copies import near_groups
+
+    common, texts = sentences(400, 150), {}
+    for i in range(60):
+        own = " ".join(f"x{i}y{j}" for j in range(60))
+        texts[2 * i] = f"{common} {own}"
+        texts[2 * i + 1] = f"{common} {own} more"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in near_groups(df, room=4, stars=1, depth=3).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 
@@ -202,12 +256,17 @@ def test_mixing(docs, rows, empty):
         assert g.target == pytest.approx(target[by[g.doc_id]]) and g.taken % max(1, g["size"]) == 0 and g.taken <= 2 * g["size"]
     assert mixing.mix_words(empty).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+    shared = docs.withColumn("doc_id", F.when(F.col("doc_id") > 5, F.lit(None)).otherwise(F.lit(1)).cast("long"))
+    words = lambda df, n: {r.source: r.n or 0 for r in df.groupBy("source").agg(F.sum(n).alias("n")).collect()}
+    many = words(mixing.mixed_documents(shared).withColumn("n", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))), "n")
+    taken = words(mixing.mix(shared).select(F.expr("if(key.z, null, key.s)").alias("source"), (F.col("copies") * F.col("size")).alias("n")), "n")
+    assert {k: max(0, v) for k, v in many.items()} == {k: v for k, v in taken.items() if k in many}
 
 
 def test_language_id(spark, docs, empty):
     de = "der die und ist das nicht ein auf mit sich von haus baum fluss stein katze".split()
     more = [(i, sentences(i, 40, de) if i % 2 else sentences(i, 40), "de" if i % 2 else "en") for i in range(200)]
-    df = spark.createDataFrame([*more, (500, None, "en"), (501, "12 34 --", "en"), (502, "", None), (503, sentences(7, 9, de), None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*more, (500, None, "en"), (501, "12 34 -- ½ ² Ⅷ ①", "en"), (502, "", None), (503, sentences(7, 9, de), None)], "doc_id long, text string, lang string")
     got = table(language_id.language_predictions(df))
     assert all(got[i].lang_pred == g for i, _, g in more) and got[503].lang_pred == "de"
     assert {got[i].lang_pred for i in (500, 501, 502)} == {"und"} and all(0 <= g.score <= 1 for g in got.values())
@@ -237,6 +296,52 @@ def test_secrets(spark, docs, rows, empty):
         assert (g.n_assign, g.n_access, g.n_hex) == tuple(sum(k == n for _, k, _ in s) for n in range(3))
         assert g.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(g.spans.split(","))
     assert got[905].spans == "markov:4:28"
+
+
+def planted(seed, n=150):
+    """``(text, is random)``: bare random strings, and identifiers of words."""
+    r, words = random.Random(seed), "user name count index value parse token list file path open close read write buffer size table row column key order state".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters + letters.upper() + "0123456789", letters + letters.upper() + "0123456789+/", letters + "0123456789", letters.upper() + "0123456789"):
+        yield from (("".join(r.choice(alphabet) for _ in range(r.randrange(20, 45))), True) for _ in range(n))
+    for form in (lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "_".join(w) + f"_{r.randrange(1000)}", lambda w: "/".join(w) + "/v2", lambda w: "-".join(w) + "-2024"):
+        yield from ((form([r.choice(words) for _ in range(r.randrange(4, 6))]), False) for _ in range(n))
+
+
+def test_markov_models_find_random_strings(spark):
+    samples = spark.createDataFrame([(t if s or i % 2 else t.replace("_", "").replace("-", ""), s) for i, (t, s) in enumerate(planted(1))], "text string, secret boolean")
+    strings = [(t, s) for t, s in planted(2) if len(t) >= 16]
+    got = table(secrets.secret_spans(spark.createDataFrame([(i, f"see {t} here") for i, (t, _) in enumerate(strings)], "doc_id long, text string"), samples=samples))
+    said = [got[i].spans == f"markov:4:{4 + len(t)}" for i, (t, _) in enumerate(strings)]
+    hits = sum(a and s for a, (_, s) in zip(said, strings, strict=True))
+    assert hits / sum(s for _, s in strings) > 0.98 and hits / sum(said) > 0.98
+
+
+def test_likelihood_is_the_models(spark):
+    samples, at = list(planted(3, 40)), {c: i for i, c in enumerate(secrets.ALPHABET)}
+    k = len(at)
+    counts = {True: np.zeros((k, k)), False: np.zeros((k, k))}
+    for t, s in samples:
+        for a, b in zip(t, t[1:], strict=False):
+            counts[s][at[a], at[b]] += 1
+    p = {s: (n + 20 / k) / (n.sum(axis=1, keepdims=True) + 20) for s, n in counts.items()}
+    ratios = secrets.log_ratios(spark.createDataFrame(samples, "text string, secret boolean"))
+    assert np.allclose(np.array(ratios).reshape(k, k), np.log(p[True] / p[False]))
+    df = spark.createDataFrame([(t,) for t, _ in samples], "t string")
+    for r in df.select("t", secrets.likelihood(F.col("t"), ratios).alias("l")).collect():
+        assert r.l == pytest.approx(np.mean([np.log(p[True] / p[False])[at[a], at[b]] for a, b in zip(r.t, r.t[1:], strict=False)]), abs=1e-4)
+
+
+def test_secrets_of_long_texts(spark):
+    texts = ["a_" * 500_000, " ".join(f"{i:016x}" for i in range(64_000)), "token=abcdefghijklmnop " * 40_000, "x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = table(secrets.secret_spans(df))
+    assert [got[i].n_hex for i in range(4)] == [0, 64_000, 0, 0] and got[2].n_assign == 40_000 and time.time() - began < 60
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(64_000)).encode()).hexdigest()
+
+
+def test_secrets_of_no_rows(empty):
     assert secrets.secret_spans(empty).count() == 0
 
 

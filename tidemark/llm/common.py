@@ -14,11 +14,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset and Spark runs on one machine, one of our own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("tidemark.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", folder)
     return folder.rstrip("/")
@@ -55,13 +57,15 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, parts: int = 200) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None, parts: int = 200) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per ``key``; ``weight``: how many of ``rows`` have it).
 
-    Keys that hold over 1/``parts`` of all rows, of which there are fewer than ``parts``, are broadcast, so their
-    rows stay where they are; the others meet by a shuffle. ``rows`` is read twice: pass a written table.
+    Keys that hold over 1/``parts`` of all rows (of a shuffle partition's share, if that is less), of which there are fewer than that
+    number, are broadcast, so their rows stay where they are; the others meet by a shuffle. ``rows`` is read twice, and counted
+    unless ``total`` is given: pass a written table.
     """
-    limit = rows.count() // parts
+    parts = max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = (rows.count() if total is None else total) // parts
     hot = F.broadcast(table.where(F.col(weight) > limit))
     cool = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(weight) <= limit), key)
     return rows.join(hot, key).unionByName(cool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers other than decimal digits, such as fractions and Roman numerals: word characters, but no letters.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 UND = "und"
 
 
@@ -94,12 +97,13 @@ class Predictor:
             yield m.languages[best], float(p[best] / p.sum())
 
 
-def train(labelled: DataFrame, sample: int = 6_000, words: int = 50_000, per_order: int = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1), smoothing: float = 0.5) -> LanguageModel:
+def train(labelled: DataFrame, sample: int = 6_000, words: int | None = 50_000, per_order: int | None = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1), smoothing: float = 0.5) -> LanguageModel:
     """A model from ``text`` and ``lang`` of the rows that have both.
 
     It is fitted on a sample of about ``sample`` documents, spread evenly over the languages (all rows of a
     language that has fewer), chosen by a hash of the text; each text is used whole. The model, which is broadcast, keeps up to
-    ``words`` words and ``per_order`` n-grams of each order, the most frequent ones; both are parameters of the model.
+    ``words`` words and ``per_order`` n-grams of each order, the most frequent ones (None: all); what occurs once in the sample is not
+    learned. A word beyond these is scored by its n-grams.
     """
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -129,7 +133,8 @@ def train(labelled: DataFrame, sample: int = 6_000, words: int = 50_000, per_ord
     table = written(table, "counts")
     rows, parts, logs = 0, {}, []
     for kind, most in [(0, words), *((k, per_order) for k in orders)]:
-        top = table.where(F.col("kind") == kind).orderBy(F.desc("all"), "part").limit(most).select("part", *[F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)]).toPandas()
+        top = table.where(F.col("kind") == kind).orderBy(F.desc("all"), "part")
+        top = (top if most is None else top.limit(most)).select("part", *[F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)]).toPandas()
         n = top.drop(columns="part").to_numpy(np.float64) + smoothing
         parts[kind] = {p: rows + i for i, p in enumerate(top.part)}
         rows += len(top)

@@ -6,6 +6,7 @@ DataFrame functions only: patterns, spans and likelihoods are expressions over t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,31 +24,67 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
-    """All leftmost non-overlapping matches with their places in code points; ``value``: the group that is kept.
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def before(steps: Column) -> Column:
+    """For each of an array of integers the sum of those before it.
+
+    Arrays grow by copying, so the sums run inside blocks of the square root of the size, and then over the blocks: 64,000
+    steps copy 16 million integers instead of two billion.
+    """
+    none = F.array().cast("array<int>")
+    walk = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, x: F.struct((a.at + x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out")))
+    join = lambda a, p: F.struct((a.at + p.at).alias("at"), F.concat(a.out, F.array(F.transform(p.out, lambda o: o + a.at))).alias("out"))
+
+    def summed(n: Column) -> Column:
+        room = F.ceil(F.sqrt(F.size(n))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(n) - 1) / room).cast("int")), lambda k: F.slice(n, k * room + 1, room))
+        return F.aggregate(F.transform(blocks, walk), F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), join, lambda a: F.flatten(a.out))
+
+    return let(steps, lambda n: F.when(F.size(n) > 0, summed(n)).otherwise(none))
+
+
+def spans(text: Column, pattern: str, kind: int, value: Callable[[Column], Column] = lambda m: m) -> Column:
+    """All leftmost non-overlapping matches with their places in code points; ``value``: what is kept of a match.
 
     The pieces between matches, and the matches, in turn add up to the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
-    parts = F.zip_with(F.transform(found, F.char_length), values, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
-    gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(found)), F.char_length)
-    steps = F.zip_with(gaps, parts, lambda g, p: F.struct(g.alias("g"), p.n.alias("n"), p.v.alias("v")))
-    span = lambda a, x: F.struct((a.at + x.g).alias("start"), F.lit(kind).alias("kind"), (a.at + x.g + x.n).alias("end"), x.v.alias("value"))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-        lambda a, x: F.struct((a.at + x.g + x.n).alias("at"), F.concat(a.out, F.array(span(a, x)).cast(SPANS)).alias("out")),
-        lambda a: a.out,
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPANS))
+
+    def placed(t: Column, found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(t, pattern), 1, F.size(found)), F.char_length)
+        steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), (g + F.char_length(m)).alias("n")))
+        starts = let(steps, lambda s: F.zip_with(before(F.transform(s, lambda x: x.n)), s, lambda at, x: at + x.gap))
+        return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.char_length(m)).alias("end"), value(m).alias("value")))
+
+    found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    return let(text, lambda t: let(found(t), lambda f: F.when(F.size(f) > 0, placed(t, f)).otherwise(F.array().cast(SPANS))))
+
+
+def assigned(match: Column) -> Column:
+    return F.regexp_extract(match, ASSIGN, 1)
 
 
 def base_spans(text: Column) -> Column:
-    assign = F.filter(spans(text, ASSIGN, 0, 1), lambda s: F.char_length(s.value) >= ASSIGN_LEAST)
+    assign = F.filter(spans(text, ASSIGN, 0, assigned), lambda s: F.char_length(s.value) >= ASSIGN_LEAST)
     return F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))
 
 
+def blanked(text: Column) -> Column:
+    """``text`` with spaces for matches of the fixed patterns, each found in what the ones before it left; places stay."""
+    spaces = lambda m: F.repeat(F.lit(" "), F.char_length(m))
+    long_one = lambda m: F.when(F.char_length(assigned(m)) < ASSIGN_LEAST, m).otherwise(spaces(m))
+
+    def without(text: Column, pattern: str, blank: Callable[[Column], Column]) -> Column:
+        pieces = lambda t, found: F.zip_with(F.split(t, pattern), found, lambda g, m: F.concat(g, F.coalesce(blank(m), F.lit(""))))
+        whole = lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) > 0, F.array_join(pieces(t, f), "")).otherwise(t))
+        return let(text, whole)
+
+    return without(without(without(text, ASSIGN, long_one), ACCESS, spaces), HEX, spaces)
+
+
 def labelled_samples(docs: DataFrame, sample: int = 4_000) -> DataFrame:
     """``text, secret``: matches of the fixed patterns, and words of letters as ordinary identifiers, from about ``sample``
     documents that a hash of the text chooses."""
@@ -55,7 +92,7 @@ def labelled_samples(docs: DataFrame, sample: int = 4_000) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     chosen = docs.where(F.shiftrightunsigned(F.xxhash64("text"), 33) < int(share * 2**31)).select(text.alias("text"))
     secret = chosen.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s.value)).alias("text"), F.lit(True).alias("secret"))
-    plain = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]+(?:_[A-Za-z]+)*\b"), F.lit(0))).alias("text"), F.lit(False).alias("secret"))
+    plain = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_]+\b"), F.lit(0))).alias("text"), F.lit(False).alias("secret"))
     return secret.unionByName(plain)
 
 
@@ -93,17 +130,17 @@ def likelihood(value: Column, ratios: list[float]) -> Column:
 def scan(docs: DataFrame, samples: DataFrame | None = None, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``base`` and ``found``: arrays of ``start, kind, end, value``, ordered by start and kind.
 
-    ``base``: matches of the fixed patterns (kinds 0 to 2 of ``KINDS``). ``found`` adds strings of 16 or more characters that
-    overlap none of these, have letters and digits or both cases, and whose mean log-likelihood ratio is ``least`` or more.
-    The models are trained from ``samples`` (``text, secret``), by default :func:`labelled_samples`. Null texts are empty; each row
-    is judged by itself.
+    ``base``: matches of the fixed patterns (kinds 0 to 2 of ``KINDS``). ``found`` adds strings of 16 or more characters of the text
+    without these (:func:`blanked`) that have letters and digits or both cases, and whose mean log-likelihood ratio is ``least`` or
+    more. The models are trained from ``samples`` (``text, secret``), by default :func:`labelled_samples`. Null texts are empty;
+    each row is judged by itself.
     """
     ratios = log_ratios(samples if samples is not None else labelled_samples(docs))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(*keep, text.alias("_tm_text"), F.array_sort(base_spans(text)).alias("base"))
     mixed = lambda v: v.rlike("[0-9]") | (v.rlike("[a-z]") & v.rlike("[A-Z].*[A-Z]"))
-    free = lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
-    more = F.filter(spans(F.col("_tm_text"), CANDIDATE, 3), lambda s: mixed(s.value) & free(s))
+    left = F.when(F.size("base") > 0, blanked(F.col("_tm_text"))).otherwise(F.col("_tm_text"))
+    more = F.filter(spans(left, CANDIDATE, 3), lambda s: mixed(s.value))
     more = F.filter(more, lambda s: likelihood(s.value, ratios) >= least)
     return base.select(*keep, "base", F.array_sort(F.concat("base", more)).alias("found"))
 

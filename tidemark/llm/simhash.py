@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, id_back, id_text, written
-from .components import components
+from .components import components, rooted
 from .near_copies import near_groups
 
 #: Of the alternating bits 0, 2, 4, ...
@@ -56,38 +56,45 @@ def thermometer(f: Column) -> Column:
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def links(prints: DataFrame, bits: int = 2, room: int = 48) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (column ``f``) that join all those at ``bits`` (1 or 2) or fewer apart.
+def cells(prints: DataFrame, width: int) -> DataFrame:
+    """The six cells of each row (``f, rest, cell``): ``rest``, of ``width`` bits, in four bands, of which each pair makes a cell; the other two
+    bands are the ``rest`` inside it. Where two values differ in two bits or fewer, two bands at least are equal."""
+    n = width // 4
+    band = [F.shiftrightunsigned("rest", n * i).bitwiseAND(F.lit((1 << n) - 1)) for i in range(4)]
+    both = lambda i, j: F.shiftleft(band[i], n).bitwiseOR(band[j])
+    pairs = list(combinations(range(4), 2))
+    each = F.array(*[F.struct(F.xxhash64("cell", F.lit(k), both(i, j)).alias("cell"), both(*(x for x in range(4) if x not in (i, j))).alias("rest")) for k, (i, j) in enumerate(pairs)])
+    return prints.select("f", F.explode(each).alias("x")).select("f", "x.cell", "x.rest")
+
 
-    Grid: the 32 bit counts make four bands. Where the Manhattan distance is 2 or less, two of the bands at least
-    are equal, so both fingerprints share one of the six cells that a pair of bands makes. In a cell of up to ``room``
-    fingerprints, pairs within the Manhattan distance are verified on the bits. Fuller cells, which hold variants
-    of one text, never make pairs: two fingerprints differ by two bits or fewer exactly if flipping one bit or none of
-    each can make them equal, and every such point, near 65 fingerprints at most, links those that reach it to the least.
+def links(prints: DataFrame, bits: int = 2, room: int = 48) -> DataFrame:
+    """Links ``a, b``: all pairs of distinct fingerprints (column ``f``) at ``bits`` (1 or 2) or fewer apart, each at least once.
+
+    Grid over the bit counts of the segments: they make four bands, and where the Manhattan distance is 2 or less two bands at least
+    are equal, so both fingerprints share one of the six cells that a pair of bands makes. In a cell of up to ``room`` fingerprints the pairs
+    within the Manhattan distance are verified on the bits. A fuller cell is cut again by the bands of the counts that are still
+    free in it, and when all but two of these are fixed, in the same way with segments of one bit, where the Manhattan distance
+    is the number of differing bits; so in the end no cell holds more than four. A fingerprint has at most 2,080 others within
+    two bits, so links grow with the number of fingerprints even where all of them are variants of one text.
     """
     if bits not in (1, 2):
         raise ValueError("bits is 1 or 2")
-    t = thermometer(F.col("f"))
-    band = [F.shiftrightunsigned(t, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    cells = F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(band[i], 16)).bitwiseOR(band[j]) for k, (i, j) in enumerate(combinations(range(4), 2))])
-    keyed = prints.select("f", F.explode(cells).alias("cell"))
-    full = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(full, "cell"), "cells")
-
-    near = shared.where(F.col("n") <= room).groupBy("cell").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    pairs = near.select("fs", F.explode("fs").alias("a")).select("a", F.explode(F.filter("fs", lambda x: x > F.col("a"))).alias("b"))
     differ = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits
-    pairs = pairs.where(differ(thermometer(F.col("a")), thermometer(F.col("b")))).where(differ(F.col("a"), F.col("b")))
-
-    hot = shared.where(F.col("n") > room).select("f").distinct()
-    flips = [F.col("f")] + [F.col("f").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    if bits == 1:  # points between: one of the two is the point itself
-        owner = F.when(F.col("f") == F.col("p"), F.col("f"))
-    else:
-        owner = F.col("f")
-    points = hot.select("f", F.explode(F.array(*flips)).alias("p")).groupBy("p").agg(F.min(owner).alias("a"), F.collect_set("f").alias("fs"))
-    stars = points.where("a is not null and size(fs) > 1").select("a", F.explode("fs").alias("b"))
-    return pairs.unionByName(stars.where("a <> b"))
+    start = lambda rest: (lambda df: df.withColumn("rest", rest))
+    todo, out = prints.select("f", F.lit(0).cast("long").alias("cell")), None
+    grids = [(64, start(thermometer(F.col("f")))), (32, None), (16, None), (8, None), (64, start(F.col("f"))), (32, None), (16, None), (8, None), (4, None)]
+    for i, (width, begin) in enumerate(grids):
+        keyed = cells(begin(todo) if begin else todo, width)
+        sizes = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        shared = written(attach(written(keyed, "keyed"), sizes, "cell", "n"), "cells")
+        last = i == len(grids) - 1
+        near = (shared if last else shared.where(F.col("n") <= room)).groupBy("cell").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+        pairs = near.select("fs", F.explode("fs").alias("a")).select("a", F.explode(F.filter("fs", lambda x: x > F.col("a"))).alias("b"))
+        pairs = pairs.where(differ(thermometer(F.col("a")), thermometer(F.col("b")))).where(differ(F.col("a"), F.col("b")))
+        out = pairs if out is None else out.unionByName(pairs)
+        todo = shared.where(F.col("n") > room).select("f", "cell", "rest")
+        if last or todo.isEmpty():
+            return out
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -99,21 +106,19 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """
     rows = written(fingerprints(docs, words), "prints")
     prints = written(rows.groupBy("f").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(prints, bits))
-    known = prints.join(roots, prints.f == roots.node, "left").select("f", "first", "n", F.coalesce("root", "f").alias("root"))
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = written(known.join(least, "root").select("f", "n", "component_id"), "known")
+    known = rooted(prints, components(links(prints, bits)), F.min("first").alias("component_id"))
     out = attach(rows, known, "f", "n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group, that of the smallest ``doc_id``, with all columns; a row without ``doc_id`` stays.
+    """One document of each group, that of the smallest ``doc_id`` (a null one last), with all columns; rows that repeat both ``doc_id``
+    and text are one, and different texts under one ``doc_id`` are judged each by itself.
 
     Groups are of similarity (``near_copies``): at 0.8 most copies differ by more bits than fingerprints can be joined on.
     """
     columns = [f"d.`{c}`" for c in docs.columns]
-    keep = near_groups(docs.where("doc_id is not null"), words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("d.doc_id").orderBy(F.lit(0)))
-    kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id") == F.col("k.doc_id")).withColumn("_tm_one", one).where("_tm_one = 1")
-    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
+    keep = near_groups(docs, words, similarity).where("first").select("doc_id", "version").distinct()
+    one = F.row_number().over(Window.partitionBy("k.doc_id", "k.version").orderBy(F.lit(0)))
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.version"))
+    return docs.alias("d").join(keep.alias("k"), same).withColumn("_tm_one", one).where("_tm_one = 1").select(*columns)
