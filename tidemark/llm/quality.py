@@ -1,4 +1,4 @@
-"""A quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters."""
+"""A quality classifier: perplexity under an interpolated modified Kneser-Ney model of the bytes of texts."""
 
 from __future__ import annotations
 
@@ -7,21 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rolling import running_sums
 from .common import attach, id_back, id_text, written
 
-#: Bits of a character in a packed n-gram; five fit into a long.
-BITS = 12
-ORDER = 5
+#: Bits of a symbol in a packed n-gram; six fit into a long.
+BITS = 8
+ORDER = 6
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """A text's characters in lower case as numbers below 4096 (the upper 512 share the rare ones), white space as one, with
-    four starts in front."""
-    a = np.frombuffer(("\x01" * (ORDER - 1) + " ".join((text or "").lower().split())).encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.where(a < 3584, a, 3584 + a % 512)
+    """The UTF-8 bytes of a text in lower case, white space as one, with starts in front. Every script has its own, and since there are 256, no
+    context has more followers and no n-gram more predecessors, so the joins of the model have no hot keys."""
+    return np.frombuffer(("\x01" * (ORDER - 1) + " ".join((text or "").lower().split())).encode(), np.uint8).astype(np.int64)
 
 
 def packed(a: np.ndarray, n: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     """
     levels, out = {ORDER: counts}, None
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = written(levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).agg(F.count("*").alias("n")), f"level{k}")
     below = levels[1].groupBy("lang").agg((F.lit(1.0) / (F.count("*") + 1)).alias("lower"))
     contexts = {}
     for k in range(1, ORDER + 1):
@@ -66,7 +66,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         d = F.broadcast(d.withColumn("y", y).select("lang", cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3")))  # one row for each language
         level = level.join(d, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         level = level.withColumn("context", F.shiftright("gram", BITS)).withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1))
-        contexts[k] = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+        contexts[k] = written(level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight")), f"contexts{k}")
         level = level.join(contexts[k], ["lang", "context"])
         level = level.join(F.broadcast(below), "lang") if k == 1 else level.join(below.withColumnRenamed("gram", "suffix"), ["lang", "suffix"])
         below = written(level.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("lower")).alias("lower")), f"order{k}")
@@ -236,24 +236,40 @@ def perplexities(docs: DataFrame, rows: DataFrame, most: int = 3_000_000) -> Dat
     return keyed.select("row", "doc_id", "lang").join(best, "row", "left").select("doc_id", "lang", "perplexity")
 
 
+def quantiles(values: DataFrame, x: str, q: float, key: str) -> DataFrame:
+    """``key, quantile``: exactly, with the straight line between two ranks, from counts by value and their running sums."""
+    counts = running_sums(values.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("n")), x, ["n"], [key])
+    counts = counts.join(values.where(F.col(x).isNotNull()).groupBy(key).agg(((F.count("*") - 1) * F.lit(q)).alias("at")), key)
+    from_ = lambda rank: F.min(F.when(F.col("n_upto") > rank, F.col(x)))
+    t = counts.groupBy(key, "at").agg(from_(F.floor("at")).alias("low"), from_(F.ceil("at")).alias("high"))
+    return t.select(key, (F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))).alias("quantile"))
+
+
+def held_out(key: Column, share: int = 5) -> Column:
+    """One trusted document of ``share``: the model does not learn from it, and the thresholds come from these only."""
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(share)) == 0
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.15, most: int = 3_000_000) -> DataFrame:
     """``doc_id, lang, perplexity, threshold, keep`` for each row of ``docs``.
 
-    Trusted text: documents that ``labels`` (``doc_id, quality, toxic``) call good and not toxic. A language's threshold is
-    ``margin`` times the exact ``quantile`` of its trusted documents' perplexities; a language without any takes the quantile of all.
-    A document is kept if its perplexity is not above. Null or wordless texts have no perplexity and are not kept; without
-    trusted documents nothing can be judged and the others are kept. Null languages are one language.
+    Trusted text: documents that ``labels`` (``doc_id, quality, toxic``) call good and not toxic. The model is trained on four fifths of it, chosen
+    by a hash of the id; a language's threshold is ``margin`` times the exact ``quantile`` of the perplexities of the others, which the
+    model has not seen; a language without any takes the quantile of all. A document is kept if its perplexity is not above. Null or wordless
+    texts have no perplexity and are not kept; without thresholds nothing can be judged and the others are kept. Null languages are
+    one language. Rows that repeat an id are each judged by their own text.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    trusted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null")
+    trusted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null").where(~held_out(F.col("doc_id")))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 19))
-    some = F.broadcast(good.select(bucket.alias("_bucket")).distinct())  # 2^19 numbers at most, whatever the labels: spares most other texts the shuffle
+    some = F.broadcast(good.where(~held_out(F.col("doc_id"))).select(bucket.alias("_bucket")).distinct())  # 2^19 numbers at most, whatever the labels: spares most other texts the shuffle
     trusted = trusted.withColumn("_bucket", bucket).join(some, "_bucket", "left_semi").drop("_bucket").join(good, "doc_id", "left_semi")
     scored = written(perplexities(docs, model_table(trusted), most), "scored")
-    known = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    limit = F.percentile("perplexity", F.lit(quantile)) * margin
-    own, every = known.groupBy("lang").agg(limit.alias("own")), known.agg(limit.alias("every")).first().every
-    out = scored.join(F.broadcast(own), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))  # one row for each language
+    known = written(scored.where(held_out(F.col("doc_id"))).join(good, "doc_id", "left_semi").where("perplexity is not null"), "known")
+    every = quantiles(known.withColumn("whole", F.lit(1)), "perplexity", quantile, "whole").first()
+    own = quantiles(known, "perplexity", quantile, "lang").select("lang", (F.col("quantile") * margin).alias("own"))
+    out = scored.join(F.broadcast(own), "lang", "left")  # one row for each language
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(every and every["quantile"] * margin).cast("double")))
     has_words = F.col("perplexity").isNotNull()
     keep = F.when(F.col("threshold").isNull(), F.lit(True)).otherwise(has_words & (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(keep, F.lit(False)).alias("keep"))
