@@ -1,6 +1,7 @@
 """Exact small goldens and invariants of the series operators."""
 
 import json
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -59,6 +60,27 @@ def test_ema_matches_recursion_with_nulls(spark):
         assert all((g is None) == (w != w) and (g is None or abs(g - w) < 1e-9) for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("gap", [700, 1000, 5000])
+def test_ema_after_long_gaps(spark, gap):
+    pd = pytest.importorskip("pandas")
+    x = [40.0, 45.0, *[None] * gap, 50.0, 51.0, *[None] * 300, 7.0, *[60.0 + i % 5 for i in range(600)]]
+    df = spark.createDataFrame([("A", "1h", T0 + timedelta(hours=i), v) for i, v in enumerate(x)], "symbol string, interval string, ts timestamp, x double").repartition(5)
+    out = windows.emas(df, {"y2": ("x", 2), "y12": ("x", 12), "y96": ("x", 96)}, block=16).orderBy("ts").toPandas()
+    for span in (2, 12, 96):
+        want = pd.Series(x, dtype=float).ewm(span=span, adjust=False).mean()
+        assert abs(out[f"y{span}"] - want).max() < 1e-9 and out[f"y{span}"].notna().all()
+
+
+def test_volatility_regime_is_linear(spark):
+    pd, n = pytest.importorskip("pandas"), 100_000
+    df = spark.range(n).select(F.lit("A").alias("symbol"), F.lit("1m").alias("interval"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (100 + F.sin("id") + (F.col("id") * 7 % 13) / 9).alias("close"))
+    began = time.time()
+    out = windows.volatility_regime(df).orderBy("ts").toPandas()
+    assert time.time() - began < 60
+    v = pd.Series(df.toPandas().close).pct_change().fillna(0).rolling(24, min_periods=12).std().bfill()
+    assert abs(out.volatility - v).max() < 1e-9 and set(out.regime) == {"calm", "neutral", "volatile"}
+
+
 def test_no_look_ahead_and_series_are_independent(spark):
     a = candles(spark, [100 + (i * 13 % 7) / 2 for i in range(120)])
     both = a.unionByName(a.withColumn("symbol", F.lit("B")).withColumn("close", F.col("close") * 2)).repartition(7)
@@ -69,6 +91,23 @@ def test_no_look_ahead_and_series_are_independent(spark):
     assert all(t in ("string", "timestamp", "float") for _, t in features.create_features(a, s).dtypes)
 
 
+def test_registered_features_are_there_whatever_the_inputs(spark):
+    df = candles(spark, [100 + (i * 13 % 7) / 2 for i in range(80)])
+    for s in (features.Settings(step_minutes=15, fill=-1.0), features.Settings(step_minutes=1440, fill=-1.0), features.Settings(step_minutes=60, onchain=False, orderbook=False, derivatives=False)):
+        out = features.create_features(df, s)
+        assert set(features.registered(s)) <= set(out.columns) and {"vol_volatility_60m", "time_tod_sin", "time_is_day"} <= set(out.columns)
+        features.assert_finished(out)
+        absent = ["cross_gold_corr_4h", *["lob_spread_bps", "wall_ask_size_rel", "deriv_liq_to_oi", "deriv_oi_velocity", "onch_height"] * s.onchain, *["mom_log_ret_15m", "vol_of_vol_1h"] * (s.step_minutes == 1440)]
+        assert out.select(*absent).distinct().collect() == [tuple([s.fill] * len(absent))]
+        assert not s.onchain or out.select("d_deriv_oi_velocity").orderBy("d_deriv_oi_velocity").first()[0] == -1.0
+    with pytest.raises(TypeError, match="note"):
+        features.create_features(df.withColumn("note", F.lit("x")))
+    with pytest.raises(ValueError, match="x"):
+        features.assert_finished(df.withColumn("x", F.lit(float("nan"))).select("symbol", "interval", "ts", "x"))
+    with pytest.raises(KeyError, match="p_hat"):
+        features.backtest_columns(df, "ts", target="close", price="open")
+
+
 def test_feature_checks(spark):
     df = candles(spark, [100.0])
     with pytest.raises(KeyError, match="close"):
@@ -122,6 +161,63 @@ def test_payload_shapes(spark):
     assert (fee.wavg, fee.p50, fee.p90, fee.vsize) == (2.25, 2.0, 3.0, 4.0)
 
 
+def test_last_point_is_the_last_arrival(spark):
+    rows = [("A", 2, json.dumps([[1609459200, 5], [1609459200, 7]])), ("A", 1, json.dumps([[1609459200, 9]]))]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "symbol string, seen int, payload string").repartition(n)
+        assert payloads.chart_series(df, arrival="seen").first().value == 7.0
+
+
+def test_actuals_of_repeated_prices(spark):
+    p = spark.createDataFrame([("A", 10, 1.0, None, None)], "symbol string, target_time_ms long, p_hat double, y_true_hat double, abs_error double")
+    prices = spark.createDataFrame([("A", 10, 2.0, 2), ("A", 10, 3.0, 1)], "symbol string, open_time long, close double, seen int")
+    assert timegrid.actuals(p, prices, "seen").first().y_true_hat == 2.0 and timegrid.actuals(p, prices).first().y_true_hat == 3.0
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, 1.5), ("B", 2, None)], "symbol string, n int, x double")
+    tables.write_features(df, f"{tmp_path}/f")
+    tables.write_features(df, f"{tmp_path}/f.csv")
+    assert sorted(p.name for p in (tmp_path / "f").glob("symbol=*")) == ["symbol=A", "symbol=B"] and spark.read.parquet(f"{tmp_path}/f").count() == 2
+    assert scans.file_scan(spark, f"{tmp_path}/f.csv", "when").orderBy("n").first().x == "1.5"
+    tables.write_run(str(tmp_path), "r1", {"metrics": df, "folds": df.limit(1)})
+    tables.write_run(str(tmp_path), "r1", {"metrics": df})
+    assert spark.read.parquet(f"{tmp_path}/metrics").where("run_id = 'r1'").count() == 2 and (tmp_path / "folds" / "run_id=r1").exists()
+    tables.write_cv_summary(df, f"{tmp_path}/cv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/cv").count() == 2
+    grid = spark.createDataFrame([("2024-01-01", 0, 1.0), ("2024-01-01", 1, 2.0), ("2024-01-02", 2, 3.0)], "date string, hour int, v double")
+    tables.overwrite_range(grid, f"{tmp_path}/g")
+    tables.overwrite_range(spark.createDataFrame([("2024-01-01", 5, None)], "date string, hour int, v double"), f"{tmp_path}/g")
+    assert sorted((r.hour, r.v) for r in spark.read.parquet(f"{tmp_path}/g").collect()) == [(2, 3.0), (5, None)]
+
+
+def test_live_snapshots_keep_known_cells(spark):
+    old = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "ts int, a double, b double")
+    new = spark.createDataFrame([(1, None), (2, 9.0), (3, 5.0)], "ts int, a double")
+    assert sorted(tuple(r) for r in jobs.merged(old, new, ["ts"]).collect()) == [(1, 1.0, 2.0), (2, 9.0, 4.0), (3, 5.0, None)]
+
+
+def test_metrics_and_importance_by_regime(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), ((F.col("id") % 2) * 2.0).alias("a"), (F.hash("id") % 7).cast("double").alias("b"), F.when(F.col("id") < 300, "calm").otherwise("wild").alias("regime"), F.floor(F.col("id") / 100).alias("block"))
+    model = models.boosted(df, ["a", "b"], "y", rounds=2, depth=2)
+    got = {(r.regime, r.feature): r["mean"] for r in models.importance_by_regime(df, model, ["a", "b"], "y", "id", "regime", repeats=2, block="block").collect()}
+    assert set(got) == {(r, f) for r in ("calm", "wild") for f in "ab"} and got["calm", "a"] > 0.3 > abs(got["calm", "b"])
+    slow = {r.regime: (r.value, r["count"]) for r in evaluate.by_regime_python(df.withColumnsRenamed({"y": "y_true", "a": "y_pred"}), lambda t, p: ((t - p) ** 2).mean()).collect()}
+    assert slow == {"calm": (0.5, 300), "wild": (0.5, 100)}
+
+
+def test_stratified_splits_and_gaps(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("y"))
+    sizes = {r.y: r.n for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    test = {r.y: r.n for r in splits.stratified_holdout(df, "y", "id").where("role = 'test'").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert test == {y: round(n * 0.2) for y, n in sizes.items()}
+    folds = splits.stratified_kfold(df, "y", "id", 7)
+    per = [r.n for r in folds.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()]
+    assert folds.count() == 5000 and len(per) == 28 and {(r.id, r.fold) for r in folds.collect()} == {(r.id, r.fold) for r in splits.stratified_kfold(df.repartition(9), "y", "id", 7).collect()}
+    t = candles(spark, [1.0] * 300, minutes=45)
+    assert [r.g for r in splits.time_gaps(t).distinct().collect()] == [45 * 60 * 1_000_000] and splits.time_gaps(t).count() == 299
+
+
 def test_grid_and_resample(spark):
     df = spark.createDataFrame([("A", datetime(2021, 1, 1, 0, 15), 1.0), ("A", datetime(2021, 1, 1, 0, 15, 0, 1), 2.0), ("A", datetime(2021, 1, 1, 1, 0), 3.0)], "symbol string, ts timestamp, v double")
     out = [(r.ts.minute, r.hour if "hour" in r else None, r.s) for r in timegrid.resample(df, 900, {"s": F.sum("v")}, empty={"s": 0.0}).orderBy("ts").collect()]
@@ -141,7 +237,8 @@ def test_halo_blocks_give_the_same_windows(spark):
 def test_walls_need_six_levels(spark):
     row = spark.createDataFrame([(100.0, [1.0] * 9 + [50.0])], "close double, s array<double>")
     levels = F.transform("s", lambda x, i: F.struct((i + 1).alias("level"), (100.0 - i).alias("price"), x.alias("size")))
-    d, share = arrays.wall(levels, F.col("close"))
+    wall = arrays.wall(levels, F.col("close"), "bid")
+    d, share = wall["dist_bps"], wall["size_rel"]
     got = row.select(d.alias("d"), share.alias("s")).first()
     assert got.d == pytest.approx(900.0) and got.s == pytest.approx(50 / 59)
     few = spark.createDataFrame([(100.0, [1.0] * 4 + [50.0])], "close double, s array<double>").select(d.alias("d")).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +52,28 @@ def levels_of(df: DataFrame, side: str) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"lob_{side}_price_{n}").cast("double").alias("price"), F.col(f"lob_{side}_size_{n}").cast("double").alias("size")) for n in ns])
 
 
-def wall(levels: Column, close: Column, k: float = 2.0) -> tuple[Column, Column]:
-    """Of the levels whose size is over the mean by ``k`` population deviations, the largest (the first of equals):
-    its distance to ``close`` in basis points and its share of all size. Null if there is none."""
-    have = F.filter(levels, lambda x: x["size"].isNotNull())
-    n, s = F.size(have), summed(have, lambda x: x["size"])
-    mean = ratio(s, n)
-    dev = F.sqrt(ratio(summed(have, lambda x: (x["size"] - mean) * (x["size"] - mean)), n))
-    over = F.filter(have, lambda x: x["size"] > mean + k * dev)
-    most = F.get(F.array_sort(F.transform(over, lambda x: F.struct((-x["size"]).alias("s"), x["level"].alias("level"), x["price"].alias("price")))), F.lit(0))
-    return ratio(F.abs(most["price"] - close), close) * 1e4, ratio(-most["s"], s)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def wall(levels: Column, close: Column, side: str = "ask", k: float = 2.0) -> Column:
+    """Of the levels whose size is over the mean by ``k`` population deviations, the largest (the first of equals), as a struct: ``dist_bps``, how far
+    it lies from ``close`` outward on its ``side``, in basis points, and ``size_rel``, its share of all size. Nulls if there is none."""
+
+    def of(have: Column) -> Column:
+        s = summed(have, lambda x: x["size"])
+        return let(F.struct(s.alias("sum"), ratio(s, F.size(have)).alias("mean")), lambda m: let(limit(have, m), lambda e: largest(have, m, e)))
+
+    def limit(have: Column, m: Column) -> Column:
+        return m["mean"] + k * F.sqrt(ratio(summed(have, lambda x: (x["size"] - m["mean"]) * (x["size"] - m["mean"])), F.size(have)))
+
+    def largest(have: Column, m: Column, edge: Column) -> Column:
+        over = F.filter(have, lambda x: x["size"] > edge)
+        most = F.get(F.array_sort(F.transform(over, lambda x: F.struct((-x["size"]).alias("s"), x["level"].alias("level"), x["price"].alias("price")))), F.lit(0))
+        return let(most, lambda x: F.struct((ratio((x["price"] - close) if side == "ask" else (close - x["price"]), close) * 1e4).alias("dist_bps"), ratio(-x["s"], m["sum"]).alias("size_rel")))
+
+    return let(F.filter(levels, lambda x: x["size"].isNotNull()), of)
 
 
 def depth_imbalance(bids: Column, asks: Column) -> Column:
@@ -69,8 +82,8 @@ def depth_imbalance(bids: Column, asks: Column) -> Column:
 
 
 def slope_bps(levels: Column) -> Column:
-    """Size-weighted price against the best (first) price, in basis points."""
+    """Size-weighted price less the best (first) price, in basis points."""
+    mean = lambda x: ratio(summed(x, lambda y: y["price"] * y["size"]), summed(x, lambda y: y["size"]))
     priced = F.filter(levels, lambda x: x["price"].isNotNull() & x["size"].isNotNull())
-    mean = ratio(summed(priced, lambda x: x["price"] * x["size"]), summed(priced, lambda x: x["size"]))
     best = F.get(levels, F.lit(0))["price"]
-    return ratio(F.abs(mean - best), best) * 1e4
+    return ratio(let(priced, mean) - best, best) * 1e4

@@ -87,11 +87,11 @@ def time_features(ts: Column) -> dict[str, Column]:
     """Cyclic minute of day, hour and day of week (Monday is 0), and day, night and weekend flags."""
     hour, minute, day = F.hour(ts), F.hour(ts) * 60 + F.minute(ts), F.weekday(ts)
     out = {}
-    for name, value, n in (("minute", minute, 1440), ("hour", hour, 24), ("dow", day, 7)):
+    for name, value, n in (("tod", minute, 1440), ("time_hour", hour, 24), ("time_dow", day, 7)):
         angle = value * F.lit(2 * math.pi / n)
-        out |= {f"time_{name}_sin": F.sin(angle), f"time_{name}_cos": F.cos(angle)}
+        out |= {f"{name}_sin": F.sin(angle), f"{name}_cos": F.cos(angle)}
     is_day, weekend = (hour >= 8) & (hour < 20), day >= 5
-    return out | {"time_is_day": is_day.cast("double"), "time_is_night": (~is_day).cast("double"), "time_is_weekend": weekend.cast("double"), "time_is_weekday": (~weekend).cast("double")}
+    return out | {"is_day": is_day.cast("double"), "is_night": (~is_day).cast("double"), "is_weekend": weekend.cast("double"), "is_weekday": (~weekend).cast("double")}
 
 
 def taker_flow(taker: Column, volume: Column) -> tuple[Column, Column]:
@@ -109,9 +109,8 @@ def taker_buy_sell(taker: Column, volume: Column) -> Column:
     return ratio(taker, volume - taker)
 
 
-def liquidation(long: Column, short: Column, interest: Column, fill: float = 0.0) -> dict[str, Column]:
-    a, b = F.coalesce(long, F.lit(fill)), F.coalesce(short, F.lit(fill))
-    return {"deriv_liq_total": a + b, "deriv_liq_net": a - b, "deriv_liq_rel_oi": ratio(a + b, interest)}
+def liquidation(long: Column, short: Column, interest: Column) -> dict[str, Column]:
+    return {"deriv_liq_total": long + short, "deriv_liq_net": long - short, "deriv_liq_to_oi": ratio(long + short, interest)}
 
 
 def imbalance(bid: Column, ask: Column) -> Column:

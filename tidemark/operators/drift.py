@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import running_sums
@@ -17,32 +17,53 @@ def unpivoted(df: DataFrame, features: Sequence[str], current: str = "is_current
     return df.select(F.col(current).alias("is_current"), F.inline(pairs)).where("value is not null")
 
 
+def by_value(long: DataFrame) -> DataFrame:
+    """``feature, value, a, b, a_upto, b_upto, na, nb``: how often each value occurs in the reference (a) and the current sample (b), with running
+    and whole sums. All measures come from this one count, so none gathers a feature in a task."""
+    c = long.groupBy("feature", "value").agg(F.count_if("is_current").alias("b"), F.count_if(~F.col("is_current")).alias("a"))
+    sizes = c.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    return running_sums(c, "value", ["a", "b"], ["feature"]).join(F.broadcast(sizes), "feature")  # one row for each feature
+
+
+def reference_cuts(counts: DataFrame, bins: int) -> DataFrame:
+    """``feature, cuts``: the exact quantiles of the reference, between ranks by the straight line."""
+    at = {i: (F.col("na") - 1) * F.lit(i / bins) for i in range(1, bins)}
+    low = {i: F.min(F.when(F.col("a_upto") > F.floor(x), F.col("value"))) for i, x in at.items()}
+    high = {i: F.min(F.when(F.col("a_upto") > F.ceil(x), F.col("value"))) for i, x in at.items()}
+    t = counts.where("a > 0").groupBy("feature", "na").agg(*[c.alias(f"l{i}") for i, c in low.items()], *[c.alias(f"h{i}") for i, c in high.items()])
+    between = lambda i, x: F.when(F.ceil(x) == F.floor(x), F.col(f"l{i}")).otherwise((F.ceil(x) - x) * F.col(f"l{i}") + (x - F.floor(x)) * F.col(f"h{i}"))
+    return t.select("feature", F.array_distinct(F.array(*[between(i, x) for i, x in at.items()])).alias("cuts"))
+
+
+def _psi(counts: DataFrame, bins: int) -> DataFrame:
+    t = counts.join(F.broadcast(reference_cuts(counts, bins)), "feature")  # a few numbers for each feature
+    c = t.groupBy("feature", F.size(F.filter("cuts", lambda e: e <= F.col("value"))).alias("bin"), "na", "nb").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    c = c.withColumns({"pa": F.try_divide("a", F.col("na")), "pb": F.try_divide("b", F.col("nb"))})
+    term = F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("pb") - F.col("pa")) * F.ln(F.col("pb") / F.col("pa"))).otherwise(0.0)
+    return c.groupBy("feature").agg(F.when((F.max("na") > 0) & (F.max("nb") > 0), F.sum(term)).alias("psi"))
+
+
+def _ks(counts: DataFrame) -> DataFrame:
+    gap = F.abs(F.try_divide("a_upto", F.col("na")) - F.try_divide("b_upto", F.col("nb")))
+    return counts.groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
 def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     """``feature, psi``: bins between exact quantiles of the reference with open ends, summed where both samples have rows;
     null if either sample is empty."""
-    cut = long.where("not is_current").groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
-    t = long.join(F.broadcast(cut.withColumn("cuts", F.array_distinct("cuts"))), "feature")  # a few numbers for each feature
-    t = t.withColumn("bin", F.size(F.filter("cuts", lambda e: e <= F.col("value"))))
-    c = t.groupBy("feature", "bin").agg(F.count_if("is_current").alias("b"), F.count_if(~F.col("is_current")).alias("a"))
-    every = Window.partitionBy("feature")
-    c = c.withColumns({"pa": F.try_divide("a", F.sum("a").over(every)), "pb": F.try_divide("b", F.sum("b").over(every)), "na": F.sum("a").over(every), "nb": F.sum("b").over(every)})
-    term = F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("pb") - F.col("pa")) * F.ln(F.col("pb") / F.col("pa"))).otherwise(0.0)
-    return c.groupBy("feature").agg(F.when((F.max("na") > 0) & (F.max("nb") > 0), F.sum(term)).alias("psi"))
+    counts = by_value(long)
+    return counts.select("feature").distinct().join(_psi(counts, bins), "feature", "left")
 
 
 def ks(long: DataFrame) -> DataFrame:
     """``feature, ks``: the largest distance of the two distribution functions, from counts by value and their running sums."""
-    c = long.groupBy("feature", "value").agg(F.count_if("is_current").alias("b"), F.count_if(~F.col("is_current")).alias("a"))
-    sizes = c.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    t = running_sums(c, "value", ["a", "b"], ["feature"]).join(F.broadcast(sizes), "feature")  # one row for each feature
-    gap = F.abs(F.try_divide("a_upto", F.col("na")) - F.try_divide("b_upto", F.col("nb")))
-    return t.groupBy("feature").agg(F.max(gap).alias("ks"))
+    return _ks(by_value(long))
 
 
 def drift_table(df: DataFrame, features: Sequence[str], current: str = "is_current", psi_alert: float = 0.2, ks_alert: float = 0.1) -> DataFrame:
     """``feature, psi, ks, psi_alert, ks_alert``; without a value there is no alert."""
-    long = unpivoted(df, features, current)
-    t = psi(long).join(ks(long), "feature", "full")
+    counts = by_value(unpivoted(df, features, current))
+    t = _ks(counts).join(_psi(counts, 10), "feature", "left")
     alert = lambda c, x: F.coalesce(F.col(c) > x, F.lit(False)).alias(f"{c}_alert")
     return t.select("feature", "psi", "ks", alert("psi", psi_alert), alert("ks", ks_alert))
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import KEY
+from ..sources.shared import written
 from . import evaluate, splits
 from .windows import decay_weight
 
@@ -61,7 +62,7 @@ def scored(df: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataF
 
 def walk_forward_predictions(folds: DataFrame, features: Sequence[str], label: str, fit=boosted, **options) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions, and metrics by fold: one fit for each fold (``fold, role`` as the splits give them)."""
-    folds = folds.persist()
+    folds = written(folds, "folds")
     out = None
     for k in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         one = folds.where(F.col("fold") == k)
@@ -136,7 +137,8 @@ def permutation_importance(df: DataFrame, model: PipelineModel, features: Sequen
 
     The permutation is a join of row numbers in two orders, by key and by hash, within ``block`` (all rows without one).
     """
-    df = df.withColumn("_b", F.col(block) if block else F.pmod(F.xxhash64(key), F.lit(64))).persist()
+    df = df.withColumn("_b", F.col(block) if block else F.pmod(F.xxhash64(key), F.lit(64)))
+    df = written(df, "permuted")
     accuracy = lambda d: scored(d, model).agg(F.avg((F.col("pred") == F.col(label)).cast("double"))).first()[0]
     base, rows = accuracy(df), []
     for f in features:
@@ -181,7 +183,7 @@ def meta_classifier(df: DataFrame, features: Sequence[str], label: str, k: int =
     """A random forest, its calibrated out-of-fold predictions over expanding folds, and the threshold of best F1."""
     folds = splits.expanding(df, k)
     out, _ = walk_forward_predictions(folds, features, label, fit=forest)
-    out = out.persist()
+    out = written(out, "folds")
     method = "isotonic" if out.count() > many else "sigmoid"
     oof = calibrated(out, out, label, method=method)
     return forest(df, features, label), oof, evaluate.best_threshold(oof, label, "calibrated").first().threshold

@@ -44,13 +44,22 @@ def in_folds(df: DataFrame, folds: Sequence[tuple], ts: str = "ts") -> DataFrame
     return out.where(F.col("fold").isin(whole)) if whole else out.where(F.lit(False))
 
 
+def time_gaps(df: DataFrame) -> DataFrame:
+    """``g``: the microseconds between neighbours of all distinct times; within each day, and then over the days' ends, so that no task
+    holds all times."""
+    t = df.select(F.unix_micros("ts").alias("t"), F.to_date("ts").alias("day")).distinct()
+    inside = t.select((F.col("t") - F.lag("t").over(Window.partitionBy("day").orderBy("t"))).alias("g"))
+    days = t.groupBy("day").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    across = days.select((F.col("a") - F.lag("b").over(Window.partitionBy(F.lit(0)).orderBy("day"))).alias("g"))  # one row a day
+    return inside.unionByName(across).where("g is not null")
+
+
 def walk_forward_split(df: DataFrame, train_days: int, test_days: int, step_days: int, min_train_days: int, purge_minutes: int | None = None, embargo_minutes: int = 0) -> DataFrame:
     """Walk-forward folds over all of ``df``; purged ones where ``purge_minutes`` is given."""
     first, last = df.agg(F.min("ts"), F.max("ts")).first()
     step = timedelta(0)
     if purge_minutes is not None:
-        gap = df.select("ts").distinct().withColumn("g", F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy(F.lit(0)).orderBy("ts")))
-        m = gap.agg(F.median("g")).first()[0]
+        m = time_gaps(df).agg(F.median("g")).first()[0]
         step = timedelta(microseconds=m) if m and m > 0 else timedelta(minutes=1)
     folds = walk_forward(first, last, train_days, test_days, step_days, min_train_days, purge_minutes or 0, embargo_minutes, step) if first else []
     return in_folds(df, folds)
@@ -90,13 +99,24 @@ def hashed_order(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
+def class_ranks(df: DataFrame, y: str, key: str, seed: int, parts: int = 1024) -> DataFrame:
+    """Adds ``_rank`` (from 1, in hashed order within each class) and ``_rows`` (the class's size). The hash's upper bits make ``parts`` parts,
+    of which the sizes before each are summed, so no task holds a class."""
+    t = df.withColumn("_hash", hashed_order(F.col(key), seed)).withColumn("_part", F.shiftright("_hash", 64 - (parts.bit_length() - 1)))
+    ahead = Window.partitionBy(y).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy(y, "_part").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(F.col(y).alias("_y"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_size").over(Window.partitionBy(y)).alias("_rows"))
+    t = t.withColumn("_own", F.row_number().over(Window.partitionBy(y, "_part").orderBy("_hash", key)))
+    t = t.join(sizes, t[y].eqNullSafe(F.col("_y")) & (t["_part"] == F.col("_p")))
+    return t.withColumn("_rank", F.col("_ahead") + F.col("_own")).select(*[t[c] for c in df.columns], "_rank", "_rows")
+
+
 def stratified_holdout(df: DataFrame, y: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``role`` by hashed order within each class: sizes are exact, membership depends on ``key`` and ``seed`` only."""
-    by = Window.partitionBy(y)
-    n = F.row_number().over(by.orderBy(hashed_order(F.col(key), seed), key))
-    return df.withColumn("role", F.when(n <= F.round(F.count("*").over(by) * fraction), "test").otherwise("train"))
+    role = F.when(F.col("_rank") <= F.round(F.col("_rows") * fraction), "test").otherwise("train")
+    return class_ranks(df, y, key, seed).withColumn("role", role).drop("_rank", "_rows")
 
 
 def stratified_kfold(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(y).orderBy(hashed_order(F.col(key), seed), key))
-    return df.withColumn("fold", F.pmod(n - 1, F.lit(k)).cast("int"))
+    """``fold`` by hashed order within each class: sizes of a class differ by one row at the most."""
+    return class_ranks(df, y, key, seed).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_rows")

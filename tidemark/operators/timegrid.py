@@ -104,14 +104,15 @@ def as_of_hour(candles: DataFrame, snapshots: DataFrame, columns: Sequence[str],
     return both.where("_side = 1").select("_row.*", *columns)
 
 
-def actuals(predictions: DataFrame, prices: DataFrame) -> DataFrame:
+def actuals(predictions: DataFrame, prices: DataFrame, arrival: str = "close") -> DataFrame:
     """Fills ``y_true_hat`` and ``abs_error`` of pending predictions from the price at their target time; others are untouched.
 
-    Prices are first cut to the times that are needed (a semi-join); those without a price stay pending.
+    Prices are first cut to the times that are needed (a semi-join); of several for one time the last by ``arrival`` holds (by default
+    the highest). Those without a price stay pending.
     """
     pending = F.col("y_true_hat").isNull() & F.col("target_time_ms").isNotNull()
     at = predictions.where(pending).select("symbol", F.col("target_time_ms").alias("open_time"))
-    price = prices.select("symbol", "open_time", "close").join(at, ["symbol", "open_time"], "left_semi").dropDuplicates(["symbol", "open_time"])
+    price = prices.join(at, ["symbol", "open_time"], "left_semi").groupBy("symbol", "open_time").agg(F.max_by("close", arrival).alias("close"))
     p = predictions.join(price.withColumnRenamed("open_time", "target_time_ms"), ["symbol", "target_time_ms"], "left")
     y = F.when(pending, F.col("close")).otherwise(F.col("y_true_hat"))
     e = F.when(pending & F.col("close").isNotNull(), F.abs(F.col("p_hat") - F.col("close"))).otherwise(F.col("abs_error"))

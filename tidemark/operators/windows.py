@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +29,19 @@ def ema(df: DataFrame, x: str, span: int, out: str, keys: Sequence[str] = KEY, l
     return emas(df, {out: (x, span)}, keys, least, block)
 
 
+#: A weight below e^-SMALL (1e-30) forgets all before it; within e^-REACH (1e-200) products stay exact.
+SMALL, REACH = 69.0, 460.0
+
+
 def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[str] = KEY, least: int = 1, block: int = 256) -> DataFrame:
     """Exponential moving averages ``y = (1 - a) y + a x`` with ``a = 2 / (span + 1)`` from the first value on; ``wanted``: by name, the column
     and its span (2 or more). All share one pass.
 
     Each row maps the last average affinely, ``y' = A y + B``; a value ``g`` rows after the one before meets the weight ``d^g`` with ``d = 1 - a``, so
-    ``A = d^g / (d^g + a)``; a null changes nothing. Blocks of rows are composed by running products and sums inside the block, the blocks of a
-    series (one pair of numbers each) in order, and the value carried into each block joins back. Any block can be
-    computed by any task. Null before the first value and until ``least`` values are there.
+    ``A = d^g / (d^g + a)``; a null changes nothing. Rows are composed by running products and sums inside blocks of ``block`` rows, which
+    are cut again where the product gets too small, and begin anew at a value after so many nulls that nothing before it counts. The
+    blocks are composed in order, ``block`` of them at a time and then these groups, and the value carried into each joins back. Rows are
+    numbered by one window over the series. Null before the first value and until ``least`` values are there.
     """
     by, keys, specs = series(*keys), list(keys), list(wanted.items())
     every = range(len(specs))
@@ -44,25 +51,44 @@ def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[st
     t = t.withColumns({"_block": F.floor((F.col("_n") - 1) / block)} | {f"_seen{i}": F.count(f"_v{i}").over(by) for i in every} | here)
     for i, (_, (_, span)) in enumerate(specs):
         a, fade = 2.0 / (span + 1), F.pow(F.lit(1 - 2.0 / (span + 1)), (F.col("_n") - F.col(f"_at{i}")).cast("double"))
-        t = t.withColumn(f"_A{i}", F.when(F.col(f"_v{i}").isNull() | F.col(f"_at{i}").isNull(), 1.0).otherwise(fade / (fade + a)))
+        weight = F.when(F.col(f"_v{i}").isNull() | F.col(f"_at{i}").isNull(), 1.0).otherwise(fade / (fade + a))
+        t = t.withColumn(f"_A{i}", F.when(weight < math.exp(-SMALL), 0.0).otherwise(weight))
         t = t.withColumn(f"_B{i}", F.when(F.col(f"_v{i}").isNull(), 0.0).otherwise((1 - F.col(f"_A{i}")) * F.col(f"_v{i}")))
+        t = t.withColumn(f"_L{i}", F.when(F.col(f"_A{i}") > 0, F.ln(f"_A{i}")).otherwise(0.0))
     inside = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({f"_P{i}": F.exp(F.sum(F.ln(f"_A{i}")).over(inside)) for i in every})
+    used = lambda i: F.floor(-F.sum(F.when(F.col(f"_A{i}") > 0, F.col(f"_L{i}")).otherwise(-REACH)).over(inside) / REACH)
+    t = t.withColumn("_cut", reduce(Column.__add__, [used(i) for i in every]))
+    inside = Window.partitionBy(*keys, "_block", "_cut").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({f"_P{i}": F.exp(F.sum(f"_L{i}").over(inside)) for i in every})
     t = t.withColumns({f"_S{i}": F.col(f"_P{i}") * F.sum(F.col(f"_B{i}") / F.col(f"_P{i}")).over(inside) for i in every})
-    pairs = [F.struct(F.max_by(f"_P{i}", "_n").alias("p"), F.max_by(f"_S{i}", "_n").alias("s"), F.min_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_n"))).alias("seed")).alias(f"b{i}") for i in every]
-    series_of = t.groupBy(*keys, "_block").agg(*pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", *[f"b{i}" for i in every]))).alias("bs"))
-    empty = F.expr("cast(array() as array<double>)")
-
-    def carried(i: int) -> Column:
-        """The average that each block starts from."""
-        seed = F.get(F.filter("bs", lambda b: b[f"b{i}"].seed.isNotNull()), F.lit(0))[f"b{i}"].seed
+    t = t.withColumns({f"_P{i}": F.when(F.min(f"_A{i}").over(inside) > 0, F.col(f"_P{i}")).otherwise(0.0) for i in every})  # anew from its first row
+    carries = _carried(t, keys, len(specs), block)
+    y = {out: F.when(F.col(f"_seen{i}") >= max(1, least), F.col(f"_P{i}") * F.col(f"_carry{i}") + F.col(f"_S{i}")) for i, (out, _) in enumerate(specs)}
+    return t.join(carries, [*keys, "_block", "_cut"]).withColumns(y).select(*[c for c in df.columns if c not in wanted], *wanted)
+
+
+def _carried(t: DataFrame, keys: list[str], n: int, block: int) -> DataFrame:
+    """``_block, _cut, _carry0, ...``: the average that each block starts from. A group of ``block`` blocks is one row; so are all groups of a series."""
+    every = range(n)
+    seed = lambda i: F.min_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_n")))
+    pairs = [F.struct(F.max_by(f"_P{i}", "_n").alias("p"), F.max_by(f"_S{i}", "_n").alias("s"), seed(i).alias("seed")).alias(f"b{i}") for i in every]
+    blocks = t.groupBy(*keys, "_block", "_cut").agg(*pairs).withColumn("_group", F.floor(F.col("_block") / block))
+    groups = blocks.groupBy(*keys, "_group").agg(F.array_sort(F.collect_list(F.struct("_block", "_cut", *[f"b{i}" for i in every]))).alias("bs"))
+    first = lambda bs, i: F.get(F.filter(bs, lambda b: b[f"b{i}"].seed.isNotNull()), F.lit(0))[f"b{i}"].seed
+    one = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
+    both = lambda i: F.aggregate("bs", one, lambda acc, b: F.struct((acc.p * b[f"b{i}"].p).alias("p"), (b[f"b{i}"].p * acc.s + b[f"b{i}"].s).alias("s")))
+    whole = groups.withColumns({f"_w{i}": both(i) for i in every}).withColumns({f"b{i}": F.struct(F.col(f"_w{i}.p").alias("p"), F.col(f"_w{i}.s").alias("s"), first("bs", i).alias("seed")) for i in every})
+    chain = whole.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_group", *[f"b{i}" for i in every]))).alias("gs"))
+
+    def starts(bs: str, i: int, start: Column) -> Column:
         step = lambda acc, b: F.struct((b[f"b{i}"].p * acc.y + b[f"b{i}"].s).alias("y"), F.concat(acc.out, F.array(acc.y)).alias("out"))
-        return F.aggregate("bs", F.struct(seed.alias("y"), empty.alias("out")), step, lambda acc: acc.out).alias(f"_carry{i}")
+        return F.aggregate(bs, F.struct(start.alias("y"), F.expr("cast(array() as array<double>)").alias("out")), step, lambda acc: acc.out)
 
-    carries = series_of.select(*keys, F.transform("bs", lambda b: b["_block"]).alias("_block"), *[carried(i) for i in every])
-    carries = carries.select(*keys, F.inline(F.arrays_zip("_block", *[f"_carry{i}" for i in every])))
-    y = {out: F.when(F.col(f"_seen{i}") >= max(1, least), F.col(f"_P{i}") * F.col(f"_carry{i}") + F.col(f"_S{i}")) for i, (out, _) in enumerate(specs)}
-    return t.join(carries, [*keys, "_block"]).withColumns(y).select(*[c for c in df.columns if c not in wanted], *wanted)
+    chain = chain.select(*keys, F.transform("gs", lambda g: g["_group"]).alias("_group"), *[starts("gs", i, first("gs", i)).alias(f"_start{i}") for i in every])
+    chain = chain.select(*keys, F.inline(F.arrays_zip("_group", *[f"_start{i}" for i in every])))
+    out = groups.join(chain, [*keys, "_group"])
+    out = out.select(*keys, F.transform("bs", lambda b: b["_block"]).alias("_block"), F.transform("bs", lambda b: b["_cut"]).alias("_cut"), *[starts("bs", i, F.col(f"_start{i}")).alias(f"_carry{i}") for i in every])
+    return out.select(*keys, F.inline(F.arrays_zip("_block", "_cut", *[f"_carry{i}" for i in every])))
 
 
 def hysteresis(p: Column, high: float, width: float, keys: Sequence[str] = KEY) -> Column:
@@ -101,7 +127,8 @@ def volatility_regime(df: DataFrame, price: str = "close", w: int = 24, calm: fl
     t = df.withColumn("_f", filled(F.col(price), by))
     t = t.withColumn("_c", F.coalesce(F.try_divide(F.col("_f"), F.lag("_f").over(by)) - 1, F.lit(0.0)))
     t = t.withColumn("volatility", rolled(F.stddev_samp, F.col("_c"), w, by, max(2, w // 2)))
-    t = t.withColumn("volatility", F.first("volatility", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one value for the series: only its head is null
+    t = t.withColumn("volatility", F.coalesce("volatility", F.first("volatility", ignorenulls=True).over(whole)))
     limits = t.groupBy(*keys).agg(F.percentile("volatility", F.lit(calm)).alias("_low"), F.percentile("volatility", F.lit(volatile)).alias("_high"))
     regime = F.when(F.col("volatility") <= F.col("_low"), "calm").when(F.col("volatility") >= F.col("_high"), "volatile").otherwise("neutral")
     return t.join(limits, list(keys)).withColumn("regime", regime).select(*df.columns, "volatility", "regime")

@@ -110,3 +110,8 @@ query("spl4_purged_kfold", "SELECT symbol, ts, fold, 'train' AS role FROM tr UNI
 query("spl6_expanding", f"""SELECT symbol, ts, fold, CASE WHEN i >= st THEN 'test' ELSE 'train' END AS role FROM (SELECT *, n - (n // 5) * (4 - fold) AS st, n // 5 AS sz FROM (SELECT symbol, ts, row_number() OVER ({P}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), (SELECT unnest(range(4)) AS fold)) WHERE (i >= st AND i < st + sz) OR i < st - 5""", "", "fold", BARS)(lambda s: splits.expanding(s.bars(), 4, 5).select("symbol", "ts", "fold", "role"))
 query("spl5_stratified_holdout")(lambda s: splits.stratified_holdout(s.scored(), "y_true", "doc_id").select("doc_id", "y_true", "role"))
 query("spl7_stratified_kfold")(lambda s: splits.stratified_kfold(s.scored(), "y_true", "doc_id").select("doc_id", "y_true", "fold"))
+SIZES = "(SELECT y_true, count(*) AS n FROM scored GROUP BY y_true)"
+query("spl5_stratified_holdout_sizes", f"SELECT y_true, role, n FROM (SELECT y_true, 'test' AS role, CAST(round(n * 0.2) AS BIGINT) AS n FROM {SIZES} UNION ALL SELECT y_true, 'train', n - CAST(round(n * 0.2) AS BIGINT) FROM {SIZES}) WHERE n > 0", "", "y_true n", SCORED)(
+    lambda s: splits.stratified_holdout(s.scored(), "y_true", "doc_id").groupBy("y_true", "role").agg(F.count("*").alias("n")))
+query("spl7_stratified_kfold_sizes", f"SELECT y_true, f AS fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n FROM {SIZES}, (SELECT unnest(range(5)) AS f) WHERE n > f", "", "y_true fold n", SCORED)(
+    lambda s: splits.stratified_kfold(s.scored(), "y_true", "doc_id").groupBy("y_true", "fold").agg(F.count("*").alias("n")))

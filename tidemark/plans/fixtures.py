@@ -39,6 +39,20 @@ class Inputs:
         o = F.col("open")
         return self.bars().withColumns({"open_interest": F.sum("volume").over(by), "funding_rate": (F.col("close") - o) / o, "basis_annualized": (F.col("high") - F.col("low")) / F.col("close"), "liq_long": F.col("taker_buy_base"), "liq_short": F.col("volume") - F.col("taker_buy_base")})
 
+    def joined(self) -> DataFrame:
+        """Bars with derivatives, two levels of a book, an on-chain count and the price of another asset."""
+        t, n = self.deriv(), F.col("number_of_trades")
+        return t.withColumns({
+            "lob_bid_L1": F.col("taker_buy_base"), "lob_ask_L1": F.col("volume") - F.col("taker_buy_base"), "lob_bid_price_1": F.col("close") - 1, "lob_bid_price_2": F.col("close") - 3, "lob_ask_price_1": F.col("close") + 2,
+            "lob_bid_size_1": n.cast("double"), "lob_bid_size_2": F.lit(2.0), "lob_ask_size_1": n % 5 + 1.0, "lob_ask_price_2": F.col("close") + 5, "lob_ask_size_2": F.lit(3.0), "onch_mempool_count": F.when(n % 3 != 0, n.cast("double")), "ethbtc_close": F.col("high") + F.col("low"),
+        })
+
+    def gapped(self) -> DataFrame:
+        """Bars of a minute whose close ``x`` is unknown for a long run of rows: up to 6,000, half of the series at most."""
+        by = Window.partitionBy("symbol")
+        t = self.bars(60, "ALL", "1m").withColumns({"n": F.row_number().over(by.orderBy("ts")), "c": F.count("*").over(by)})
+        return t.withColumn("x", F.when(~F.col("n").between(30, 29 + F.least(F.lit(6000), F.floor(F.col("c") / 2))), F.col("close"))).drop("n", "c")
+
     def preds(self) -> DataFrame:
         """Predictions for the next hour, with their target and price."""
         by = Window.partitionBy("symbol", "interval").orderBy("ts")
@@ -86,12 +100,18 @@ bars_15m AS (
     arg_min(px, ts) AS open, max(px) AS high, min(px) AS low, arg_max(px, ts) AS close,
     CAST(sum(qty) AS DOUBLE) AS volume, sum(px * qty) AS quote_asset_volume, count(*) AS number_of_trades
   FROM (SELECT *, 100 + value / 100 AS px, CAST(1 + event_id % 7 AS DOUBLE) AS qty FROM events) GROUP BY ALL)"""
+BARS_MINUTE = """
+bars_min AS (SELECT 'ALL' AS symbol, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS ts, arg_max(100 + value / 100, ts) AS close FROM events GROUP BY ALL)"""
 BARS_ZERO = """
 bars_zero AS (SELECT * REPLACE (CASE WHEN (ts // 3600 % 24) % 7 = 0 THEN 0.0::DOUBLE ELSE volume END AS volume,
   CASE WHEN (ts // 3600 % 24) % 11 = 0 THEN 0.0::DOUBLE ELSE close END AS close) FROM bars)"""
 DERIV = """
 deriv AS (SELECT *, sum(volume) OVER (PARTITION BY symbol ORDER BY ts) AS open_interest, (close - open) / open AS funding_rate,
   (high - low) / close AS basis_annualized, taker_buy_base AS liq_long, volume - taker_buy_base AS liq_short FROM bars)"""
+JOINED = """
+joined AS (SELECT *, taker_buy_base AS lob_bid_L1, volume - taker_buy_base AS lob_ask_L1, close - 1 AS lob_bid_price_1, close - 3 AS lob_bid_price_2, close + 2 AS lob_ask_price_1,
+  CAST(number_of_trades AS DOUBLE) AS lob_bid_size_1, 2.0::DOUBLE AS lob_bid_size_2, number_of_trades % 5 + 1.0::DOUBLE AS lob_ask_size_1, close + 5 AS lob_ask_price_2, 3.0::DOUBLE AS lob_ask_size_2,
+  CASE WHEN number_of_trades % 3 <> 0 THEN CAST(number_of_trades AS DOUBLE) END AS onch_mempool_count, high + low AS ethbtc_close FROM deriv)"""
 PREDS = """
 preds AS (SELECT * FROM (SELECT symbol, "interval", ts, close AS last_price, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS target,
   open AS p_hat, (number_of_trades % 10) / 10.0::DOUBLE AS prob FROM bars) WHERE target IS NOT NULL)"""

@@ -15,11 +15,12 @@ ORACLES: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places, times as epoch seconds: what both engines give alike."""
+    """Doubles rounded to six places, small ones to nine or twelve, times as epoch seconds: what both engines give alike."""
     out = {}
     for f in df.schema:
         if isinstance(f.dataType, T.DoubleType | T.FloatType):
-            out[f.name] = F.round(F.col(f.name).cast("double"), 6)
+            x = F.col(f.name).cast("double")
+            out[f.name] = F.when(F.abs(x) >= 1e-2, F.round(x, 6)).when(F.abs(x) >= 1e-5, F.round(x, 9)).otherwise(F.round(x, 12))
         elif isinstance(f.dataType, T.TimestampType):
             out[f.name] = F.unix_timestamp(f.name)
         elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType):
@@ -34,7 +35,7 @@ def query(name: str, sql: str = "", doubles: str = "", longs: str = "", ctes: st
     def add(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
         QUERIES[name] = lambda spark, folder: plain(f(Inputs(spark, folder)))
         if sql:
-            replaced = [f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
+            replaced = [f"CASE WHEN abs({c}) >= 1e-2 THEN round({c}, 6) WHEN abs({c}) >= 1e-5 THEN round({c}, 9) ELSE round({c}, 12) END + 0.0::DOUBLE AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
             star = f"* REPLACE ({', '.join(replaced)})" if replaced else "*"
             ORACLES[name] = (f"WITH RECURSIVE {ctes}\n" if ctes else "") + f"SELECT {star} FROM (\n{sql.strip()}\n)"
         return f

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.rolling import correlation, delta, deviation, mean, series, total, z_score
 from ..operators import features, labels, signals, windows
-from .fixtures import BARS, BARS_15M, BARS_ZERO, DERIV, Inputs
+from .fixtures import BARS, BARS_15M, BARS_MINUTE, BARS_ZERO, DERIV, JOINED, Inputs
 from .registry import query
 
 KEYS = ["symbol", "ts"]
@@ -53,15 +53,15 @@ query("ts5_bars_15m", "SELECT * FROM bars_15m", "open high low close volume quot
 
 HOUR, MINUTE, DAY = "(ts // 3600 % 24)", "(ts // 60 % 1440)", "((ts // 86400 + 3) % 7)"
 on_bars("scl3_4_time_features", lambda: S.time_features(F.col("ts")), {
-    **{f"time_{n}_{f}": f"{f}({v} * (2 * pi() / {k}))" for n, v, k in (("minute", MINUTE, 1440), ("hour", HOUR, 24), ("dow", DAY, 7)) for f in ("sin", "cos")},
-    "time_is_day": f"CAST({HOUR} >= 8 AND {HOUR} < 20 AS DOUBLE)", "time_is_night": f"CAST(NOT ({HOUR} >= 8 AND {HOUR} < 20) AS DOUBLE)",
-    "time_is_weekend": f"CAST({DAY} >= 5 AS DOUBLE)", "time_is_weekday": f"CAST({DAY} < 5 AS DOUBLE)",
+    **{f"{n}_{f}": f"{f}({v} * (2 * pi() / {k}))" for n, v, k in (("tod", MINUTE, 1440), ("time_hour", HOUR, 24), ("time_dow", DAY, 7)) for f in ("sin", "cos")},
+    "is_day": f"CAST({HOUR} >= 8 AND {HOUR} < 20 AS DOUBLE)", "is_night": f"CAST(NOT ({HOUR} >= 8 AND {HOUR} < 20) AS DOUBLE)",
+    "is_weekend": f"CAST({DAY} >= 5 AS DOUBLE)", "is_weekday": f"CAST({DAY} < 5 AS DOUBLE)",
 })
 ZERO = f"{BARS},{BARS_ZERO}"
 on_bars("scl5_order_flow", lambda: {"tbr_base": S.taker_flow(X.TB, X.V)[0], "ofi_base": S.taker_flow(X.TB, X.V)[1], "ofi_quote": S.taker_flow(X.TQ, X.Q)[1]}, {"tbr_base": "taker_buy_base / nullif(volume, 0)", "ofi_base": "2 * (taker_buy_base / nullif(volume, 0)) - 1", "ofi_quote": "2 * (taker_buy_quote / nullif(quote_asset_volume, 0)) - 1"}, "bars_zero", ZERO)
 on_bars("scl6_vwap_distance", lambda: {"rel_close_vwap": S.vwap_distance(X.C, X.Q, X.V)}, {"rel_close_vwap": "abs(close - quote_asset_volume / nullif(volume, 0)) / nullif(quote_asset_volume / nullif(volume, 0), 0)"}, "bars_zero", ZERO)
 on_bars("scl7_taker_buy_sell", lambda: {"ratio": S.taker_buy_sell(X.TB, X.V)}, {"ratio": "taker_buy_base / nullif(volume - taker_buy_base, 0)"}, "bars_zero", ZERO)
-on_bars("scl8_liquidations", lambda: S.liquidation(F.col("liq_long"), F.col("liq_short"), F.col("open_interest")), {"deriv_liq_total": "liq_long + liq_short", "deriv_liq_net": "liq_long - liq_short", "deriv_liq_rel_oi": "(liq_long + liq_short) / nullif(open_interest, 0)"}, "deriv", f"{BARS},{DERIV}")
+on_bars("scl8_liquidations", lambda: S.liquidation(F.col("liq_long"), F.col("liq_short"), F.col("open_interest")), {"deriv_liq_total": "liq_long + liq_short", "deriv_liq_net": "liq_long - liq_short", "deriv_liq_to_oi": "(liq_long + liq_short) / nullif(open_interest, 0)"}, "deriv", f"{BARS},{DERIV}")
 
 on_bars("win1_sma", lambda: {"sma14": windows.sma(X.C)}, {"sma14": full("avg", "close", 14)})
 RSI_BASE = {"ch": f"coalesce(close - lag(close) OVER ({P}), 0)"}
@@ -130,7 +130,47 @@ ema AS (SELECT symbol, ts, n, x, x AS f, x AS s FROM ord WHERE n = 1
   UNION ALL SELECT o.symbol, o.ts, o.n, o.x, e.f / 3 + o.x * 2 / 3, e.s * (3.0::DOUBLE / 5) + o.x * (2.0::DOUBLE / 5) FROM ema e JOIN ord o ON o.symbol = e.symbol AND o.n = e.n + 1)"""
 query("win12_microtrend", "SELECT symbol, ts, (f - s) / nullif(x, 0) AS mom_microtrend_ema_ratio FROM ema", "mom_microtrend_ema_ratio", ctes=TREND)(lambda s: features.momentum(s.bars(), 60).select(*KEYS, "mom_microtrend_ema_ratio"))
 query("prj6_7_finished_floats", f"SELECT symbol, \"interval\", ts, CAST(coalesce(CAST(open - lag(open, 3) OVER ({P}) AS FLOAT), -1) AS DOUBLE) AS d3 FROM bars", "d3", ctes=BARS)(lambda s: features.finished(s.bars().select("symbol", "interval", "ts", delta(F.col("open"), X.BY, 3).alias("d3")), ["symbol", "interval", "ts"], -1.0))
-query("features_all")(lambda s: features.create_features(s.bars()))
+query("features_all")(lambda s: features.create_features(s.joined()))
+GAPS = BARS_MINUTE + EMA[len(BARS) :].replace("number_of_trades % 5 <> 0", "i NOT BETWEEN 30 AND 29 + least(6000, c // 2)").replace(f"row_number() OVER ({P}) AS n FROM bars", f"i AS n FROM (SELECT *, row_number() OVER ({P}) AS i, count(*) OVER (PARTITION BY symbol) AS c FROM bars_min)")
+query("win2_ema_long_gaps", "SELECT symbol, ts, y AS ema12 FROM ema", "ema12", ctes=GAPS)(lambda s: windows.ema(s.gapped(), "x", 12, "ema12").select(*KEYS, "ema12"))
+
+
+def family(name: str, sql: dict[str, str], base: dict[str, str] | None = None) -> None:
+    """The features of a family as :func:`features.create_features` gives them, with its twin over the same joined inputs."""
+    inner = "joined"
+    for k, v in (base or {}).items():
+        inner = f"(SELECT *, {v} AS {k} FROM {inner})"
+    outputs = ", ".join(f"CAST(coalesce(CAST({v} AS FLOAT), 0) AS DOUBLE) AS {k}" for k, v in sql.items())
+    query(f"features_{name}", f"SELECT symbol, ts, {outputs} FROM {inner}", " ".join(sql), ctes=f"{BARS},{DERIV},{JOINED}")(lambda s: features.create_features(s.joined(), features.Settings(z_and_delta=name == "z_and_delta")).select(*KEYS, *sql))
+
+
+FRAMES = {"1h": 1, "4h": 4, "1d": 24}
+family("order_flow", {
+    **{c: c for c in FLOW}, "d_tbr_base": f"tbr_base - lag(tbr_base) OVER ({P})", "taker_buy_sell_ratio": "taker_buy_base / nullif(volume - taker_buy_base, 0)",
+    "z_volume": f"(v - ({full('avg', 'v', 36)})) / nullif({full('stddev_samp', 'v', 36)}, 0)", "rel_close_vwap": "abs(close - quote_asset_volume / nullif(volume, 0)) / nullif(quote_asset_volume / nullif(volume, 0), 0)",
+    **{f"{c}_roll_{tf}": full("avg", c, w) for c in FLOW for tf, w in FRAMES.items()}, **{f"{c}_roll_15m": "0" for c in FLOW},
+}, FLOW_SQL | {"v": "nullif(volume, 0)"})
+family("momentum", {
+    "ret3": full("sum", "r", 3), "mom_ret3": full("sum", "r", 3), "volatility_60m": full("stddev_samp", "r", 12), "vol_volatility_60m": full("stddev_samp", "r", 12), "atr14": full("avg", "tr", 14), "vol_atr14": full("avg", "tr", 14),
+    **{f"mom_log_ret_{tf}": f"lc - lag(lc, {w}) OVER ({P})" for tf, w in FRAMES.items()}, **{f"vol_realized_{tf}": f"rv{tf}" for tf in FRAMES}, **{f"vol_of_vol_{tf}": full("stddev_samp", f"rv{tf}", w) for tf, w in FRAMES.items()},
+    **{f"vol_range_parkinson_{tf}": f"sqrt(({full('avg', 'hl', w)}) / (4 * ln(2)))" for tf, w in FRAMES.items()}, **{f"{c}_15m": "0" for c in ("mom_log_ret", "vol_realized", "vol_of_vol", "vol_range_parkinson")},
+}, {"lc": "ln(close)", "r": f"lc - lag(lc) OVER ({P})", "hl": "ln(high / nullif(low, 0)) ** 2", "tr": f"greatest(high - low, abs(high - lag(close) OVER ({P})), abs(low - lag(close) OVER ({P})))"} | {f"rv{tf}": full("stddev_samp", "r", w) for tf, w in FRAMES.items()})
+family("derivatives", {
+    "basis_annualized": "basis_annualized", "deriv_basis_annualized": "basis_annualized", "oi_delta_15m": f"open_interest - lag(open_interest, 3) OVER ({P})", "deriv_oi_delta_15m": f"open_interest - lag(open_interest, 3) OVER ({P})",
+    "deriv_open_interest": "open_interest", "deriv_oi_velocity": f"open_interest - lag(open_interest) OVER ({P})", "deriv_oi_change_pct": f"open_interest / nullif(lag(open_interest) OVER ({P}), 0) - 1", "deriv_funding_rate": "funding_rate",
+    "deriv_funding_rate_change": f"funding_rate - lag(funding_rate) OVER ({P})", "deriv_funding_rate_smooth": full("avg", "funding_rate", 4), "deriv_basis_trend": f"basis_annualized - ({full('avg', 'basis_annualized', 4)})",
+    "deriv_basis_slope": f"basis_annualized - lag(basis_annualized, 4) OVER ({P})", "deriv_liq_total": "liq_long + liq_short", "deriv_liq_net": "liq_long - liq_short", "deriv_liq_to_oi": "(liq_long + liq_short) / nullif(open_interest, 0)",
+})
+family("order_book", {
+    "lob_imbalance_L1": "(lob_bid_L1 - lob_ask_L1) / nullif(lob_bid_L1 + lob_ask_L1, 0)", "lob_imbalance_L2": "0", "lob_spread_bps": "(a1 - b1) / ((a1 + b1) / 2) * 1e4", "lob_depth_imbalance": "(bs + 2 - ax - 3) / nullif(bs + 2 + ax + 3, 0)",
+    "lob_bid_slope_bps": "((b1 * bs + b2 * 2) / (bs + 2) - b1) / b1 * 1e4", "lob_ask_slope_bps": "((a1 * ax + a2 * 3) / (ax + 3) - a1) / a1 * 1e4", "wall_bid_dist_bps": "0", "wall_bid_size_rel": "0", "wall_ask_dist_bps": "0", "wall_ask_size_rel": "0",
+}, {"b1": "lob_bid_price_1", "b2": "lob_bid_price_2", "a1": "lob_ask_price_1", "a2": "lob_ask_price_2", "bs": "lob_bid_size_1", "ax": "lob_ask_size_1"})
+family("cross_and_time", {
+    "cross_ethbtc_ret": "y", "cross_ethbtc_divergence": "x - y", "cross_ethbtc_corr_4h": f"CASE WHEN count(x + y) {rows(4)} = 4 AND max(x) {rows(4)} > min(x) {rows(4)} AND max(y) {rows(4)} > min(y) {rows(4)} THEN corr(x, y) {rows(4)} END",
+    **{f"cross_{a}_{m}": "0" for a in features.CROSS_ASSETS if a != "ethbtc" for m in ("ret", "divergence", "corr_4h")},
+    **{f"{p}tod_{f}": f"{f}({MINUTE} * (2 * pi() / 1440))" for p in ("", "time_") for f in ("sin", "cos")}, **{f"{p}is_weekend": f"CAST({DAY} >= 5 AS DOUBLE)" for p in ("", "time_")}, "onch_mempool_count": "onch_mempool_count", "onch_height": "0",
+}, {"x": f"ln(close) - lag(ln(close)) OVER ({P})", "y": f"ln(ethbtc_close) - lag(ln(ethbtc_close)) OVER ({P})"})
+family("z_and_delta", {"z_mom_log_ret_4h": f"(m - ({full('avg', 'm', 36)})) / nullif({full('stddev_samp', 'm', 36)}, 0)", "d_mom_log_ret_4h": f"m - lag(m) OVER ({P})", "d_deriv_open_interest": f"open_interest - lag(open_interest) OVER ({P})"}, {"m": f"ln(close) - lag(ln(close), 4) OVER ({P})"})
 
 # labels
 query("lab1_sign", f"SELECT symbol, ts, CASE WHEN ln(lead(close, 2) OVER ({P}) / close) > 0 THEN 1 ELSE 0 END AS cls FROM bars", "", "cls", BARS)(lambda s: s.bars().select(*KEYS, labels.sign_label(2).alias("cls")))

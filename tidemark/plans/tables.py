@@ -120,9 +120,10 @@ query("snk6_evolved", "SELECT symbol, ts, close AS a, CASE WHEN symbol = 'view'
 query("prj2_unparsable", "SELECT count(*) FILTER (TRY_CAST(props AS DOUBLE) IS NULL AND props IS NOT NULL) AS props, 0 AS user_text FROM events", "", "props user_text")(lambda s: features.unparsable(s.ticks().select("props", F.col("user_id").cast("string").alias("user_text")), ["props", "user_text"]))
 query("prj4_utc_timestamp", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS parsed FROM events", "", "parsed")(lambda s: s.ticks().select("event_id", S.utc_timestamp(F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 4 == 1, F.unix_timestamp("ts").cast("string")).when(F.col("event_id") % 4 == 2, F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).otherwise("no time")).alias("parsed")))
 query("prj5_safe_double", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE NULL END AS v FROM events", "v")(lambda s: s.ticks().select("event_id", S.safe_double(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" "))).when(F.col("event_id") % 4 == 1, " ").when(F.col("event_id") % 4 == 2, "NaN").otherwise("x1")).alias("v")))
-query("prj11_aliases", "SELECT symbol, ts, close AS ret3, close AS mom_ret3, open AS vol_60m FROM bars", "ret3 mom_ret3 vol_60m", ctes=BARS)(lambda s: features.aliases(s.bars().select("symbol", "ts", F.col("close").alias("ret3"), F.col("open").alias("vol_60m")), {"ret3": "mom_ret3", "volatility_60m": "vol_60m"}))
+query("prj11_aliases", "SELECT symbol, ts, close AS ret3, close AS mom_ret3, open AS volatility_60m, open AS vol_volatility_60m, high AS atr14, low AS vol_atr14 FROM bars", "ret3 mom_ret3 volatility_60m vol_volatility_60m atr14 vol_atr14", ctes=BARS)(
+    lambda s: features.aliases(s.bars().select("symbol", "ts", F.col("close").alias("ret3"), F.col("open").alias("volatility_60m"), F.col("high").alias("atr14"), F.col("low").alias("vol_atr14")), features.ALIASES))
 query("prj13_contract", "SELECT symbol, ts, CAST(CAST(close AS FLOAT) AS DOUBLE) AS close, 0.5::DOUBLE AS missing, CAST(CAST(open AS FLOAT) AS DOUBLE) AS open FROM bars", "close missing open", ctes=BARS)(lambda s: features.match_contract(s.bars(), ["close", "missing", "open", "close"], 0.5, keep=["symbol", "ts"]))
-query("prj14_backtest_columns", "SELECT symbol, ts AS timestamp, target, last_price FROM preds", "target last_price", ctes=f"{BARS},{PREDS}")(lambda s: s.preds().withColumnsRenamed({"ts": "timestamp"}).na.drop(subset=["timestamp", "target", "last_price"]).select("symbol", "timestamp", "target", "last_price"))
+query("prj14_backtest_columns", "SELECT symbol, ts AS timestamp, target, last_price FROM preds", "target last_price", ctes=f"{BARS},{PREDS}")(lambda s: features.backtest_columns(s.preds(), "ts").select("symbol", "timestamp", "target", "last_price"))
 NAMES = "SELECT DISTINCT name FROM (SELECT unnest(['tbr_', 'mom_ret_', 'onch_', 'lob_', 'cross_ret_', 'volume_', 'time_']) || event_type AS name FROM events)"
 query("prj15_feature_groups", f"""SELECT name, CASE WHEN regexp_matches(name, '^tbr_|^ofi_|^cvd_|^taker_|rel_close_vwap|z_volume') THEN 'orderflow' WHEN regexp_matches(name, '^oi_|^basis_|^funding_|^deriv_') THEN 'derivatives' WHEN regexp_matches(name, '^lob_|^queue_|book_slope|^wall_') THEN 'lob'
  WHEN regexp_matches(name, 'ret|^volatility_|^atr_|skew|kurt') THEN 'momentum_vol' WHEN regexp_matches(name, '^tod_|^session_|funding_cycle|^dow_|^time_') THEN 'time' WHEN regexp_matches(name, '^onch_') THEN 'onchain' WHEN regexp_matches(name, '^cross_') THEN 'cross_asset' ELSE 'other' END AS "group" FROM ({NAMES})""")(
@@ -143,9 +144,31 @@ def booked(s: Inputs) -> DataFrame:
 
 WALL = """, st AS (SELECT k, y, side, avg(size) AS m, stddev_pop(size) AS d, sum(size) AS t FROM levels GROUP BY ALL),
 w AS (SELECT k, y, side, arg_min(price, n * 1.0 - size * 1000) AS price, max(size) AS size, any_value(t) AS t FROM levels JOIN st USING (k, y, side) WHERE size > m + 2 * d GROUP BY ALL)"""
-query("arr1_7_walls", "SELECT s.k, s.y, abs(a.price - s.close) / s.close * 1e4 AS wall_bid_dist_bps, a.size / a.t AS wall_bid_share, abs(b.price - s.close) / s.close * 1e4 AS wall_ask_dist_bps, b.size / b.t AS wall_ask_share FROM snaps s LEFT JOIN w a ON s.k = a.k AND s.y = a.y AND a.side = 'bid' LEFT JOIN w b ON s.k = b.k AND s.y = b.y AND b.side = 'ask'", "wall_bid_dist_bps wall_bid_share wall_ask_dist_bps wall_ask_share", "k y", BOOK + WALL)(lambda s: booked(s).select("k", "y", "wall_bid_dist_bps", "wall_bid_share", "wall_ask_dist_bps", "wall_ask_share"))
+query("arr1_7_walls", "SELECT s.k, s.y, (s.close - a.price) / s.close * 1e4 AS wall_bid_dist_bps, a.size / a.t AS wall_bid_size_rel, (b.price - s.close) / s.close * 1e4 AS wall_ask_dist_bps, b.size / b.t AS wall_ask_size_rel FROM snaps s LEFT JOIN w a ON s.k = a.k AND s.y = a.y AND a.side = 'bid' LEFT JOIN w b ON s.k = b.k AND s.y = b.y AND b.side = 'ask'", "wall_bid_dist_bps wall_bid_size_rel wall_ask_dist_bps wall_ask_size_rel", "k y", BOOK + WALL)(lambda s: booked(s).select("k", "y", "wall_bid_dist_bps", "wall_bid_size_rel", "wall_ask_dist_bps", "wall_ask_size_rel"))
 query("arr5_scl9_10_depth_spread", "SELECT k, y, (bids - asks) / nullif(bids + asks, 0) AS lob_depth_imbalance, (ask1 - bid1) / nullif((ask1 + bid1) / 2, 0) * 1e4 AS lob_spread_bps FROM snaps", "lob_depth_imbalance lob_spread_bps", "k y", BOOK)(lambda s: booked(s).select("k", "y", "lob_depth_imbalance", "lob_spread_bps"))
-query("arr6_slope", "SELECT k, y, abs(sum(price * size) FILTER (side = 'bid') / sum(size) FILTER (side = 'bid') - any_value(bid1)) / any_value(bid1) * 1e4 AS lob_slope_bid_bps FROM levels JOIN snaps USING (k, y) GROUP BY k, y", "lob_slope_bid_bps", "k y", BOOK)(lambda s: booked(s).select("k", "y", "lob_slope_bid_bps"))
+SLOPE = "(sum(price * size) FILTER (side = '{0}') / sum(size) FILTER (side = '{0}') - any_value({0}1)) / any_value({0}1) * 1e4 AS lob_{0}_slope_bps"
+query("arr6_slope", f"SELECT k, y, {SLOPE.format('bid')}, {SLOPE.format('ask')} FROM levels JOIN snaps USING (k, y) GROUP BY k, y", "lob_bid_slope_bps lob_ask_slope_bps", "k y", BOOK)(lambda s: booked(s).select("k", "y", "lob_bid_slope_bps", "lob_ask_slope_bps"))
+
+
+def level_imbalance(s: Inputs) -> DataFrame:
+    first = {f"lob_{side}_L{n}": F.col(f"lob_{side}_size_{n}") for side in ("bid", "ask") for n in (1, 2)}
+    return features.order_book(s.book().withColumns(first)).select("k", "y", "lob_imbalance_L1", "lob_imbalance_L2")
+
+
+IMBALANCE = "(max(size) FILTER (side = 'bid' AND n = {0}) - max(size) FILTER (side = 'ask' AND n = {0})) / nullif(max(size) FILTER (side = 'bid' AND n = {0}) + max(size) FILTER (side = 'ask' AND n = {0}), 0) AS lob_imbalance_L{0}"
+query("scl9_level_imbalance", f"SELECT k, y, {IMBALANCE.format(1)}, {IMBALANCE.format(2)} FROM levels GROUP BY k, y", "lob_imbalance_L1 lob_imbalance_L2", "k y", BOOK)(level_imbalance)
+
+
+def matched(s: Inputs) -> DataFrame:
+    """Which column of a table each list of candidates takes: the first candidate that any column holds."""
+    t = s.deriv().withColumnRenamed("funding_rate", "Perp_Funding_Rate")
+    names = {"funding": features.FUNDING, "long": features.LIQ_LONG, "short": features.LIQ_SHORT, "gold": features.CROSS_ASSETS["gold"]}
+    return t.groupBy("symbol").agg(F.count("*").alias("n"), *[F.lit(features.match_column(t.columns, c)).cast("string").alias(k) for k, c in names.items()])
+
+
+query("prj9_matched_columns", "SELECT symbol, count(*) AS n, 'Perp_Funding_Rate' AS funding, 'liq_long' AS long, 'liq_short' AS short, CAST(NULL AS VARCHAR) AS gold FROM bars GROUP BY symbol", "", "n", BARS)(matched)
+query("ts2_rows_for", "SELECT symbol, \"interval\", 60 AS step_minutes, m AS minutes, CAST(greatest(1, round_even(m / 60.0, 0)) AS BIGINT) AS n, m >= 60 AS supported FROM (SELECT DISTINCT symbol, \"interval\" FROM bars), (SELECT unnest([15, 60, 240, 1440]) AS m)", "", "step_minutes minutes", BARS)(
+    lambda s: timegrid.step_minutes(s.bars()).select("symbol", "interval", "step_minutes", F.inline(F.array(*[F.struct(F.lit(m).alias("minutes"), F.lit(timegrid.rows_for(m, 60)).cast("long").alias("n"), F.lit(m >= 60).alias("supported")) for m in features.TIMEFRAMES]))))
 
 # time grid
 query("ts1_step_minutes", "SELECT symbol, \"interval\", greatest(round_even(median(g), 0), 1)::BIGINT AS step_minutes FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) / 60.0 AS g FROM bars_15m) WHERE g IS NOT NULL GROUP BY ALL", ctes=BARS_15M)(lambda s: timegrid.step_minutes(s.bars_15m()))

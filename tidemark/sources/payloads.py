@@ -26,11 +26,14 @@ def first_of(v: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[text_at(v, f"$.{n}") for n in names])
 
 
-def points(payloads: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """``p``, one variant for each point of the list that a payload is or holds, under one of ``LISTS``, at most one level down."""
+def points(payloads: DataFrame, keys: Sequence[str] = ("symbol",), arrival: str | None = None) -> DataFrame:
+    """``p``, one variant for each point of the list that a payload is or holds, under one of ``LISTS``, at most one level down; ``_at``: its
+    order, by the payload's ``arrival`` (without one, by its text) and the place in it."""
     v = F.try_parse_json("payload")
     paths = ["$", *[f"$.{a}" for a in LISTS], *[f"$.{a}.{b}" for a in LISTS for b in LISTS]]
-    return payloads.select(*keys, F.explode(F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths])).alias("p"))
+    lists = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths])
+    out = payloads.select(*keys, F.col(arrival or "payload").alias("_payload"), F.posexplode(lists).alias("_place", "p"))
+    return out.select(*keys, "p", F.struct("_payload", "_place").alias("_at"))
 
 
 def when_of(v: Column) -> Column:
@@ -40,9 +43,9 @@ def when_of(v: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(F.when(n > 1e11, n / 1000).otherwise(n)), F.try_to_timestamp(s))
 
 
-def chart_series(payloads: DataFrame, value_names: Sequence[str] = VALUES, start: Column | None = None, end: Column | None = None, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def chart_series(payloads: DataFrame, value_names: Sequence[str] = VALUES, start: Column | None = None, end: Column | None = None, keys: Sequence[str] = ("symbol",), arrival: str | None = None) -> DataFrame:
     """``ts, value``: points without time or value, and those out of the range, go; of equal times the last stays."""
-    p = points(payloads, keys).withColumn("_at", F.monotonically_increasing_id())
+    p = points(payloads, keys, arrival)
     t = p.select(*keys, "_at", when_of(F.col("p")).alias("ts"), safe_double(F.coalesce(first_of(F.col("p"), value_names), text_at(F.col("p"), "$[1]"))).alias("value"))
     t = t.where("ts is not null and value is not null")
     if start is not None:
@@ -61,7 +64,7 @@ def histogram(v: Column) -> Column:
     return F.coalesce(zipped, arrays.positive(pairs))
 
 
-def fee_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), zero_as_missing: bool = True) -> DataFrame:
+def fee_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), zero_as_missing: bool = True, arrival: str | None = None) -> DataFrame:
     """``ts, wavg, p50, p90, vsize`` from objects or five-tuples; what is missing (or zero) comes from the point's histogram."""
     v = F.col("p")
     hist = histogram(F.coalesce(F.try_variant_get(v, "$.histogram", "variant"), F.try_variant_get(v, "$.fee_histogram", "variant")))
@@ -69,17 +72,17 @@ def fee_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), zero_as_m
     names = {"wavg": ("wavg", "avg", "avgFee"), "p50": ("p50", "median"), "p90": ("p90",), "vsize": ("vsize", "mempool_vsize")}
     got = {n: safe_double(F.coalesce(first_of(v, names[n]), text_at(v, f"$[{i}]"))) for i, n in enumerate(names, 1)}
     own = {n: F.nullif(c, F.lit(0.0)) if zero_as_missing else c for n, c in got.items()}
-    p = points(payloads, keys).withColumn("_at", F.monotonically_increasing_id())
+    p = points(payloads, keys, arrival)
     t = p.select(*keys, "_at", when_of(v).alias("ts"), *[F.coalesce(own[n], stat[n]).alias(n) for n in names])
     return keep_last(t, [*keys, "ts"], "_at").drop("_at")
 
 
-def difficulty_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def difficulty_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), arrival: str | None = None) -> DataFrame:
     """``ts, height, difficulty, change`` from objects or tuples ``[ts, height, difficulty, next or change]``; an absent change is
     ``(next - difficulty) * 100``, and otherwise chained from the row before."""
     v = F.col("p")
     pick = lambda names, i: safe_double(F.coalesce(first_of(v, names), text_at(v, f"$[{i}]")))
-    p = points(payloads, keys).withColumn("_at", F.monotonically_increasing_id())
+    p = points(payloads, keys, arrival)
     t = p.select(*keys, "_at", when_of(v).alias("ts"), pick(("height",), 1).alias("height"), pick(("difficulty",), 2).alias("difficulty"), pick(("next", "nextDifficulty"), 3).alias("_next"), safe_double(F.coalesce(first_of(v, ("change", "difficultyChange")), text_at(v, "$[4]"))).alias("change"))
     t = keep_last(t, [*keys, "ts"], "_at").drop("_at").withColumn("change", F.coalesce("change", (F.col("_next") - F.col("difficulty")) * 100)).drop("_next")
     return chained_change(t, "difficulty", "change", keys)

@@ -53,7 +53,8 @@ def landing(read_target: Callable[[], DataFrame], write: Callable[[DataFrame], N
 
 
 def stateful(df: DataFrame, step: Callable[[tuple | None, float], tuple[tuple, float]], value: str, state: str, late: str, key: str = "symbol") -> DataFrame:
-    """``symbol, ts, out`` from a state kept for each key: rows wait until the watermark passes them, then are taken in order of time.
+    """``symbol, ts, out`` from a state kept for each key: rows wait until the watermark passes them, then are taken in order of time; one
+    that comes when a later one has been taken is dropped. What waits is a key's rows within the watermark's delay.
 
     ``step`` maps the state and a value to the new state and the output.
     """
@@ -63,15 +64,16 @@ def stateful(df: DataFrame, step: Callable[[tuple | None, float], tuple[tuple, f
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(keys, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        held, now = (json.loads(s.get[0]), s.get[1]) if s.exists else ([], None)
-        held += [[int(a), float(b)] for f in frames for a, b in zip(f["us"], f["v"], strict=True)]
+        (held, last), now = (json.loads(s.get[0]), s.get[1]) if s.exists else (([], -(1 << 62)), None)
+        held += [[int(a), float(b)] for f in frames for a, b in zip(f["us"], f["v"], strict=True) if a >= last]
         mark = s.getCurrentWatermarkMs() * 1000
         ready, held = sorted(x for x in held if x[0] < mark), [x for x in held if x[0] >= mark]
         memory, out = json.loads(now) if now else None, []
         for us, v in ready:
             memory, y = step(memory, v)
             out.append((keys[0], us, y))
-        s.update((json.dumps(held), json.dumps(memory)))
+            last = us
+        s.update((json.dumps((held, last)), json.dumps(memory)))
         if held:
             s.setTimeoutTimestamp(max(min(held)[0] // 1000 + 1, s.getCurrentWatermarkMs() + 1))
         if out:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset (as in tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")).rstrip("/")
+from ..sources.shared import shared_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
