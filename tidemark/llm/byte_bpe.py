@@ -41,17 +41,21 @@ class ByteCodec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         chars = byte_characters()
         text = lambda t: "".join(map(chars.__getitem__, t))
-        self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-        self.map = {i: c for i, c in enumerate(chars)}
+        self.text_of = {r: text(t) for t, r in ranks.items()}
+        self.map, self.back = {i: c for i, c in enumerate(chars)}, {ord(c): i for i, c in enumerate(chars)}
         self.model = Tokenizer(BPE(vocab={text(t): r for t, r in ranks.items()}, merges=[(text(a), text(b)) for a, b in merges_of(ranks)], ignore_merges=True))
         self.find = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
         self.memory, self.known = memory, {}
 
+    def said(self, pieces: list[str]):
+        """The library's encoding of pieces: each byte is a character, so its offsets count bytes inside a piece."""
+        mapped = [p.encode().decode("latin-1").translate(self.map) for p in pieces]
+        return self.model.encode(mapped, is_pretokenized=True, add_special_tokens=False)
+
     def learn(self, pieces: list[str]) -> None:
         """Ids of new pieces, as little-endian 32-bit integers: their bytes, as characters, go through the library in one call."""
-        mapped = [p.encode().decode("latin-1").translate(self.map) for p in pieces]
-        said = self.model.encode(mapped, is_pretokenized=True, add_special_tokens=False)
+        said = self.said(pieces)
         ids, ends = np.array(said.ids, "<u4").tobytes(), np.searchsorted(np.array(said.word_ids, np.int64), np.arange(1, len(pieces) + 1)) * 4
         start = 0
         for p, end in zip(pieces, ends.tolist(), strict=True):
@@ -81,18 +85,14 @@ class ByteCodec:
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """``(id, start, end)`` of each token, in code points; a token that holds a part of a character spans all of it."""
-        out = []
-        for m in self.finditer(text):
-            at = [m.start() + i for i, c in enumerate(m[0]) for _ in c.encode()]
-            i = 0
-            for t in np.frombuffer(self.encode(m[0]), "<u4").tolist():
-                n = len(self.bytes_of[t])
-                out.append((t, at[i], at[i + n - 1] + 1))
-                i += n
-        return out
+        found = list(self.finditer(text))
+        said = self.said([m[0] for m in found])
+        at = [[m.start() + i for i, c in enumerate(m[0]) for _ in c.encode()] for m in found]
+        return [(t, at[w][a], at[w][b - 1] + 1) for t, w, (a, b) in zip(said.ids, said.word_ids, said.offsets, strict=True)]
 
     def decode_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of ``ids``: the tokens' characters through the byte table in reverse."""
+        return "".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).translate(self.back).encode("latin-1")
 
     def decode(self, ids) -> str:
         """The text of ``ids``; parts of characters that miss the rest become U+FFFD."""
@@ -106,16 +106,21 @@ def codec(path: str | None = None) -> ByteCodec:
     return ByteCodec(path)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, ids`` for each row; a null text has no ids."""
+def encode_documents(docs: DataFrame, path: str | None = None, with_offsets: bool = False) -> DataFrame:
+    """``doc_id, ids`` for each row; a null text has no ids. ``with_offsets`` adds ``starts, ends``, the place of each token in code points."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for x in frames:
-            ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in c.encode_batch([t or "" for t in x.text])]
-            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "ids": ids})
-
-    return id_back(id_text(docs, "text").mapInPandas(batches, "doc_id string, ids array<int>"))
+            texts = [t or "" for t in x.text]
+            if with_offsets:
+                parts = [np.array(c.offsets(t), np.int32).reshape(-1, 3).T for t in texts]
+                out = {"ids": [p[0] for p in parts], "starts": [p[1] for p in parts], "ends": [p[2] for p in parts]}
+            else:
+                out = {"ids": [np.frombuffer(i, "<u4").astype(np.int32) for i in c.encode_batch(texts)]}
+            yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object)} | out)
+
+    return id_back(id_text(docs, "text").mapInPandas(batches, "doc_id string, ids array<int>" + ", starts array<int>, ends array<int>" * with_offsets))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written as written
+
 #: ASCII white space, as every contract of this package splits words on it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset and Spark runs on one machine, one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("tidemark.shared.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.shared.dir", folder)
-    return folder.rstrip("/")
-
-
 def in_small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, for whose session Arrow batches are 1,000 rows unless they have been set: texts are long, and a Python worker holds
     whole batches."""
@@ -44,14 +30,6 @@ def id_back(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def count_words(text: Column) -> Column:
     """Number of words; null counts as no word."""
     return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")

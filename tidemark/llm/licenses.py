@@ -14,25 +14,35 @@ from pyspark.sql import functions as F
 
 from .common import attach, id_back, id_text, written
 
-#: Notices as they stand in file headers and licence files (fixed texts; pass others as ``templates``).
+#: Parts that several licences share (fixed texts).
+NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+NO_WARRANTY_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+#: Notices as they stand in file headers, and texts of licence files (fixed texts; pass others as ``templates``).
 TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", MIT_GRANT, f"MIT License {MIT_GRANT} {NO_WARRANTY}"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", f"{BSD_CONDITIONS} {BSD_THIRD}", f"{BSD_CONDITIONS} {BSD_THIRD} {NO_WARRANTY_BSD}"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", BSD_CONDITIONS, f"{BSD_CONDITIONS} {NO_WARRANTY_BSD}"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -47,21 +57,34 @@ def tokens(text: str) -> list[str]:
 
 
 class Templates:
-    """TF-IDF vectors of the templates; ``weights``: idf of their terms, ``rare``: that of every other term."""
+    """TF-IDF vectors of the templates; ``weights``: idf of their terms, ``rare``: that of every other term.
+
+    ``anchors``: by term, places ``(before, length)`` of it in templates. A template's anchors are its heaviest terms, so many that a text
+    without any of them has a cosine below ``least``: what comes near a template holds an anchor.
+    """
 
-    def __init__(self, templates: Mapping[str, list[str]], found: Mapping[str, int], total: int):
-        self.rare = math.log(total + 1) + 1
+    def __init__(self, templates: Mapping[str, list[str]], found: Mapping[str, int], total: int, least: float):
+        self.rare, self.least = math.log(total + 1) + 1, least
         self.weights = {t: math.log((total + 1) / (found.get(t, 0) + 1)) + 1 for texts in templates.values() for x in texts for t in tokens(x)}
-        self.vectors = []
+        self.vectors, self.anchors = [], {}
         for name, texts in templates.items():
             for x in texts:
-                v = {t: n * self.weights[t] for t, n in Counter(tokens(x)).items()}
+                words = tokens(x)
+                v = {t: n * self.weights[t] for t, n in Counter(words).items()}
                 size = math.sqrt(sum(w * w for w in v.values()))
-                self.vectors.append((name, {t: w / size for t, w in v.items()}))
-
-    def best(self, words: list[str], least: float) -> tuple[float, str] | None:
+                v = {t: w / size for t, w in v.items()}
+                self.vectors.append((name, v))
+                share = 0.0
+                for t in sorted(v, key=lambda t: (-v[t], t)):
+                    if share > 1 - least * least + 1e-9:
+                        break
+                    share += v[t] * v[t]
+                    self.anchors.setdefault(t, set()).update((i, len(words)) for i, w in enumerate(words) if w == t)
+
+    def best(self, words: list[str]) -> tuple[float, str] | None:
         """The nearest template at a cosine of ``least`` or more; ties go to the first. Most texts share too little weight
         with all templates together to come near any of them, which ends the search."""
+        least = self.least
         shared, other = {}, 0.0
         for t, n in Counter(words).items():
             if (w := self.weights.get(t)) is None:
@@ -78,10 +101,10 @@ class Templates:
                 best = (score, name)
         return best if best[0] >= least else None
 
-    def header(self, text: str, least: float) -> tuple[float, str] | None:
-        """The best over single lines and over each line with the next, for notices that are wrapped."""
-        lines = [tokens(x) for x in text.split("\n")]
-        found = [b for i, x in enumerate(lines) for y in (x, x + lines[i + 1] if i + 1 < len(lines) else None) if y and (b := self.best(y, least))]
+    def header(self, words: list[str]) -> tuple[float, str] | None:
+        """The best over the passages as long as a template that lie about one of its anchors as it does, wherever line ends are."""
+        places = {(max(0, at - before), n) for at, w in enumerate(words) if w in self.anchors for before, n in self.anchors[w]}
+        found = [b for start, n in sorted(places) if (b := self.best(words[start : start + n]))]
         return max(found, key=lambda b: b[0], default=None)
 
 
@@ -106,20 +129,21 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least:
     """``doc_id, path, license, score, kind, licensed_by`` for each row of ``docs`` (``doc_id``, ``path``, ``text``).
 
     A file whose whole text comes near a template (cosine of ``least`` or more) is a licence file (kind ``file``) and licenses its
-    directory; one with such a line, or two lines, has a header (``header``). A file with neither takes the licence of the licence
+    directory; one with such a passage has a header (``header``). A file with neither takes the licence of the licence
     file in its own directory or else in the nearest one above (``inherited``), of several in one directory the nearest to its template,
     then the first by ``path``; ``licensed_by`` is that file's path. Others have nulls. Null texts are empty; a file without
     path inherits nothing. Rows that repeat are judged alike.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Templates(templates, *term_counts(docs, templates)))
+    model = docs.sparkSession.sparkContext.broadcast(Templates(templates, *term_counts(docs, templates), least))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = model.value
         for x in frames:
             out = []
             for text in x.text:
-                whole = t.best(tokens(text or ""), least)
-                found = whole or t.header(text or "", least)
+                words = tokens(text or "")
+                whole = t.best(words)
+                found = whole or t.header(words)
                 out.append((found[1], found[0], "file" if whole else "header") if found else (None, None, None))
             names, scores, kinds = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
             yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "path": x.path.to_numpy(object), "license": np.array(names, object), "score": np.array(scores, float), "kind": np.array(kinds, object)})

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 #: Fixed patterns of the contract. A match of the first is dropped if its second group has under 12 characters.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
@@ -24,11 +26,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def before(steps: Column) -> Column:
     """For each of an array of integers the sum of those before it.
 
