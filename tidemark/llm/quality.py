@@ -144,7 +144,7 @@ def in_memory(rows: DataFrame) -> KneserNey:
     tables: dict = {r.lang: {k: nothing for k in range(ORDER + 1)} for r in packed_rows}
     for r in packed_rows:
         tables[r.lang][r.k] = (np.frombuffer(r.gram, "<i8"), np.frombuffer(r.p, "<f4"), np.frombuffer(r.back, "<f4"))
-    return KneserNey(tables, {lang: -float(np.log(len(t[1][0]) + 1)) for lang, t in tables.items()})
+    return KneserNey(tables, {lang: -float(np.log(np.count_nonzero(~np.isnan(t[1][1])) + 1)) for lang, t in tables.items()})  # contexts that are no n-gram have no probability
 
 
 def fitted(trusted: DataFrame) -> KneserNey:
@@ -167,7 +167,7 @@ def frequent(rows: DataFrame, most: int) -> DataFrame:
 def log_probabilities(grams: DataFrame, rows: DataFrame) -> DataFrame:
     """``lang, gram, p`` for each of the distinct longest n-grams ``grams`` (``lang, gram``) under the whole model, by joins with
     its tables of each order: the longest known n-gram's probability, and the weights of the contexts that were new before it."""
-    unseen = rows.where("k = 1").groupBy("lang").agg((-F.ln(F.count("*") + 1)).alias("p"))  # one row for each language
+    unseen = rows.where("k = 1 and p is not null").groupBy("lang").agg((-F.ln(F.count("*") + 1)).alias("p"))  # one row for each language
     todo, sums = grams.withColumn("sum", F.lit(0.0)), []
     for k in range(ORDER, 0, -1):
         todo = todo.withColumn("key", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).withColumn("context", F.shiftright("key", BITS))
