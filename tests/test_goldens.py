@@ -93,13 +93,13 @@ def test_no_look_ahead_and_series_are_independent(spark):
 
 def test_registered_features_are_there_whatever_the_inputs(spark):
     df = candles(spark, [100 + (i * 13 % 7) / 2 for i in range(80)])
-    for s in (features.Settings(step_minutes=15, fill=-1.0), features.Settings(step_minutes=1440, fill=-1.0), features.Settings(step_minutes=60, onchain=False, orderbook=False, derivatives=False)):
+    for s in (features.Settings(step_minutes=15, fill=-1.0), features.Settings(step_minutes=1440, fill=-1.0, z_and_delta=False), features.Settings(step_minutes=60, onchain=False, orderbook=False, derivatives=False, z_and_delta=False)):
         out = features.create_features(df, s)
         assert set(features.registered(s)) <= set(out.columns) and {"vol_volatility_60m", "time_tod_sin", "time_is_day"} <= set(out.columns)
         features.assert_finished(out)
         absent = ["cross_gold_corr_4h", *["lob_spread_bps", "wall_ask_size_rel", "deriv_liq_to_oi", "deriv_oi_velocity", "onch_height"] * s.onchain, *["mom_log_ret_15m", "vol_of_vol_1h"] * (s.step_minutes == 1440)]
         assert out.select(*absent).distinct().collect() == [tuple([s.fill] * len(absent))]
-        assert not s.onchain or out.select("d_deriv_oi_velocity").orderBy("d_deriv_oi_velocity").first()[0] == -1.0
+        assert not s.z_and_delta or out.select("d_deriv_oi_velocity").orderBy("d_deriv_oi_velocity").first()[0] == -1.0
     with pytest.raises(TypeError, match="note"):
         features.create_features(df.withColumn("note", F.lit("x")))
     with pytest.raises(ValueError, match="x"):

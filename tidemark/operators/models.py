@@ -90,35 +90,36 @@ def calibrated(fit_on: DataFrame, apply_to: DataFrame, label: str, p: str = "p",
 def rolling_recalibration(df: DataFrame, window: int, p: str = "p", y: str = "y", keys: Sequence[str] = KEY) -> DataFrame:
     """``ts, a, b``: a logistic calibrator ``1 / (1 + exp(-(a p + b)))`` for each window of ``window`` rows with both classes.
 
-    Newton's steps with a ridge of 1 on ``a`` only (the usual C of 1), a few rows of ``window`` pairs at a time.
+    Newton's steps with a ridge of 1 on ``a`` only (the usual C of 1), for all windows of a batch at once.
     """
     import numpy as np
     import pandas as pd
 
     by = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(window - 1), 0)
-    rows = df.select(*keys, "ts", F.collect_list(F.array(F.col(p).cast("double"), F.col(y).cast("double"))).over(by).alias("w")).where(F.size("w") == window)
+    pairs = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    both = (F.min(y).over(by) < F.max(y).over(by)).alias("both")
+    rows = pairs.select(*keys, "ts", *[F.collect_list(F.col(c).cast("double")).over(by).alias(n) for c, n in ((p, "x"), (y, "t"))], both).where((F.size("x") == window) & F.col("both")).drop("both")
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            a, b = [], []
-            for w in f.w:
-                x = np.array([v.tolist() for v in w])
-                z, t, beta = np.c_[x[:, 0], np.ones(len(x))], x[:, 1], np.zeros(2)
-                if t.min() == t.max():
-                    beta = np.full(2, np.nan)
-                else:
-                    for _ in range(25):
-                        q = 1 / (1 + np.exp(-z @ beta))
-                        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + np.diag([1.0, 1e-9]), z.T @ (q - t) + np.array([beta[0], 0.0]))
-                        beta = beta - step
-                        if abs(step).max() < 1e-10:
-                            break
-                a.append(beta[0])
-                b.append(beta[1])
-            yield f.drop(columns="w").assign(a=a, b=b)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("w").schema) + ", a double, b double"
-    return rows.mapInPandas(fit, schema).where(~F.isnan("a"))
+            if not len(f):
+                continue
+            x, t = (np.stack(f[c].to_list()).astype(float) for c in ("x", "t"))
+            a, b = np.zeros(len(f)), np.zeros(len(f))
+            for _ in range(25):
+                q = 1 / (1 + np.exp(-(a[:, None] * x + b[:, None])))
+                w = q * (1 - q)
+                ga, gb = (x * (q - t)).sum(axis=1) + a, (q - t).sum(axis=1)
+                haa, hab, hbb = (w * x * x).sum(axis=1) + 1.0, (w * x).sum(axis=1), w.sum(axis=1) + 1e-9
+                det = haa * hbb - hab * hab
+                da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+                a, b = a - da, b - db
+                if max(abs(da).max(), abs(db).max()) < 1e-10:
+                    break
+            yield f.drop(columns=["x", "t"]).assign(a=a, b=b)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("x", "t").schema) + ", a double, b double"
+    return rows.mapInPandas(fit, schema)
 
 
 def stacked(df: DataFrame, models: Sequence[str], label: str) -> PipelineModel:

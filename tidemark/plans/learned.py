@@ -36,19 +36,19 @@ KEYS = ["symbol", "ts"]
 @query("ml1_9_boosted_and_scored")
 def boosted(s: Inputs) -> DataFrame:
     a, b = split(s)
-    return models.scored(b, models.boosted(a, NAMES, "y", rounds=5, depth=3)).select(*KEYS, "y", "p", "pred")
+    return models.scored(b, models.boosted(a, NAMES, "y")).select(*KEYS, "y", "p", "pred")
 
 
 @query("ml2_early_stopping")
 def early(s: Inputs) -> DataFrame:
     a, b = split(s)
-    return models.scored(b, models.trained_with_early_stop(a, NAMES, "y", 500, rounds=5, depth=3)).select(*KEYS, "y", "p", "pred")
+    return models.scored(b, models.trained_with_early_stop(a, NAMES, "y")).select(*KEYS, "y", "p", "pred")
 
 
 @query("ml3_decay_weights")
 def decayed(s: Inputs) -> DataFrame:
     a, b = split(s)
-    return models.scored(b, models.trained_with_decay(a, NAMES, "y", 14.0, rounds=5, depth=3)).select(*KEYS, "y", "p", "pred")
+    return models.scored(b, models.trained_with_decay(a, NAMES, "y", 14.0)).select(*KEYS, "y", "p", "pred")
 
 
 @query("ml4_meta_classifier")
@@ -59,7 +59,7 @@ def meta(s: Inputs) -> DataFrame:
 
 @query("ml5_set1_walk_forward_cv")
 def walked(s: Inputs) -> DataFrame:
-    return models.walk_forward_predictions(splits.expanding(training(s), 2, 2), NAMES, "y", rounds=3, depth=3)[1]
+    return models.walk_forward_predictions(splits.expanding(training(s), 2, 2), NAMES, "y")[1]
 
 
 @query("ml6_calibration")
@@ -85,13 +85,20 @@ def stacked(s: Inputs) -> DataFrame:
 @query("ml10_permutation_importance")
 def importance(s: Inputs) -> DataFrame:
     a, b = split(s)
-    return models.permutation_importance(b, models.boosted(a, NAMES, "y", rounds=3, depth=3), NAMES, "y", "id", repeats=1)
+    return models.permutation_importance(b, models.boosted(a, NAMES, "y"), NAMES, "y", "id")
+
+
+@query("ml10_importance_by_regime")
+def importance_by_regime(s: Inputs) -> DataFrame:
+    """In blocks of a day, within each symbol."""
+    a, b = split(s)
+    return models.importance_by_regime(b.withColumn("day", F.to_date("ts")), models.boosted(a, NAMES, "y"), NAMES, "y", "id", "symbol", repeats=1, block="day")
 
 
 @query("ml12_search")
 def searched(s: Inputs) -> DataFrame:
     a, _ = split(s)
-    m = models.searched(a, NAMES, "y", (2, 4), (5,))
+    m = models.searched(a, NAMES, "y")
     return s.spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.validationMetrics)], "candidate int, roc_auc double")
 
 

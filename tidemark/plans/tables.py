@@ -44,7 +44,7 @@ query("src5_chart_series", f"SELECT symbol, ts, round(close, 4) AS value FROM ba
 def fee_payload(s: Inputs) -> DataFrame:
     """Five-tuples with a zero median at every third bar, and histograms for none."""
     part = F.concat(F.lit("["), F.concat_ws(",", F.unix_timestamp("ts").cast("string"), F.round("close", 4).cast("string"), F.when(F.col("number_of_trades") % 3 == 0, F.lit("0")).otherwise(F.round("low", 4).cast("string")), F.round("high", 4).cast("string"), F.col("number_of_trades").cast("string")), F.lit("]"))
-    return s.bars().groupBy("symbol").agg(F.concat(F.lit('{"series":['), F.array_join(F.collect_list(part), ","), F.lit("]}")).alias("payload"))
+    return s.bars().groupBy("symbol", F.to_date("ts").alias("day")).agg(F.concat(F.lit('{"series":['), F.array_join(F.collect_list(part), ","), F.lit("]}")).alias("payload"))
 
 
 query("src6_fee_series", "SELECT symbol, ts, round(close, 4) AS wavg, CASE WHEN number_of_trades % 3 <> 0 THEN round(low, 4) END AS p50, round(high, 4) AS p90, CAST(number_of_trades AS DOUBLE) AS vsize FROM bars", "wavg p50 p90 vsize", ctes=BARS)(lambda s: payloads.fee_series(fee_payload(s)))
@@ -52,7 +52,7 @@ query("src6_fee_series", "SELECT symbol, ts, round(close, 4) AS wavg, CASE WHEN
 
 def difficulty_payload(s: Inputs) -> DataFrame:
     part = F.concat(F.lit("["), F.concat_ws(",", F.unix_timestamp("ts").cast("string"), F.col("number_of_trades").cast("string"), F.round("open", 4).cast("string"), F.when(F.col("number_of_trades") % 4 == 0, F.lit("null")).otherwise(F.round("close", 4).cast("string"))), F.lit("]"))
-    return s.bars().groupBy("symbol").agg(F.concat(F.lit("["), F.array_join(F.collect_list(part), ","), F.lit("]")).alias("payload"))
+    return s.bars().groupBy("symbol", F.to_date("ts").alias("day")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(part), ","), F.lit("]")).alias("payload"))
 
 
 query("src7_difficulty_series", """SELECT symbol, ts, CAST(number_of_trades AS DOUBLE) AS height, d AS difficulty, coalesce(ch, CASE WHEN last_value(m IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN can END) AS change FROM (
