@@ -200,7 +200,7 @@ def test_full_bands_of_texts_that_are_not_similar(spark):
         texts[2 * i] = f"{common} {own}"
         texts[2 * i + 1] = f"{common} {own} more"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.component_id for x in near_groups(df, room=4, stars=1, depth=3).collect()}
+    got = {x.doc_id: x.component_id for x in near_groups(df, room=4, depth=3).collect()}
     assert got == {i: i - i % 2 for i in texts}
 
 

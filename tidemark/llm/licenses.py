@@ -59,7 +59,7 @@ def tokens(text: str) -> list[str]:
 class Templates:
     """TF-IDF vectors of the templates; ``weights``: idf of their terms, ``rare``: that of every other term.
 
-    ``anchors``: by term, places ``(before, length)`` of it in templates. A template's anchors are its heaviest terms, so many that a text
+    ``anchors``: by term, its first places ``(before, length)`` in templates. A template's anchors are its heaviest terms, so many that a text
     without any of them has a cosine below ``least``: what comes near a template holds an anchor.
     """
 
@@ -79,7 +79,7 @@ class Templates:
                     if share > 1 - least * least + 1e-9:
                         break
                     share += v[t] * v[t]
-                    self.anchors.setdefault(t, set()).update((i, len(words)) for i, w in enumerate(words) if w == t)
+                    self.anchors.setdefault(t, set()).add((words.index(t), len(words)))
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The nearest template at a cosine of ``least`` or more; ties go to the first. Most texts share too little weight

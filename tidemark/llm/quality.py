@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.rolling import running_sums
 from .common import attach, id_back, id_text, written
 
-#: Bits of a symbol in a packed n-gram; six fit into a long.
+#: Bits of a symbol in a packed n-gram; up to seven fit into a long.
 BITS = 8
-ORDER = 6
+ORDER = 5
 
 
 def symbols(text: str | None) -> np.ndarray:

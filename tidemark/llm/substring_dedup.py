@@ -74,7 +74,8 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
     is broadcast: ``most_bits`` at most, whatever the corpus. Where it fills up, more windows pass it, never fewer.
     (3) Windows whose anchor passes go, in runs with the same anchor, to the partition of that anchor, where the earliest
     window of each hash is found. Windows of frequent anchors instead find it by partial minima and a join that
-    can be split, so that no task holds all copies of a passage.
+    can be split, so that no task holds all copies of a passage. Windows are equal when both hashes of 64 bits are, the anchor's
+    and their own; as only windows of one anchor are ever compared, chance matches stay near none at any size.
     """
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +121,8 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
 
     keyed = docs.select(_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("version"), "text")
     passed = keyed.mapInPandas(runs, "gram long, key long, version long, start int, hashes array<long>")
-    frequent = often.where(F.col("n") > max(1000, total // 500)).select("gram", F.lit(True).alias("hot"))  # fewer than 500 of them
+    parts = max(500, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frequent = often.where(F.col("n") > max(1000, total // parts)).select("gram", F.lit(True).alias("hot"))  # fewer than ``parts`` of them
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(F.lit(-1))
     dealt = passed.join(F.broadcast(frequent), "gram", "left").withColumn("salt", salt).repartition("gram", "salt")
     each = dealt.select("gram", "salt", "key", "version", "start", F.posexplode("hashes").alias("i", "hash"))
@@ -129,12 +131,12 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
     each = each.withColumn("least", F.min("place").over(Window.partitionBy("gram", "salt", "hash")))
     first = F.col("place") == F.col("least")
     # of a frequent anchor, the first window in each part still has to be compared with those of other parts
-    each = each.where(~first | (F.col("salt") >= 0)).select("place.key", "version", "place.start", F.when(first, F.col("hash")).alias("hash"))
+    each = each.where(~first | (F.col("salt") >= 0)).select("gram", "place.key", "version", "place.start", F.when(first, F.col("hash")).alias("hash"))
     each = written(each, "windows")
     firsts = each.where("hash is not null")
-    least = firsts.groupBy("hash").agg(F.min(F.struct("key", "start")).alias("least"))
-    firsts = firsts.join(least, "hash").where(F.struct("key", "start") > F.col("least"))
-    late = each.where("hash is null").drop("hash").unionByName(firsts.select("key", "version", "start"))
+    least = firsts.groupBy("gram", "hash").agg(F.min(F.struct("key", "start")).alias("least"))
+    firsts = firsts.join(least, ["gram", "hash"]).where(F.struct("key", "start") > F.col("least"))
+    late = each.where("hash is null").drop("gram", "hash").unionByName(firsts.select("key", "version", "start"))
     return late.groupBy("key", "version").agg(F.collect_list("start").alias("starts"))
 
 
