@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written as written
@@ -35,6 +35,16 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def one_of_each(docs: DataFrame, keep: DataFrame, version: Column, *order: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` and ``version`` are in ``keep`` (columns of these names, no pair twice), one for each pair: the first by
+    ``order``. Join and window share one exchange of the rows, as both go by the same two columns, which are never null."""
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # no number is empty
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), id_.alias("_tm_id"), version.alias("_tm_version"))
+    met = d.join(keep.select(id_.alias("_tm_id"), F.col("version").alias("_tm_version")), ["_tm_id", "_tm_version"], "left_semi")
+    by = Window.partitionBy("_tm_id", "_tm_version").orderBy(*(order or [F.lit(0)]))
+    return met.withColumn("_tm_one", F.row_number().over(by)).where("_tm_one = 1").select("d.*")
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None, parts: int = 200) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per ``key``; ``weight``: how many of ``rows`` have it).
 

@@ -13,8 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round makes each node's larger neighbours, then its smaller ones, hang on its smallest neighbour, and
     is written to the shared folder. The number of rounds grows with the logarithm of the longest path. Only
-    minima are grouped; no neighbour list is ever collected, and the links of a node with very many (the root of a large
-    component) stay where they are when its minimum joins them. Self links and repeated links are allowed.
+    minima are grouped; no neighbour list is ever collected. The links of a node with very many (the root of a large component)
+    meet its one minimum in a join that adaptive execution splits. Self links and repeated links are allowed.
     """
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -22,13 +22,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before or not state[0]:
             break
-        before, n = state, state[0]
+        before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        up = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = written(attach(up, low, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, low, "u", "n", n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
         links = written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, written
+from .common import SPACE, attach, one_of_each, written
 
 
 def digest_of(text: Column) -> Column:
@@ -96,8 +96,5 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns, once each (of rows that repeat text and ``doc_id`` the longest)."""
-    columns = [f"d.`{c}`" for c in docs.columns]
-    kept = added(docs, index, batch).where("kept").select("doc_id", "digest")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (digest_of(F.col("d.text")) == F.col("k.digest"))
-    one = F.row_number().over(Window.partitionBy("k.doc_id", "k.digest").orderBy(F.desc(F.char_length("d.text"))))
-    return docs.alias("d").join(kept.alias("k"), same).withColumn("_tm_one", one).where("_tm_one = 1").select(*columns)
+    kept = added(docs, index, batch).where("kept").select("doc_id", F.col("digest").alias("version"))
+    return one_of_each(docs, kept, digest_of(F.col("text")), F.desc(F.char_length("d.text")))

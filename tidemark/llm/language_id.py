@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,12 +14,19 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Numbers other than decimal digits, such as fractions and Roman numerals: word characters, but no letters.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Letters, and numbers other than decimal digits, such as fractions and Roman numerals.
+LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def grams(word: str, n: int) -> list[str]:
     word = f"<{word}>"
     return [word[i : i + n] for i in range(len(word) - n + 1)]
@@ -70,7 +76,7 @@ class Predictor:
         while i < len(texts):
             part, size = [], 0
             while i < len(texts) and size < step:
-                part.append(LETTERS.findall(texts[i].lower()) if texts[i] else [])
+                part.append(words_of(texts[i]) if texts[i] else [])
                 size += len(texts[i] or "")
                 i += 1
             yield from self.part(part)
@@ -119,7 +125,7 @@ def train(labelled: DataFrame, sample: int = 6_000, words: int | None = 50_000,
             for lang, texts in x.groupby("lang").text:
                 found: Counter = Counter()
                 for t in texts:
-                    found.update(LETTERS.findall(t.lower()))
+                    found.update(words_of(t))
                 parts: Counter = Counter()
                 for word, n in found.items():
                     for k in orders:

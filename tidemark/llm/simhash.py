@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, id_back, id_text, written
+from .common import attach, id_back, id_text, one_of_each, written
 from .components import components, rooted
 from .near_copies import near_groups
 
@@ -117,8 +117,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
 
     Groups are of similarity (``near_copies``): at 0.8 most copies differ by more bits than fingerprints can be joined on.
     """
-    columns = [f"d.`{c}`" for c in docs.columns]
     keep = near_groups(docs, words, similarity).where("first").select("doc_id", "version").distinct()
-    one = F.row_number().over(Window.partitionBy("k.doc_id", "k.version").orderBy(F.lit(0)))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.version"))
-    return docs.alias("d").join(keep.alias("k"), same).withColumn("_tm_one", one).where("_tm_one = 1").select(*columns)
+    return one_of_each(docs, keep, F.xxhash64("text"))
