@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_predictions
 from .mixing import mix_words
 from .secrets import secret_spans
+from .sentence_pieces import piece_digests
 from .simhash import simhash_groups
 from .substring_dedup import repeats_removed
 
@@ -66,7 +67,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup)}
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup, op13_sentencepiece)}
 
 #: White space as DuckDB's RE2 has it.
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
