@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ann, licenses, quality
 from .byte_bpe import token_digests
 from .common import in_small_batches
+from .conversation_trie import rebuilt_nodes
 from .exact_dedup import exact_dedup
 from .language_id import language_predictions
 from .mixing import mix_words
@@ -67,16 +68,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(documents(spark, sf_dir))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup, op12_conversation_trie, op13_sentencepiece)}
 
 #: White space as DuckDB's RE2 has it.
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
+#: CRC-32 of a text of ASCII characters, as its definition by bits has it.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(S) + 1), lambda i: ascii(substr(S, i, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 ORACLES = {
+    "op12_conversation_trie": f"""
+WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, c - c % 20 AS base, {_CRC.replace("S", "c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c.c, t.n AS place, t.t, t.words FROM c JOIN t ON t.c = c.base AND t.n <= c.h UNION ALL SELECT c.c, t.n + 10 AS place, t.t, t.words FROM c JOIN t ON t.c = c.c AND t.n > c.h),
+d AS (SELECT c, row_number() OVER w AS depth, words, string_agg(t, '') OVER w AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY place)),
+p AS (SELECT c, depth, words, md5(k) AS k, lag(md5(k), 1, '') OVER w AS pk, lead(depth) OVER w IS NULL AS last FROM d WINDOW w AS (PARTITION BY c ORDER BY depth)
+  UNION ALL SELECT c, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM r WHERE r.c = c.c) FROM c),
+n AS (SELECT k, min(c) AS rep, min(depth) AS depth, min(pk) AS pk, count(*) AS n, bool_and(last) AS leaf, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last) AS ends FROM p GROUP BY k),
+m AS (SELECT p.c, p.k, sum(CASE WHEN p.c = n.rep THEN (n.n - 1) * p.words ELSE 0 END) OVER w AS saved, sum((p.c = n.rep AND n.leaf)::INT) OVER w AS leaves
+  FROM p JOIN n ON p.k = n.k WINDOW w AS (PARTITION BY p.c ORDER BY p.depth DESC)),
+s AS (SELECT k, sum(saved) AS saved, sum(leaves) AS leaves FROM m GROUP BY k),
+ch AS (SELECT pk AS k, count(*) AS n FROM n GROUP BY pk)
+SELECT n.rep AS conv_id, n.depth, up.rep AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s ON n.k = s.k LEFT JOIN ch ON n.k = ch.k LEFT JOIN n up ON n.pk = up.k""",
     "op10_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
