@@ -15,6 +15,7 @@ from .mixing import mix_words
 from .secrets import secret_spans
 from .sentence_pieces import piece_digests
 from .simhash import simhash_groups
+from .spelling import LOWER, UPPER, spelling_forms
 from .substring_dedup import repeats_removed
 
 
@@ -68,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(documents(spark, sf_dir))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_nodes(table(spark, sf_dir, "conversations"))
 
@@ -76,16 +81,30 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup, op12_conversation_trie, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_language_id, op3_secrets, op4_simhash, op5_byte_bpe, op6_mixing, op7_quality, op8_licenses, op9_exact_dedup, op10_substring_dedup, op11_spelling, op12_conversation_trie, op13_sentencepiece)}
 
 #: White space as DuckDB's RE2 has it.
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
-#: CRC-32 of a text of ASCII characters, as its definition by bits has it.
-_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(S) + 1), lambda i: ascii(substr(S, i, 1))::BIGINT)),
+#: CRC-32 of a text's bytes, as its definition by bits has it.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(S)) + 1), lambda i: ('0x' || substr(hex(encode(S)), (2 * i - 1)::INT, 2))::BIGINT)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
+_LETTERS = "[A-Za-z\u00c0-\u00ff]"
+
 ORACLES = {
+    "op11_spelling": f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_LETTERS}{{6,}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+h AS (SELECT run, {_CRC.replace("S", "(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM r),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 5 AND length(word) >= 6),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+e AS (SELECT DISTINCT a.word AS a, a.n AS m, b.word AS b, b.n FROM d a JOIN v b ON a.rest = b.word),
+near AS (SELECT a.word AS a, a.n AS m, b.word AS b, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION ALL SELECT a, m, b, n FROM e UNION ALL SELECT b, n, a, m FROM e),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * v.n THEN b END AS form, CASE WHEN best.n >= 5 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = word AND k = 1),
+led AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT led.word, f.word, f.form FROM led JOIN f ON f.word = led.next)
+SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM f JOIN led ON f.word = led.word AND led.next IS NULL""",
     "op12_conversation_trie": f"""
 WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM conversations WHERE conv_id IS NOT NULL),
