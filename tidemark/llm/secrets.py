@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from .common import written
 
 #: Fixed patterns of the contract. A match of the first is dropped if its second group has under 12 characters.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,19 +94,26 @@ def labelled_samples(docs: DataFrame, sample: int = 4_000) -> DataFrame:
     return secret.unionByName(plain)
 
 
+def sample_words(samples: DataFrame) -> DataFrame:
+    """``text, secret, n``: each distinct sample with its number; written."""
+    return written(samples.groupBy("secret", "text").agg(F.count("*").alias("n")), "samples")
+
+
 def log_ratios(samples: DataFrame, weight: float = 20.0) -> list[float]:
     """For each pair of characters of ``ALPHABET``: log P(second | first) under random strings less that under identifiers.
 
     Both are mixed with the uniform distribution, at the weight of ``weight`` observations of the first character; so
-    without samples every ratio is 0. The table has one entry for each pair, whatever the number of samples.
+    without samples every ratio is 0. The table has one entry for each pair, whatever the number of samples. A sample counts ``n`` times, once
+    if there is no such column; its pairs are made inside its row, so the work is linear in its length.
     """
     k = len(ALPHABET)
-    at = F.explode(F.sequence(F.lit(1), F.char_length("text") - 1)).alias("at")
-    pairs = samples.where("char_length(text) > 1").select("secret", "text", at)
-    pairs = pairs.select("secret", F.substring("text", F.col("at"), F.lit(1)).alias("a"), F.substring("text", F.col("at") + 1, F.lit(1)).alias("b"))
-    pairs = pairs.select("secret", F.expr(f"instr('{ALPHABET}', a) - 1").alias("a"), F.expr(f"instr('{ALPHABET}', b) - 1").alias("b")).where("a >= 0 and b >= 0")
+    n = F.col("n") if "n" in samples.columns else F.lit(1)
+    letters = samples.where("char_length(text) > 1").select("secret", n.alias("n"), F.split("text", "").alias("c"))
+    both = F.zip_with("c", F.slice("c", 2, F.size("c")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = letters.select("secret", "n", F.explode(both).alias("x")).select("secret", "n", "x.*").where("a <> '' and b <> ''")
+    pairs = pairs.select("secret", "n", F.expr(f"instr('{ALPHABET}', a) - 1").alias("a"), F.expr(f"instr('{ALPHABET}', b) - 1").alias("b")).where("a >= 0 and b >= 0")
     counts = {True: [0.0] * k * k, False: [0.0] * k * k}
-    for r in pairs.groupBy("secret", "a", "b").count().collect():
+    for r in pairs.groupBy("secret", "a", "b").agg(F.sum("n").alias("count")).collect():
         counts[r.secret][r.a * k + r.b] = float(r["count"])
     p = {}
     for label, n in counts.items():
@@ -124,15 +132,32 @@ def likelihood(value: Column, ratios: list[float]) -> Column:
     return F.try_divide(total, F.char_length(value) - 1)
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fitted_least(samples: DataFrame, ratios: list[float], fewest: int = 20, otherwise: float = 0.5) -> float:
+    """The mean log-likelihood ratio that parts the distinct samples of 16 characters or more best: the share of secrets below it and that of
+    identifiers from it on are least in sum; the middle of all such values, in steps of 0.05. ``otherwise`` where one of the classes has fewer
+    than ``fewest`` such samples."""
+    step = F.floor(F.greatest(F.least(likelihood(F.col("text"), ratios), F.lit(10.0)), F.lit(-10.0)) / 0.05).cast("int")
+    bins = samples.where(F.col("text").rlike(f"^{CANDIDATE}$")).groupBy("secret", step.alias("at")).count().collect()  # 400 a class at most
+    total = {c: sum(r["count"] for r in bins if r.secret == c) for c in (True, False)}
+    if min(total.values()) < fewest:
+        return otherwise
+    wrong = lambda t: sum(r["count"] / total[r.secret] for r in bins if (r["at"] < t) == r.secret)
+    costs = {t: wrong(t) for t in range(-200, 202)}
+    best = [t for t, c in costs.items() if c <= min(costs.values()) + 1e-12]
+    return (best[0] + best[-1]) / 2 * 0.05
+
+
+def scan(docs: DataFrame, samples: DataFrame | None = None, least: float | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``base`` and ``found``: arrays of ``start, kind, end, value``, ordered by start and kind.
 
     ``base``: matches of the fixed patterns (kinds 0 to 2 of ``KINDS``). ``found`` adds strings of 16 or more characters of the text
     without these (:func:`blanked`) that have letters and digits or both cases, and whose mean log-likelihood ratio is ``least`` or
-    more. The models are trained from ``samples`` (``text, secret``), by default :func:`labelled_samples`. Null texts are empty;
-    each row is judged by itself.
+    more (by default :func:`fitted_least`). The models are trained from ``samples`` (``text, secret``), by default
+    :func:`labelled_samples`. Null texts are empty; each row is judged by itself.
     """
-    ratios = log_ratios(samples if samples is not None else labelled_samples(docs))
+    words = sample_words(samples if samples is not None else labelled_samples(docs))
+    ratios = log_ratios(words)
+    least = fitted_least(words, ratios) if least is None else least
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(*keep, text.alias("_tm_text"), F.array_sort(base_spans(text)).alias("base"))
     mixed = lambda v: v.rlike("[0-9]") | (v.rlike("[a-z]") & v.rlike("[A-Z].*[A-Z]"))
