@@ -582,3 +582,16 @@ def test_reference_removal(spark, docs, rows, empty):
     probe = [bytes([r.choice(b"ab")]) for _ in range(60)]
     inside = lambda s: any(t[i : i + len(s)] == s for t in text for i in range(len(t)))
     assert a.statistics(probe) == [max(n for n in range(e + 2) if inside(probe[e + 1 - n : e + 1])) for e in range(60)]
+
+
+@pytest.mark.parametrize("ids", [7, None])
+def test_substring_dedup_of_many_equal_rows(spark, ids):
+    text, late = sentences(11, 200), sentences(12, 30) + " " + sentences(11, 60)
+    rows = [(ids, text)] * 20_000 + [(1 << 40, late), (9, text + " " + sentences(13, 40))]
+    began = time.time()
+    got = substring_dedup.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    took, words = time.time() - began, len(text.split())
+    seen = {r.doc_id: (r.n_words, r.n_removed, r["count"]) for r in got}
+    first, last = (9, ids) if ids is None else (ids, 9)
+    assert len(got) == 3 and seen[first][1] == 0 and seen[last][1] == words
+    assert seen[ids][::2] == (words, 20_000) and seen[1 << 40][1] == len(sentences(11, 60).split()) and took < 60

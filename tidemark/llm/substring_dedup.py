@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,6 +62,22 @@ def anchored(text: str | None, hashes: WordHashes, window: int, gram: int) -> tu
     return rolled(a, window), at, grams
 
 
+class Once:
+    """Tells the first of the rows that repeat an id and a text within a task; it forgets what came before ``most`` of them."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.seen = most, set()
+
+    def new(self, keys: Iterable[int], versions: Iterable[int]) -> list[bool]:
+        out = []
+        for pair in zip(keys, versions, strict=True):
+            out.append(pair not in self.seen)
+            self.seen.add(pair)
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        return out
+
+
 def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(2**63 - 1))
 
@@ -79,12 +95,14 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
     """
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, once = WordHashes(), Once()
         for x in frames:
-            yield pd.DataFrame({"grams": [grams[np.unique(at)].view(np.int64) for _, at, grams in (anchored(t, hashes, window, gram) for t in x.text)]})
+            texts = x.text[once.new(x.key, x.version)]
+            yield pd.DataFrame({"grams": [grams[np.unique(at)].view(np.int64) for _, at, grams in (anchored(t, hashes, window, gram) for t in texts)]})
 
     spark = docs.sparkSession
-    found = docs.select("text").mapInPandas(anchors, "grams array<long>").select(F.explode("grams").alias("gram"))
+    keyed = docs.select(_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("version"), "text")
+    found = keyed.mapInPandas(anchors, "grams array<long>").select(F.explode("grams").alias("gram"))
     often = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     total, some = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = 1 << 16
@@ -99,9 +117,9 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
     shared, shift = spark.sparkContext.broadcast(filled), np.uint64(64 - (bits.bit_length() - 1))
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, known = WordHashes(), shared.value
+        hashes, once, known = WordHashes(), Once(), shared.value
         for x in frames:
-            out = []
+            out, x = [], x[once.new(x.key, x.version)]
             for key, version, text in zip(x.key, x.version, x.text, strict=True):
                 h, at, grams = anchored(text, hashes, window, gram)
                 if not len(h):
@@ -119,11 +137,10 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
             if out:
                 yield pd.DataFrame(out, columns=["gram", "key", "version", "start", "hashes"])
 
-    keyed = docs.select(_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("version"), "text")
     passed = keyed.mapInPandas(runs, "gram long, key long, version long, start int, hashes array<long>")
     parts = max(500, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frequent = often.where(F.col("n") > max(1000, total // parts)).select("gram", F.lit(True).alias("hot"))  # fewer than ``parts`` of them
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(F.lit(-1))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "version"), F.lit(64))).otherwise(F.lit(-1))
     dealt = passed.join(F.broadcast(frequent), "gram", "left").withColumn("salt", salt).repartition("gram", "salt")
     each = dealt.select("gram", "salt", "key", "version", "start", F.posexplode("hashes").alias("i", "hash"))
     place = F.struct("key", (F.col("start") + F.col("i")).alias("start"))
@@ -137,7 +154,8 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
     least = firsts.groupBy("gram", "hash").agg(F.min(F.struct("key", "start")).alias("least"))
     firsts = firsts.join(least, ["gram", "hash"]).where(F.struct("key", "start") > F.col("least"))
     late = each.where("hash is null").drop("gram", "hash").unionByName(firsts.select("key", "version", "start"))
-    return late.groupBy("key", "version").agg(F.collect_list("start").alias("starts"))
+    # rows that repeat an id and a text are one here: each task passes them once, and of several tasks their places are a set
+    return written(late.groupBy("key", "version").agg(F.collect_set("start").alias("starts")), "late")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
