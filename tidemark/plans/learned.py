@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import series
-from ..operators import features, labels, models, splits, timegrid, windows
+from ..operators import features, forests, labels, models, splits, timegrid, windows
 from .fixtures import BARS, Inputs
 from .registry import query
 from .series import full
@@ -102,6 +102,20 @@ def searched(s: Inputs) -> DataFrame:
     return s.spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.validationMetrics)], "candidate int, roc_auc double")
 
 
+@query("ml12_halving")
+def halved(s: Inputs) -> DataFrame:
+    """Ten to eighty trees a candidate (50 to 400 by default)."""
+    a, _ = split(s)
+    return forests.halving(a, NAMES, "y", "id", least=10, most=80)[0]
+
+
+@query("ml12_grown_forest")
+def grown(s: Inputs) -> DataFrame:
+    a, b = split(s)
+    forest, scores = forests.grown(a, NAMES, "y", "id", step=10, most=60)
+    return forest.scored(b).select(*KEYS, "y", "p", "pred", F.lit(forest.trees).alias("trees"), F.lit(scores[-1]).alias("oob"))
+
+
 @query("prj8_10_12_feature_matrix")
 def matrix(s: Inputs) -> DataFrame:
     out = features.create_features(s.deriv(), features.Settings(step_minutes=60, onchain=False, z_and_delta=False))
