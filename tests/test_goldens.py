@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays, scalars
 from tidemark.operators import drift, evaluate, features, labels, models, splits, timegrid, windows
 from tidemark.sources import payloads, scans, tables
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, keyed, run
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc).replace(tzinfo=None)
 
@@ -310,7 +310,8 @@ def run_stream(spark, df, folder, make, mode="append"):
     """Writes ``df`` as files in order of time and runs a query over them to the end; returns its rows."""
     parts = df.orderBy("ts").coalesce(1)
     parts.write.mode("append").parquet(folder)
-    q = make(spark.readStream.schema(df.schema).parquet(folder)).writeStream.format("memory").queryName("out").outputMode(mode).trigger(availableNow=True).start()
+    with run.rocksdb(spark):
+        q = make(spark.readStream.schema(df.schema).parquet(folder)).writeStream.format("memory").queryName("out").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table("out")
 
@@ -325,7 +326,7 @@ def test_stream_bars_equal_batch_on_closed_windows(spark, tmp_path):
 
 def test_stream_state_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("A", "1h", T0 + timedelta(hours=i), (i * 7 % 10) / 10) for i in range(60)], "symbol string, interval string, ts timestamp, p double")
-    got = run_stream(spark, df, str(tmp_path / "s"), lambda t: jobs.stateful(t, jobs.ema_step(5), "p", "state", "1 hour")).collect()
+    got = run_stream(spark, df, str(tmp_path / "s"), lambda t: keyed.in_time_order(t, keyed.ema_step(5), "p", "1 hour")).collect()
     want = {r.ts: r.y for r in windows.ema(df, "p", 5, "y").collect()}
     assert len(got) >= 55 and all(abs(r.out - want[r.ts]) < 1e-9 for r in got)
 

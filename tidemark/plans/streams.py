@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming import jobs, run
+from ..streaming import jobs, keyed, run
 from .fixtures import BARS, Inputs
 from .registry import query
 
@@ -28,7 +28,19 @@ def bars(s: Inputs) -> DataFrame:
  FROM events WHERE epoch_us(ts) < (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) * 1000""", "out")
 def hysteresis(s: Inputs) -> DataFrame:
     t = ticks(s).select(F.col("event_type").alias("symbol"), "ts", "value")
-    return run.drained(jobs.stateful(t, jobs.hysteresis_step(20.0, 15.0), "value", "state", "1 hour"))
+    return run.drained(keyed.in_time_order(t, keyed.hysteresis_step(20.0, 15.0), "value", "1 hour"))
+
+
+@query("str4_ema_stream", f"""WITH RECURSIVE v AS (SELECT event_type AS s, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events
+ WHERE epoch_us(ts) < (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) * 1000),
+e AS (SELECT s, ts, n, value AS out FROM v WHERE n = 1 UNION ALL SELECT v.s, v.ts, v.n, e.out * 9 / 11 + v.value * 2 / 11 FROM e JOIN v ON v.s = e.s AND v.n = e.n + 1)
+SELECT s AS symbol, CAST(floor(epoch(max(ts))) AS BIGINT) AS ts, count(*) AS n, arg_max(out, ts) AS out FROM e GROUP BY s, n % 100""", "out", "n")
+def averages(s: Inputs) -> DataFrame:
+    """The last of each hundredth of a type's averages: a row depends on all before it."""
+    t = ticks(s).select(F.col("event_type").alias("symbol"), "ts", "value")
+    out = run.drained(keyed.in_time_order(t, keyed.ema_step(10), "value", "1 hour"))
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    return out.withColumn("n", n).groupBy("symbol", F.col("n") % 100).agg(F.max("ts").alias("ts"), F.count("*").alias("n"), F.max_by("out", "ts").alias("out")).select("symbol", "ts", "n", "out")
 
 
 @query("str1_snapshot_stream", f"""SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 AS ts, CAST(arg_max(user_id, ts) AS DOUBLE) AS onch_mempool_count FROM events WHERE event_id % 5 <> 0 GROUP BY 1
