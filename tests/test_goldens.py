@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, scalars
 from tidemark.operators import drift, evaluate, features, labels, models, splits, timegrid, windows
-from tidemark.sources import payloads, scans, tables
+from tidemark.sources import payloads, scans, tables, versions
 from tidemark.streaming import jobs, keyed, run
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc).replace(tzinfo=None)
@@ -194,7 +194,7 @@ def test_sinks(spark, tmp_path):
 def test_live_snapshots_keep_known_cells(spark):
     old = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "ts int, a double, b double")
     new = spark.createDataFrame([(1, None), (2, 9.0), (3, 5.0)], "ts int, a double")
-    assert sorted(tuple(r) for r in jobs.merged(old, new, ["ts"]).collect()) == [(1, 1.0, 2.0), (2, 9.0, 4.0), (3, 5.0, None)]
+    assert sorted(tuple(r) for r in versions.filled_over(old, new, ["ts"]).collect()) == [(1, 1.0, 2.0), (2, 9.0, 4.0), (3, 5.0, None)]
 
 
 def test_metrics_and_importance_by_regime(spark):

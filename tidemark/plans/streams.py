@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import VersionedTable
 from ..streaming import jobs, keyed, run
 from .fixtures import BARS, Inputs
 from .registry import query
@@ -43,11 +44,44 @@ def averages(s: Inputs) -> DataFrame:
     return out.withColumn("n", n).groupBy("symbol", F.col("n") % 100).agg(F.max("ts").alias("ts"), F.count("*").alias("n"), F.max_by("out", "ts").alias("out")).select("symbol", "ts", "n", "out")
 
 
-@query("str1_snapshot_stream", f"""SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 AS ts, CAST(arg_max(user_id, ts) AS DOUBLE) AS onch_mempool_count FROM events WHERE event_id % 5 <> 0 GROUP BY 1
- HAVING min(CAST(floor(epoch(ts) / 900) AS BIGINT) * 900) + 900 <= (SELECT floor(epoch_us(max(ts)) // 1000 / 1000.0 - 600) FROM events)""", "onch_mempool_count")
+#: Messages made of events: some broken, some without a count, some without a histogram, with recommended fees in every third.
+MESSAGES = """m AS (SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 AS bucket, epoch_us(ts) AS us, CASE WHEN event_id % 4 <> 0 THEN CAST(user_id AS DOUBLE) END AS n, event_id + 0.5::DOUBLE AS vsize,
+  CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 50 AS DOUBLE) END AS fee, CASE WHEN event_id % 7 <> 0 THEN user_id % 9 + 1 END AS a, event_id % 5 + 1 AS b FROM events WHERE event_id % 5 <> 0)"""
+SNAPSHOT = """{last}(n, us) FILTER (n IS NOT NULL) AS onch_mempool_count, {last}(vsize, us) AS onch_mempool_vsize_vB, CAST({last}(b * 1000, us) AS DOUBLE) AS onch_mempool_total_fee_sat, {last}(fee, us) FILTER (fee IS NOT NULL) AS onch_fee_fast_satvb,
+ {last}(fee - 1, us) FILTER (fee IS NOT NULL) AS onch_fee_30m_satvb, {last}(fee - 2, us) FILTER (fee IS NOT NULL) AS onch_fee_60m_satvb, {last}(fee - 3, us) FILTER (fee IS NOT NULL) AS onch_fee_min_satvb,
+ {last}((a + 2 * b + 15) / (a + b + 3), us) FILTER (a IS NOT NULL) AS onch_fee_wavg_satvb, {last}(CASE WHEN 2 * a >= a + b + 3 THEN 1.0 WHEN 2 * (a + b) >= a + b + 3 THEN 2.0 ELSE 5.0 END, us) FILTER (a IS NOT NULL) AS onch_fee_p50_satvb,
+ {last}(CASE WHEN a >= 0.9 * (a + b + 3) THEN 1.0 WHEN a + b >= 0.9 * (a + b + 3) THEN 2.0 ELSE 5.0 END, us) FILTER (a IS NOT NULL) AS onch_fee_p90_satvb""".format(last="arg_max")
+SNAPSHOT_COLUMNS = "onch_mempool_count onch_mempool_vsize_vB onch_mempool_total_fee_sat onch_fee_fast_satvb onch_fee_30m_satvb onch_fee_60m_satvb onch_fee_min_satvb onch_fee_wavg_satvb onch_fee_p50_satvb onch_fee_p90_satvb"
+
+
+def messages(s: Inputs) -> DataFrame:
+    text = """CASE WHEN event_id % 5 = 0 THEN '{broken' ELSE concat('{', CASE WHEN event_id % 4 <> 0 THEN concat('"count": ', user_id, ', ') ELSE '' END, '"vsize": ', event_id, '.5, "total_fee": ', (event_id % 5 + 1) * 1000,
+      CASE WHEN event_id % 3 = 0 THEN concat(', "fastestFee": ', event_id % 50, ', "halfHourFee": ', event_id % 50 - 1, ', "hourFee": ', event_id % 50 - 2, ', "economyFee": ', event_id % 50 - 3) ELSE '' END,
+      CASE WHEN event_id % 7 <> 0 THEN concat(', "fee_histogram": [[1, ', user_id % 9 + 1, '], [2, ', event_id % 5 + 1, '], [5, 3]]') ELSE '' END, '}') END"""
+    return ticks(s).select(F.col("ts").alias("event_time"), F.expr(text).alias("payload"))
+
+
+@query("str1_snapshot_stream", f"SELECT bucket AS ts, {SNAPSHOT} FROM m GROUP BY bucket HAVING bucket + 900 <= (SELECT floor(epoch_us(max(ts)) // 1000 / 1000.0 - 600) FROM events)", SNAPSHOT_COLUMNS, ctes=MESSAGES)
 def snapshots(s: Inputs) -> DataFrame:
-    text = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"count": '), F.col("user_id").cast("string"), F.lit("}")))
-    return run.drained(jobs.snapshot_stream(ticks(s).select(F.col("ts").alias("event_time"), text.alias("payload")))).select("ts", "onch_mempool_count")
+    return run.drained(jobs.snapshot_stream(messages(s)))
+
+
+@query("str1_snk2_snapshot_table", f"SELECT * REPLACE (CASE WHEN onch_mempool_count IS NULL THEN bucket_height ELSE onch_mempool_count END AS onch_mempool_count) FROM (SELECT bucket AS ts, {SNAPSHOT}, CAST(bucket % 1000 AS DOUBLE) AS bucket_height FROM m GROUP BY bucket)".replace("bucket_height", "onch_height"), SNAPSHOT_COLUMNS + " onch_height", ctes=MESSAGES)
+def stored(s: Inputs) -> DataFrame:
+    """The stream of messages over a stored grid that has a height and a count for each bucket: the height stays, the count where no message has one."""
+    columns = ["onch_height", *SNAPSHOT_COLUMNS.split()]
+    grid = ticks_now(s).select(F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900).alias("ts")).distinct()
+    height = (F.unix_timestamp("ts") % 1000).cast("double")
+    grid = grid.select("ts", *[(height if c in ("onch_height", "onch_mempool_count") else F.lit(None).cast("double")).alias(c) for c in columns])
+    place = f"{run.shared_folder(s.spark)}/grid-{uuid.uuid4().hex}"
+    table = VersionedTable(s.spark, f"{place}/table", grid.schema, F.date_format("ts", "yyyy-MM-dd"))
+    table.change(grid, lambda _, rows: rows, "grid", 0)
+    run.drained_batches(messages(s), jobs.snapshot_upserts(table), place)
+    return table.read()
+
+
+def ticks_now(s: Inputs) -> DataFrame:
+    return s.ticks().where("event_id % 5 <> 0")
 
 
 @query("str3_landing_stream", "SELECT user_id AS symbol, min(epoch_us(ts) // 1000) AS open_time, arg_min(value, ts) AS close FROM events GROUP BY user_id", "close")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.timegrid import actuals
-from ..sources.payloads import histogram
-from ..functions import arrays
-from ..functions.scalars import safe_double
+from ..sources.payloads import snapshot
+from ..sources.shared import written
 from ..sources.tables import insert_or_ignore
+from ..sources.versions import VersionedTable, filled_over
 
 
 def bars_stream(ticks: DataFrame, width: str, late: str, symbol: Column, price: Column, size: Column, tie: str = "event_id") -> DataFrame:
@@ -24,22 +24,36 @@ def bars_stream(ticks: DataFrame, width: str, late: str, symbol: Column, price:
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "number_of_trades")
 
 
-def snapshot_stream(messages: DataFrame, width: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
-    """The last message (``event_time``, ``payload``) of each grid bucket, with fee statistics; malformed ones are passed over."""
-    v = F.try_parse_json("payload")
-    t = messages.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", late)
-    n = lambda *names: safe_double(F.coalesce(*[F.try_variant_get(v, f"$.{x}", "string") for x in names]))
-    h = histogram(F.try_variant_get(v, "$.fee_histogram", "variant"))
-    row = F.struct(n("count").alias("onch_mempool_count"), n("vsize").alias("onch_mempool_vsize_vB"), arrays.weighted_mean(h).alias("onch_fee_wavg_satvb"), arrays.weighted_percentile(h, 0.5).alias("onch_fee_p50_satvb"))
-    t = t.where(v.isNotNull()).select("event_time", row.alias("row"))
-    return t.groupBy(F.window("event_time", width).alias("w")).agg(F.max_by("row", "event_time").alias("row")).select(F.col("w.start").alias("ts"), "row.*")
+def snapshots_of(messages: DataFrame, seconds: int = 900) -> DataFrame:
+    """``event_time, ts`` and the ten columns of a snapshot from messages (``event_time``, ``payload``); malformed ones are passed over."""
+    t = messages.where(F.try_parse_json("payload").isNotNull()).select("event_time", F.col("event_time").alias("fetched_at"), "payload")
+    return snapshot(t, seconds, ["event_time"])
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows with the non-null cells of new ones; a column that a message lacks keeps its value."""
-    other = [c for c in old.columns if c not in keys]
-    both = old.join(new.withColumnsRenamed({c: f"_{c}" for c in new.columns if c not in keys}), keys, "full_outer")
-    return both.select(*keys, *[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in both.columns else F.col(c) for c in other])
+def latest(columns: Sequence[str], at: str = "event_time") -> list[Column]:
+    """The last non-null value of each column, each by itself: a message that lacks a column does not undo it."""
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in columns]
+
+
+def snapshot_stream(messages: DataFrame, seconds: int = 900, late: str = "10 minutes") -> DataFrame:
+    """The merged messages of each grid bucket, when the watermark has passed it."""
+    t = snapshots_of(messages.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", late), seconds)
+    columns = [c for c in t.columns if c not in ("event_time", "ts")]
+    return t.groupBy(F.window("event_time", f"{seconds} seconds").alias("w")).agg(*latest(columns)).select(F.col("w.start").alias("ts"), *columns)
+
+
+def snapshot_upserts(table: VersionedTable, seconds: int = 900, writer: str = "snapshots") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merges each batch of messages into the stored grid (``ts``, the ten columns and any others), whose cells stay where no
+    message has a value. Of one batch the latest message holds; a later batch comes over an earlier one. Only the partitions of the batch
+    are written anew, and the batch is in the table once, however often it runs."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        t = snapshots_of(df.withColumn("event_time", F.col("event_time").cast("timestamp")), seconds)
+        columns = [c for c in t.columns if c not in ("event_time", "ts")]
+        new = written(t.groupBy("ts").agg(*latest(columns)), "snapshots")
+        table.change(new, lambda old, rows: filled_over(old, rows, ["ts"]), writer, number)
+
+    return batch
 
 
 def landing(read_target: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], arrival: str) -> Callable[[DataFrame, int], None]:
