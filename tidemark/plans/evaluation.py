@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import drift, evaluate, signals, splits
+from ..sources.shared import written
 from .fixtures import BARS, DRIFT, PREDS, SCORED, Inputs
 from .registry import query
 
@@ -57,10 +58,29 @@ ks AS (SELECT feature, max(abs(cx / nx - cy / ny)) AS ks FROM (SELECT feature, s
 query("agg10_psi", "SELECT feature, psi FROM psi", "psi", ctes=PSI)(lambda s: drift.psi(drift.unpivoted(s.drift(), FEATURES)))
 query("agg11_ks", "SELECT feature, ks FROM ks", "ks", ctes=PSI)(lambda s: drift.ks(drift.unpivoted(s.drift(), FEATURES)))
 query("agg12_drift_table", "SELECT feature, psi, ks, psi > 0.2 AS psi_alert, ks > 0.1 AS ks_alert FROM psi JOIN ks USING (feature)", "psi ks", ctes=PSI)(lambda s: drift.drift_table(s.drift(), FEATURES))
+SPANS = {"year": (1995, 1996), "next": (1996, 1997)}
+LINES = "l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax"
+SPAN_LONG = "drift AS (" + " UNION ALL ".join(f"SELECT '{n}' AS span, {LINES}, year(l_shipdate) = {b} AS is_current FROM lineitem WHERE year(l_shipdate) IN ({a}, {b})" for n, (a, b) in SPANS.items()) + "),\nwide AS (UNPIVOT drift ON quantity, price, discount, tax INTO NAME f VALUE value),\nlong AS (SELECT span || ':' || f AS feature, value, is_current FROM wide)"
+
+
+@query("agg12_drift_spans", "SELECT feature, psi, ks, psi > 0.2 AS psi_alert, ks > 0.1 AS ks_alert FROM psi JOIN ks USING (feature)", "psi ks", ctes=PSI.replace(LONG, SPAN_LONG))
+def spans(s: Inputs) -> DataFrame:
+    """Two pairs of years from one table of daily counts."""
+    days = s.table("lineitem").select(*[F.col(c).alias(n) for c, n in (("l_quantity", "quantity"), ("l_extendedprice", "price"), ("l_discount", "discount"), ("l_tax", "tax"))], F.to_date("l_shipdate").alias("day"))
+    counts, out = written(drift.daily_counts(days, FEATURES, F.col("day")), "days"), None
+    for name, (a, b) in SPANS.items():
+        one = drift.measured(drift.between(counts, F.year("day") == a, F.year("day") == b)).withColumn("feature", F.concat(F.lit(f"{name}:"), "feature"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 query("agg13_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM drift" for a, b in PAIRS), "corr", ctes=DRIFT)(lambda s: drift.correlations(s.drift(), FEATURES))
-query("agg13_drop_correlated", "SELECT unnest(CASE WHEN corr(quantity, quantity * 2 + tax) > 0.9 THEN ['quantity', 'discount'] ELSE ['quantity', 'double', 'discount'] END) AS feature FROM drift", ctes=DRIFT)(
-    lambda s: s.spark.createDataFrame([(f,) for f in drift.drop_correlated(s.drift().withColumn("double", F.col("quantity") * 2 + F.col("tax")), ["quantity", "double", "discount"], 0.9)], "feature string"))
+# A chain: the second goes with the first and with the third, which stays as the second has gone.
+CHAIN = {"quantity": "quantity", "both": "quantity + price / 2000", "price": "price", "discount": "discount", "falling": "1 - discount + tax / 100", "tax": "tax"}
+query("agg13_drop_correlated", f"""SELECT feature FROM (SELECT abs(corr(quantity, both_)) AS qb, abs(corr(quantity, price)) AS qp, abs(corr(both_, price)) AS bp, abs(corr(discount, falling)) AS df FROM (SELECT *, {CHAIN['both']} AS both_, {CHAIN['falling']} AS falling FROM drift)),
+ (SELECT unnest(['quantity', 'both', 'price', 'discount', 'falling', 'tax']) AS feature) WHERE feature NOT IN ('both', 'price', 'falling') OR feature = 'both' AND qb <= 0.68 OR feature = 'price' AND qp <= 0.68 AND (qb > 0.68 OR bp <= 0.68) OR feature = 'falling' AND df <= 0.68""", ctes=DRIFT)(
+    lambda s: s.spark.createDataFrame([(f,) for f in drift.drop_correlated(s.drift().select(*[F.expr(e).alias(n) for n, e in CHAIN.items()]), list(CHAIN), 0.68)], "feature string"))
 CONFUSION = """c AS (SELECT count(*) FILTER (y_true = 1 AND p = 1) AS tp, count(*) FILTER (y_true = 0 AND p = 1) AS fp, count(*) FILTER (y_true = 1 AND p = 0) AS fn, count(*) FILTER (y_true = 0 AND p = 0) AS tn FROM (SELECT *, CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS p FROM scored)),
 f AS (SELECT *, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1, 2.0::DOUBLE * tn / (2 * tn + fp + fn) AS f0, (tp + fp + fn + tn)::DOUBLE AS n FROM c)"""
 query("agg14_classification", "SELECT tp, fp, fn, tn, (tp + tn) / n AS accuracy, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, f1, (f1 * (tp + fn) + f0 * (tn + fp)) / n AS f1_weighted FROM f", "accuracy precision recall f1 f1_weighted", "tp fp fn tn", f"{SCORED},\n{CONFUSION}")(lambda s: evaluate.classification(s.scored().withColumn("p", F.when(F.col("y_prob") >= 0.5, 1).otherwise(0)), "y_true", "p"))
