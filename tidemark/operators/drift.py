@@ -131,7 +131,7 @@ def correlations(df: DataFrame, features: Sequence[str], block: int = 64) -> Dat
     va, vb = (F.col(f"q{x}") - F.try_divide(F.col(f"s{x}") * F.col(f"s{x}"), "n") for x in "ab")
     corr = F.when((va > 0) & (vb > 0), (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va) / F.sqrt(vb))
     name = lambda c: F.get(F.array(*map(F.lit, names)), F.col(c))
-    return t.select(name("a").alias("a"), name("b").alias("b"), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
+    return t.select(name("a").alias("a"), name("b").alias("b"), F.when(corr.isNotNull(), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr"))
 
 
 def drop_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> list[str]:
