@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions import arrays
 from ..functions import scalars as S
 from ..functions.rolling import KEY, correlation, delta, deviation, filled, mean, series, total, z_score
-from .timegrid import rows_for
+from ..sources.shared import written
+from .parts import numbered, running
+from .timegrid import halo_blocks, rows_for
 from .windows import ema, emas, hour_fill
 
 #: Required columns, and the other names and constants below: fixed values of the feature contract.
@@ -165,7 +167,7 @@ def derivatives(df: DataFrame, step: int, fill: float = 0.0) -> DataFrame:
     interest = "open_interest" in names
     oi = F.col("open_interest").cast("double") if interest else F.lit(None).cast("double")
     basis = number("basis_annualized" if "basis_annualized" in names else None)
-    df = df.withColumns({"_oi": oi, "deriv_funding_rate": number(match_column(names, FUNDING)), "basis_annualized": basis, "_pad": filled(oi, by)})
+    df = df.withColumns({"_oi": oi, "deriv_funding_rate": number(match_column(names, FUNDING)), "basis_annualized": basis, "_pad": F.col("_pad") if "_pad" in names else filled(oi, by)})
     b, f = F.col("basis_annualized"), F.col("deriv_funding_rate")
     of_interest = {
         "oi_delta_15m": delta(F.col("_oi"), by, 3), "deriv_open_interest": F.col("_oi"), "deriv_oi_velocity": delta(F.col("_oi"), by, h),
@@ -252,15 +254,39 @@ def assert_finished(df: DataFrame, keep: Sequence[str] = (*KEY, "ts")) -> None:
         raise ValueError(f"values missing in {bad}")
 
 
-def create_features(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """All families of a candle frame keyed by ``symbol, interval, ts``; every name of :func:`registered` is there."""
+def create_features(df: DataFrame, settings: Settings = Settings(), block_rows: int | None = None) -> DataFrame:
+    """All families of a candle frame keyed by ``symbol, interval, ts``; every name of :func:`registered` is there.
+
+    A series is one task's work by default. With ``block_rows`` it is cut into blocks of so many rows, each a task's with the rows before it that
+    its frames need: what has no finite frame (averages, the last known open interest) is carried over the blocks beforehand. The
+    result is the same; it takes a few more exchanges, so it is for series of many times ``block_rows`` rows.
+    """
     check_inputs(df, settings)
     step, given, fill = settings.step_minutes, df.columns, settings.fill
     if settings.onchain:
         df = df.withColumns({c: F.coalesce(hour_fill(F.col(c), settings.forward_fill_limit), F.lit(float(fill))) if c in given else F.lit(float(fill)) for c in ONCHAIN})
+    if block_rows:
+        df = written(numbered(df, list(KEY), ["ts"], "_n"), "numbered")
+        if settings.derivatives and "open_interest" in given:
+            df = running(df, list(KEY), ["ts"], _pad=("last", F.col("open_interest").cast("double")))
     # all averages with memory in one pass, before the windows, so that these need one exchange
     tbr, _ = S.taker_flow(F.col("taker_buy_base"), F.col("volume"))
-    df = emas(df.withColumn("_tbr", tbr), trend_spans(step) | {"ema12_tbr_base": ("_tbr", 12)}).drop("_tbr")
+    df = emas(df.withColumn("_tbr", tbr), trend_spans(step) | {"ema12_tbr_base": ("_tbr", 12)}, long=bool(block_rows)).drop("_tbr", "_part")
+    if not block_rows:
+        return finished(families(df, settings, given), [*KEY, "ts"], fill)
+    cut = halo_blocks(df, block_rows, halo_of(step)).withColumns({"_symbol": F.col("symbol"), "symbol": F.concat_ws("\x01", "symbol", "_block")}).drop("_block")
+    out = finished(families(cut, settings, given), [*KEY, "ts", "_symbol", "_halo"], fill).where("not _halo")
+    return out.withColumn("symbol", F.col("_symbol")).drop("_symbol", "_halo")
+
+
+def halo_of(step: int) -> int:
+    """Rows before a block that all frames together reach back to: a deviation of deviations over a day, its score, and lags."""
+    return 2 * max(rows_or(1440, step, 50), 50) + Z_ROWS + 16
+
+
+def families(df: DataFrame, settings: Settings, given: Sequence[str]) -> DataFrame:
+    """The features of ``df``, which has the averages already; ``given``: the columns of the input."""
+    step, fill = settings.step_minutes, settings.fill
     out = order_flow(momentum(df, step, fill), step, fill).withColumns(S.time_features(F.col("ts")))
     if settings.derivatives:
         out = derivatives(out, step, fill)
@@ -272,7 +298,7 @@ def create_features(df: DataFrame, settings: Settings = Settings()) -> DataFrame
     if settings.z_and_delta:
         prefixes = ("mom_", "vol_", "time_", "cross_") + ("onch_",) * settings.onchain + ("deriv_",) * settings.derivatives + ("lob_",) * settings.orderbook
         out = z_and_delta(out, [c for c in out.columns if c.startswith(prefixes)])
-    return finished(out, [*KEY, "ts"], fill)
+    return out
 
 
 def match_contract(df: DataFrame, contract: Sequence[str], fill: float = 0.0, dtype: str = "float", keep: Sequence[str] = ()) -> DataFrame:

@@ -29,17 +29,19 @@ def in_parts(df: DataFrame, keys: list[str], order: list[str], parts: int | None
     return written(dealt.withColumn("_part", F.spark_partition_id()), "parts")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], backwards: bool = False, **values: tuple[str, Column]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], backwards: bool = False, before: bool = False, **values: tuple[str, Column]) -> DataFrame:
     """``df`` (with ``_part``, rows of a series in consecutive parts) with a column for each of ``values``: the aggregate of that name
-    over the rows of the series up to this one; ``backwards``: from this one on.
+    over the rows of the series up to this one; ``backwards``: from this one on; ``before``: without this one.
 
     ``order`` tells the rows of a series apart, else equals are taken in any order. ``keys`` are not null. No task gets more than
     one part of a series, or more than one row of each part of it. ``df`` is read twice.
     """
     turn = (lambda c: F.col(c).desc()) if backwards else F.col
-    here = Window.partitionBy("_part", *keys).orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("_part", *keys).orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     ahead = Window.partitionBy(*keys).orderBy(turn("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    each = df.groupBy("_part", *keys).agg(*[AGGREGATES[kind][0](value).alias(f"_{name}") for name, (kind, value) in values.items()])
+    end = lambda value: (F.min_by if backwards else F.max_by)(value, F.when(value.isNotNull(), F.struct(*order)))
+    whole_part = lambda kind, value: end(value) if kind == "last" else AGGREGATES[kind][0](value)
+    each = df.groupBy("_part", *keys).agg(*[whole_part(kind, value).alias(f"_{name}") for name, (kind, value) in values.items()])
     carry = each.select("_part", *keys, *[AGGREGATES[kind][0](f"_{name}").over(ahead).alias(f"_{name}") for name, (kind, _) in values.items()])
     local = df.select("*", *[AGGREGATES[kind][0](value).over(here).alias(name) for name, (kind, value) in values.items()])
     joined = local.join(carry, ["_part", *keys])

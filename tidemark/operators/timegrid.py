@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import series
+from ..functions.rolling import KEY, series
+from .parts import numbered
 
 
 def floor_to(ts: Column, seconds: int) -> Column:
@@ -127,9 +128,11 @@ def trim_tail(df: DataFrame, h: int, label: str | None = None) -> DataFrame:
 
 def halo_blocks(df: DataFrame, rows: int, halo: int) -> DataFrame:
     """Cuts each series into blocks of ``rows``, each with the ``halo`` rows before it (``_halo`` true), so that finite frames
-    can be computed by (symbol, interval, ``_block``) on many tasks even for one long series."""
-    n = F.row_number().over(series()) - 1
-    own = F.floor(F.col("_n") / rows)
-    last = F.floor((F.col("_n") + halo) / rows)
-    out = df.withColumn("_n", n).withColumn("_block", F.explode(F.sequence(own, last)))
-    return out.withColumn("_halo", F.col("_block") != own).drop("_n")
+    can be computed by (symbol, interval, ``_block``) on many tasks even for one long series. Rows are numbered by parts of the series, unless
+    their number (``_n``, from 1) is there."""
+    t = df if "_n" in df.columns else numbered(df, list(KEY), ["ts"], "_n").drop("_part")
+    n = F.col("_n") - 1
+    own = F.floor(n / rows)
+    last = F.floor((n + halo) / rows)
+    blocks = t.withColumn("_own", own).withColumn("_block", F.explode(F.sequence("_own", last)))
+    return blocks.withColumn("_halo", F.col("_block") != F.col("_own")).drop("_n", "_own")

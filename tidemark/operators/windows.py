@@ -6,10 +6,12 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.rolling import KEY, filled, mean, rolled, series
+from ..sources.shared import written
+from .parts import numbered, running
 
 
 def sma(x: Column, w: int = 14, keys: Sequence[str] = KEY) -> Column:
@@ -33,22 +35,21 @@ def ema(df: DataFrame, x: str, span: int, out: str, keys: Sequence[str] = KEY, l
 SMALL, REACH = 69.0, 460.0
 
 
-def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[str] = KEY, least: int = 1, block: int = 256) -> DataFrame:
+def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[str] = KEY, least: int = 1, block: int = 256, long: bool = False) -> DataFrame:
     """Exponential moving averages ``y = (1 - a) y + a x`` with ``a = 2 / (span + 1)`` from the first value on; ``wanted``: by name, the column
     and its span (2 or more). All share one pass.
 
     Each row maps the last average affinely, ``y' = A y + B``; a value ``g`` rows after the one before meets the weight ``d^g`` with ``d = 1 - a``, so
     ``A = d^g / (d^g + a)``; a null changes nothing. Rows are composed by running products and sums inside blocks of ``block`` rows, which
     are cut again where the product gets too small, and begin anew at a value after so many nulls that nothing before it counts. The
-    blocks are composed in order, ``block`` of them at a time and then these groups, and the value carried into each joins back. Rows are
-    numbered by one window over the series. Null before the first value and until ``least`` values are there.
+    blocks are composed in order, ``block`` of them at a time and then these groups, and the value carried into each joins back. Null before
+    the first value and until ``least`` values are there. Rows are numbered by one window over the series; with ``long`` by parts of it, so
+    that a series is many tasks' work (its rows are then told apart by ``ts``).
     """
     by, keys, specs = series(*keys), list(keys), list(wanted.items())
     every = range(len(specs))
-    t = df.withColumns({"_n": F.row_number().over(by)} | {f"_v{i}": F.col(x).cast("double") for i, (_, (x, _)) in enumerate(specs)})
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    here = {f"_at{i}": F.last(F.when(F.col(f"_v{i}").isNotNull(), F.col("_n")), ignorenulls=True).over(before) for i in every}
-    t = t.withColumns({"_block": F.floor((F.col("_n") - 1) / block)} | {f"_seen{i}": F.count(f"_v{i}").over(by) for i in every} | here)
+    t = _placed(df.withColumns({f"_v{i}": F.col(x).cast("double") for i, (_, (x, _)) in enumerate(specs)}), by, keys, len(specs), long)
+    t = t.withColumn("_block", F.floor((F.col("_n") - 1) / block))
     for i, (_, (_, span)) in enumerate(specs):
         a, fade = 2.0 / (span + 1), F.pow(F.lit(1 - 2.0 / (span + 1)), (F.col("_n") - F.col(f"_at{i}")).cast("double"))
         weight = F.when(F.col(f"_v{i}").isNull() | F.col(f"_at{i}").isNull(), 1.0).otherwise(fade / (fade + a))
@@ -67,6 +68,19 @@ def emas(df: DataFrame, wanted: Mapping[str, tuple[str, int]], keys: Sequence[st
     return t.join(carries, [*keys, "_block", "_cut"]).withColumns(y).select(*[c for c in df.columns if c not in wanted], *wanted)
 
 
+def _placed(t: DataFrame, by: WindowSpec, keys: list[str], n: int, long: bool) -> DataFrame:
+    """``t`` with ``_n``, the number of the row, and for each value ``_at``, the number of the last row before that has one, and ``_seen``, how many have."""
+    known = [F.col(f"_v{i}").isNotNull() for i in range(n)]
+    if long:
+        t = t if {"_part", "_n"} <= set(t.columns) else written(numbered(t, keys, ["ts"], "_n"), "numbered")
+        t = running(t, keys, ["ts"], **{f"_seen{i}": ("sum", k.cast("long")) for i, k in enumerate(known)})
+        return written(running(t, keys, ["ts"], before=True, **{f"_at{i}": ("max", F.when(k, F.col("_n"))) for i, k in enumerate(known)}), "placed")
+    t = t.withColumn("_n", F.row_number().over(by))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    here = {f"_at{i}": F.last(F.when(k, F.col("_n")), ignorenulls=True).over(before) for i, k in enumerate(known)}
+    return t.withColumns({f"_seen{i}": F.count(f"_v{i}").over(by) for i in range(n)} | here)
+
+
 def _carried(t: DataFrame, keys: list[str], n: int, block: int) -> DataFrame:
     """``_block, _cut, _carry0, ...``: the average that each block starts from. A group of ``block`` blocks is one row; so are all groups of a series."""
     every = range(n)
