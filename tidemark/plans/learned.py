@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import series
-from ..operators import features, forests, labels, models, splits, timegrid, windows
+from ..operators import features, forests, labels, models, splits, stacking, timegrid, windows
 from .fixtures import BARS, Inputs
 from .registry import query
 from .series import full
@@ -82,6 +82,14 @@ def stacked(s: Inputs) -> DataFrame:
     return models.stack_predict(t, models.stacked(t, ["model_a", "model_b"], "y")).select(*KEYS, "y", "p")
 
 
+@query("ml8_stacking_out_of_fold")
+def stacked_across(s: Inputs) -> DataFrame:
+    """Log loss and Brier score of the calibrated stack, out of fold."""
+    t = training(s).withColumns({"model_a": F.lit(1.0) / (1 + F.exp(-50 * F.col("x_ret3"))), "model_b": F.lit(1.0) / (1 + F.exp(-0.1 * F.col("x_z_volume")))})
+    _, oof = stacking.cross_fitted(t, ["model_a", "model_b"], "y", "id")
+    return stacking.out_of_fold_scores(oof, "y")
+
+
 @query("ml10_permutation_importance")
 def importance(s: Inputs) -> DataFrame:
     a, b = split(s)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.rolling import correlation, delta, deviation, mean, series, total, z_score
-from ..operators import features, labels, signals, windows
+from ..operators import barriers, features, labels, signals, windows
 from .fixtures import BARS, BARS_15M, BARS_MINUTE, BARS_ZERO, DERIV, JOINED, Inputs
 from .registry import query
 
@@ -181,6 +181,13 @@ hit AS (SELECT a.symbol, a.ts, arg_min(CASE WHEN b.high >= a.close * 1.005 THEN
 tb AS (SELECT n.symbol, n.ts, CASE WHEN last IS NULL THEN NULL WHEN h IS NOT NULL THEN h ELSE sign(last - close) END AS decision_240m,
  CASE WHEN last IS NULL THEN NULL WHEN h = 1 THEN 'UP' WHEN h = -1 THEN 'DOWN' ELSE 'NO_TOUCH' END AS touch_240m FROM n LEFT JOIN hit USING (symbol, ts))"""
 query("lab3_triple_barrier", "SELECT * FROM tb", "", "decision_240m", BARRIER)(lambda s: labels.triple_barrier(s.bars(), 4, 0.005, 0.005, "240m").select(*KEYS, "decision_240m", "touch_240m"))
+FAR = f"""{BARS},
+n AS (SELECT symbol, ts, close, high, low, row_number() OVER ({P}) AS i, count(*) OVER (PARTITION BY symbol) AS c FROM bars),
+hit AS (SELECT a.symbol, a.i, min(b.i) AS j FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 300 AND (b.high >= a.close * 1.03 OR b.low <= a.close * 0.97) GROUP BY a.symbol, a.i)"""
+query("lab3_far_barrier", "SELECT a.symbol, a.ts, CASE WHEN a.i + 300 > a.c THEN NULL WHEN b.i IS NULL THEN 'NO_TOUCH' WHEN b.high >= a.close * 1.03 THEN 'UP' ELSE 'DOWN' END AS touch_far FROM n a LEFT JOIN hit ON hit.symbol = a.symbol AND hit.i = a.i LEFT JOIN n b ON b.symbol = hit.symbol AND b.i = hit.j", ctes=FAR)(
+    lambda s: barriers.far_barrier(s.bars(), 300, 0.03, 0.03, "far").select(*KEYS, "touch_far"))
+query("lab5_first_event", "SELECT a.symbol, a.ts, min(b.i - a.i) AS event_step FROM n a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 300 AND abs(b.close / a.close - 1) >= 0.03 GROUP BY a.symbol, a.ts", "", "event_step", FAR)(
+    lambda s: barriers.first_event(s.bars(), 300, 0.03).select(*KEYS, "event_step"))
 query("lab4_touch_summary", "SELECT '240m' AS horizon, avg(CAST(touch_240m <> 'NO_TOUCH' AS INT)) AS p_touch, count(*) FILTER (touch_240m = 'UP') / nullif(count(*) FILTER (touch_240m <> 'NO_TOUCH'), 0)::DOUBLE AS p_up_given_touch FROM tb", "p_touch p_up_given_touch", ctes=BARRIER)(lambda s: labels.touch_summary(labels.triple_barrier(s.bars(), 4, 0.005, 0.005, "240m"), ["240m"]))
 HAZ = f"{BARS},\nn AS (SELECT *, row_number() OVER ({P}) AS i FROM bars)"
 query("lab5_6_hazard", f"SELECT symbol, ts, CASE WHEN h = 1 THEN 1 ELSE 0 END AS hazard_step_1, CASE WHEN h = 2 THEN 1 ELSE 0 END AS hazard_step_2, CASE WHEN h = 3 THEN 1 ELSE 0 END AS hazard_step_3, h AS time_to_event FROM (SELECT a.symbol, a.ts, min(b.i - a.i) AS h FROM n a LEFT JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 3 AND abs(b.close / a.close - 1) >= 0.002 GROUP BY a.symbol, a.ts)", "hazard_step_1 hazard_step_2 hazard_step_3", "time_to_event", HAZ)(lambda s: labels.hazard(s.bars(), 3, 0.002).withColumn("time_to_event", labels.time_to_event(3)).select(*KEYS, "hazard_step_1", "hazard_step_2", "hazard_step_3", "time_to_event"))
