@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -133,31 +134,37 @@ def stack_predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, features: Sequence[str], label: str, key: str, repeats: int = 3, block: str | None = None, seed: int = 7) -> DataFrame:
-    """``feature, mean, std``: how far accuracy falls when a feature's values are dealt anew among the rows of a block.
+def permutation_importance(df: DataFrame, model: PipelineModel, features: Sequence[str], label: str, key: str, repeats: int = 3, block: str | None = None, seed: int = 7, by: str | None = None, block_rows: int = 50_000) -> DataFrame:
+    """``feature, mean, std``: how far accuracy falls when a feature's values are dealt anew among the rows of a block; with ``by`` for each of its
+    values, of which each has blocks of its own.
 
-    The permutation is a join of row numbers in two orders, by key and by hash, within ``block`` (all rows without one).
+    A permutation puts row numbers in order of ``key`` against those in order of a hash, within ``block`` (without one: 64 blocks by hash, or
+    one for each ``block_rows`` rows if these are more). All features and repeats are copies of one join, scored in one pass, so the number of
+    jobs is the same for any number of features.
     """
-    df = df.withColumn("_b", F.col(block) if block else F.pmod(F.xxhash64(key), F.lit(64)))
-    df = written(df, "permuted")
-    accuracy = lambda d: scored(d, model).agg(F.avg((F.col("pred") == F.col(label)).cast("double"))).first()[0]
-    base, rows = accuracy(df), []
-    for f in features:
-        for r in range(repeats):
-            a = df.drop(f).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-            b = df.select("_b", F.col(f), F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed + r)))).alias("_n"))
-            rows.append((f, base - accuracy(a.join(b, ["_b", "_n"]))))
-    out = df.sparkSession.createDataFrame(rows, "feature string, fall double")
-    return out.groupBy("feature").agg(F.avg("fall").alias("mean"), F.stddev_pop("fall").alias("std"))
+    names, group = list(features), [by] if by else []
+    place = F.col(block) if block else F.pmod(F.xxhash64(key), F.lit(max(64, df.count() // block_rows)))
+    t = df.withColumn("_b", F.struct(place.alias("b"), *group))
+    rank = lambda *order: F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    orders = F.array(*[rank(F.xxhash64(key, F.lit(seed + r))) for r in range(repeats)])
+    t = written(t.select(*group, label, "_b", *names, rank(key).alias("_n"), orders.alias("_orders")), "permuted")
+    other = t.select("_b", F.posexplode("_orders").alias("_r", "_n"), F.struct(*names).alias("_other"))
+    pairs = t.drop("_orders").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).join(other, ["_b", "_r", "_n"])
+    copies = pairs.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))).where("_f >= 0 or _r = 0")  # -1: as it is
+    copies = copies.withColumns({f: F.when(F.col("_f") == i, F.col("_other")[f]).otherwise(F.col(f)) for i, f in enumerate(names)})
+    hits = scored(copies, model).groupBy(*group, "_f", "_r").agg(F.avg((F.col("pred") == F.col(label)).cast("double")).alias("hits"))
+    hits = written(hits, "hits")  # one row for each feature and repeat
+    base = hits.where("_f < 0").select(*[F.col(g).alias("_g") for g in group], F.col("hits").alias("base"))
+    falls = hits.where("_f >= 0").join(F.broadcast(base), F.col(by).eqNullSafe(F.col("_g")) if by else F.lit(True))
+    feature = F.get(F.array(*map(F.lit, names)), F.col("_f")).alias("feature")
+    return falls.groupBy(*group, feature).agg(F.avg(F.col("base") - F.col("hits")).alias("mean"), F.stddev_pop(F.col("base") - F.col("hits")).alias("std"))
 
 
 def importance_by_regime(df: DataFrame, model: PipelineModel, features: Sequence[str], label: str, key: str, regime: str, least: int = 5, **options) -> DataFrame:
-    """Permutation importance within each regime of ``least`` rows or more."""
-    out = None
-    for r in [x[regime] for x in df.groupBy(regime).count().where(F.col("count") >= least).orderBy(regime).collect()]:
-        one = permutation_importance(df.where(F.col(regime) == r), model, features, label, key, **options).withColumn(regime, F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Permutation importance within each regime of ``least`` rows or more, all regimes in one pass."""
+    many = df.groupBy(regime).agg(F.count("*").alias("_many")).where(F.col("_many") >= least).select(regime)
+    out = permutation_importance(df.join(F.broadcast(many), regime), model, features, label, key, by=regime, **options)  # one row for each regime
+    return out.select("feature", "mean", "std", regime)
 
 
 def save(model: PipelineModel, path: str, features: Sequence[str], **metadata) -> None:
@@ -168,6 +175,21 @@ def save(model: PipelineModel, path: str, features: Sequence[str], **metadata) -
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
+def save_threshold(spark, path: str, threshold: float) -> None:
+    """The decision threshold as a JSON text of its own."""
+    spark.createDataFrame([(json.dumps({"threshold": float(threshold)}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_threshold(spark, path: str, otherwise: float = 0.5) -> float:
+    """The threshold that ``path`` holds; ``otherwise`` where there is no such text, or none with a number from 0 to 1."""
+    try:
+        rows = spark.read.text(path, wholetext=True).take(1)
+    except AnalysisException:
+        return otherwise
+    value = rows and spark.range(1).select(F.try_variant_get(F.try_parse_json(F.lit(rows[0].value)), "$.threshold", "double")).first()[0]
+    return value if isinstance(value, float) and 0 <= value <= 1 else otherwise
+
+
 def load(spark, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
 
@@ -180,6 +202,32 @@ def searched(df: DataFrame, features: Sequence[str], label: str, depths: Sequenc
     return tvs.fit(assembled(features).transform(df))
 
 
+def calibrated_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, method: str = "sigmoid", inner: int = 3, **options) -> DataFrame:
+    """``test`` with ``p``: the mean of ``inner`` forests, each fitted on all stratified folds of ``train`` but one and calibrated on that one."""
+    folds = written(splits.stratified_kfold(train, label, key, inner), "inner")
+    out = test.withColumn("_sum", F.lit(0.0))
+    for i in range(inner):
+        model = forest(folds.where(F.col("fold") != i), features, label, **options)
+        held = scored(folds.where(F.col("fold") == i).drop("fold"), model).select(label, "p")
+        out = calibrated(held, scored(out, model), label, method=method).withColumn("_sum", F.col("_sum") + F.col("calibrated")).drop("p", "pred", "calibrated")
+    return out.withColumn("p", F.col("_sum") / inner).drop("_sum")
+
+
+def meta_f1(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, gap: int = 0, many: int = 50_000, **options) -> DataFrame:
+    """``fold, f1`` over expanding folds with ``gap`` rows between: the binary F1, at a half, of :func:`calibrated_forest` on the fold's training rows (isotonic
+    if all rows are over ``many``). 0 where nothing is positive. Its mean is the score of the meta classifier."""
+    method = "isotonic" if df.count() > many else "sigmoid"
+    folds, out = written(splits.expanding(df, k, gap), "folds"), None
+    for i in range(k):
+        one = folds.where(F.col("fold") == i)
+        got = calibrated_forest(one.where("role = 'train'").drop("fold", "role"), one.where("role = 'test'"), features, label, key, method, **options)
+        got = got.select("fold", F.col(label).alias("y"), (F.col("p") >= 0.5).cast("int").alias("pred"))
+        out = got if out is None else out.unionByName(got)
+    n = lambda a, b: F.count_if((F.col("y") == a) & (F.col("pred") == b))
+    f1 = F.try_divide(2.0 * n(1, 1), 2 * n(1, 1) + n(0, 1) + n(1, 0))
+    return out.groupBy("fold").agg(F.coalesce(f1, F.lit(0.0)).alias("f1"), F.count("*").alias("rows"))
+
+
 def meta_classifier(df: DataFrame, features: Sequence[str], label: str, k: int = 3, many: int = 50_000) -> tuple[PipelineModel, DataFrame, float]:
     """A random forest, its calibrated out-of-fold predictions over expanding folds, and the threshold of best F1."""
     folds = splits.expanding(df, k)

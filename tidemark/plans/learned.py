@@ -57,6 +57,11 @@ def meta(s: Inputs) -> DataFrame:
     return oof.select(*KEYS, "fold", "y", "p", "calibrated", F.lit(threshold).alias("threshold"))
 
 
+@query("ml4_meta_f1")
+def meta_scores(s: Inputs) -> DataFrame:
+    return models.meta_f1(training(s), NAMES, "y", "id", 2)
+
+
 @query("ml5_set1_walk_forward_cv")
 def walked(s: Inputs) -> DataFrame:
     return models.walk_forward_predictions(splits.expanding(training(s), 2, 2), NAMES, "y")[1]
