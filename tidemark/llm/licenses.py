@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,8 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
     "proprietary": ["All rights reserved."],
 }
+#: Templates of more words are licences that fill a file: they are compared with whole texts only, under idf weights of their own terms.
+PASSAGE = 600
 TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -102,10 +105,71 @@ class Templates:
         return best if best[0] >= least else None
 
     def header(self, words: list[str]) -> tuple[float, str] | None:
-        """The best over the passages as long as a template that lie about one of its anchors as it does, wherever line ends are."""
-        places = {(max(0, at - before), n) for at, w in enumerate(words) if w in self.anchors for before, n in self.anchors[w]}
-        found = [b for start, n in sorted(places) if (b := self.best(words[start : start + n]))]
-        return max(found, key=lambda b: b[0], default=None)
+        """The best over the passages as long as a template that lie about one of its anchors as it does, wherever line ends are.
+
+        One window a length slides over the text: dot products are running sums, as they are linear in the counts, and the square of the
+        norm changes by a word that enters and one that leaves. So a text costs its words times the lengths, however many anchors it holds.
+        """
+        places: dict[int, set[int]] = {}
+        for at, w in enumerate(words):
+            for before, n in self.anchors.get(w, ()):
+                places.setdefault(n, set()).add(max(0, at - before))
+        if not places:
+            return None
+        ids: dict[str, int] = {}
+        code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+        weight = np.array([self.weights.get(w, self.rare) for w in ids])
+        square = weight * weight
+        upto = lambda x: np.concatenate(([0.0], np.cumsum(x)))
+        mass = upto(square[code])
+        dots = [upto((weight * np.array([v.get(w, 0.0) for w in ids]))[code]) for _, v in self.vectors]
+        found = []
+        for n, starts in sorted(places.items()):
+            start = np.array(sorted(starts))
+            end = np.minimum(start + n, len(words))
+            best = np.max([d[end] - d[start] for d in dots], axis=0)
+            some = best >= (self.least - 1e-9) * np.sqrt(mass[end] - mass[start])  # the norm is this much at least
+            if some.any():
+                start, end, best = start[some], end[some], best[some]
+                score = best / np.sqrt(self.norms(code, square, start, end))
+                found.append((start, np.full(len(start), n), score))
+        if not found:
+            return None
+        start, length, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if (top := score.max()) < self.least - 1e-9:
+            return None
+        first = min((s, n) for s, n, x in zip(start.tolist(), length.tolist(), score.tolist(), strict=True) if x >= top - 1e-9)
+        return self.best(words[first[0] : sum(first)])
+
+    @staticmethod
+    def norms(code: np.ndarray, square: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The squares of the norms of windows in ascending order, by a window that slides."""
+        count, now, out = [0] * len(square), 0.0, []
+        codes, weights, a, b = code.tolist(), square.tolist(), int(start[0]), int(start[0])
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            if s >= b:  # nothing in common: anew, which also stops errors from adding up
+                for i in range(a, b):
+                    count[codes[i]] = 0
+                a = b = s
+                now = 0.0
+            for i in range(b, e):
+                c = codes[i]
+                now += weights[c] * (2 * count[c] + 1)
+                count[c] += 1
+            for i in range(a, s):
+                c = codes[i]
+                count[c] -= 1
+                now -= weights[c] * (2 * count[c] + 1)
+            a, b = s, e
+            out.append(now)
+        return np.array(out)
+
+
+def with_whole_texts(templates: Mapping[str, list[str]] = TEMPLATES) -> dict[str, list[str]]:
+    """``templates`` and the whole texts of long licences that lie beside this module, each under the name of its file."""
+    folder = resources.files(__package__) / "license_texts"
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    return {name: [*templates.get(name, []), *([texts[name]] if name in texts else [])] for name in [*templates, *sorted(set(texts) - set(templates))]}
 
 
 def term_counts(docs: DataFrame, templates: Mapping[str, list[str]]) -> tuple[dict[str, int], int]:
@@ -125,24 +189,28 @@ def term_counts(docs: DataFrame, templates: Mapping[str, list[str]]) -> tuple[di
     return found, found.pop("", 0)
 
 
-def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, least: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, least: float = 0.7) -> DataFrame:
     """``doc_id, path, license, score, kind, licensed_by`` for each row of ``docs`` (``doc_id``, ``path``, ``text``).
 
     A file whose whole text comes near a template (cosine of ``least`` or more) is a licence file (kind ``file``) and licenses its
     directory; one with such a passage has a header (``header``). A file with neither takes the licence of the licence
     file in its own directory or else in the nearest one above (``inherited``), of several in one directory the nearest to its template,
     then the first by ``path``; ``licensed_by`` is that file's path. Others have nulls. Null texts are empty; a file without
-    path inherits nothing. Rows that repeat are judged alike.
+    path inherits nothing. Rows that repeat are judged alike. ``templates``: by default :func:`with_whole_texts`.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Templates(templates, *term_counts(docs, templates), least))
+    templates = with_whole_texts() if templates is None else templates
+    counts = term_counts(docs, templates)
+    sized = lambda fits: {name: [x for x in texts if fits(len(tokens(x)))] for name, texts in templates.items()}
+    short, filling = sized(lambda n: n <= PASSAGE), sized(lambda n: n > PASSAGE)
+    model = docs.sparkSession.sparkContext.broadcast((Templates(short, *counts, least), Templates(filling, *counts, least)))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = model.value
+        t, long = model.value
         for x in frames:
             out = []
             for text in x.text:
                 words = tokens(text or "")
-                whole = t.best(words)
+                whole = max(filter(None, (t.best(words), long.best(words))), key=lambda b: b[0], default=None)
                 found = whole or t.header(words)
                 out.append((found[1], found[0], "file" if whole else "header") if found else (None, None, None))
             names, scores, kinds = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
