@@ -97,3 +97,37 @@ def test_snapshot_stream_over_batches(spark, tmp_path):
     assert table.version().batches == {"snapshots": 1}
     assert (got[0].onch_mempool_count, got[0].onch_mempool_vsize_vB, got[0].onch_fee_wavg_satvb, got[0].onch_fee_p50_satvb) == (6.0, 8.0, 2.5, 3.0)
     assert (got[1].onch_fee_fast_satvb, got[1].onch_fee_min_satvb, got[1].onch_mempool_count) == (2.0, 1.0, None) and len(got) == 2
+
+
+def test_a_batch_that_dies_before_or_after_publication_lands_once(spark, tmp_path):
+    schema, folder, place = "k long, ts timestamp, v double, n long", str(tmp_path / "in"), str(tmp_path / "place")
+    rows = lambda *xs: spark.createDataFrame([(k, T0 + timedelta(minutes=m), v, n) for k, m, v, n in xs], schema).coalesce(1).write.mode("append").parquet(folder)
+    table = VersionedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long, ts timestamp, v double").schema, F.col("k") % 2)
+    land, deaths = jobs.landing_once(table, ["k"], "n"), ["before", "after"]
+
+    def dying(df, number):
+        now = deaths[0] if deaths and df.where("k = 3").count() else None
+        if now == "before":
+            deaths.pop(0)
+            raise RuntimeError("before")
+        land(df, number)
+        if now == "after":
+            deaths.pop(0)
+            raise RuntimeError("after")
+
+    def play():
+        stream = jobs.deduplicated(spark.readStream.schema(schema).parquet(folder), ["k"], "1 hour")
+        with run.rocksdb(spark):
+            run.drained_batches(stream, dying, place)
+
+    rows((1, 0, 1.0, 1), (2, 1, 2.0, 2), (1, 2, 9.0, 3))
+    play()
+    rows((2, 3, 9.0, 4), (3, 4, 3.0, 5), (3, 4, 3.0, 5), (4, 600, 4.0, 6))
+    for _ in range(2):
+        with pytest.raises(Exception, match="before|after"):
+            play()
+    play()
+    rows((1, 900, 9.0, 9), (5, 901, 5.0, 10))  # the stream has forgotten 1, the table has not
+    play()
+    got = sorted((r.k, r.v) for r in table.read().collect())
+    assert not deaths and [k for k, _ in got] == [1, 2, 3, 4, 5] and got[2:] == [(3, 3.0), (4, 4.0), (5, 5.0)]

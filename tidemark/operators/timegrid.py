@@ -95,7 +95,7 @@ def outer_on_time(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("ts"
     return a.join(b, list(keys), "full_outer")
 
 
-def as_of_hour(candles: DataFrame, snapshots: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",), limit: int | None = None) -> DataFrame:
+def as_of_hour(candles: DataFrame, snapshots: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """The last known snapshot at or before each candle within the same clock hour, by one window over the union."""
     empty = candles.select(*keys, "ts", F.lit(1).alias("_side"), F.struct(*candles.columns).alias("_row"))
     some = snapshots.select(*keys, "ts", F.lit(0).alias("_side"), *columns)

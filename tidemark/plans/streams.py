@@ -95,6 +95,23 @@ def landed(s: Inputs) -> DataFrame:
     return read()
 
 
+@query("str3_landing_once", "SELECT user_id AS symbol, min(epoch_us(ts) // 1000) AS open_time, arg_min(value, ts) AS close FROM events GROUP BY user_id", "close")
+def landed_once(s: Inputs) -> DataFrame:
+    """The same into a versioned table, after a watermark's deduplication; the second run of the batch changes nothing."""
+    place = f"{run.shared_folder(s.spark)}/once-{uuid.uuid4().hex}"
+    schema = s.spark.createDataFrame([], "symbol long, open_time long, close double").schema
+    table = VersionedTable(s.spark, f"{place}/table", schema, F.col("symbol") % 8)
+    rows = jobs.deduplicated(ticks(s), ["event_id"], "1 hour").select(F.col("user_id").alias("symbol"), F.unix_millis("ts").alias("open_time"), F.col("value").alias("close"), F.unix_micros("ts").alias("arrival"))
+    land = jobs.landing_once(table, ["symbol"], "arrival")
+
+    def twice(df: DataFrame, number: int) -> None:
+        land(df, number)
+        land(df, number)
+
+    run.drained_batches(rows, twice, place)
+    return table.read()
+
+
 @query("str5_scoring_stream", """SELECT e.event_type AS symbol, e.event_id * 1000 AS target_time_ms, e.value * 2 AS p_hat, CASE WHEN e.event_id % 3 = 0 THEN e.value END AS y_true_hat, CASE WHEN e.event_id % 3 = 0 THEN abs(e.value * 2 - e.value) END AS abs_error FROM events e""", "p_hat y_true_hat abs_error")
 def scored(s: Inputs) -> DataFrame:
     place = f"{run.shared_folder(s.spark)}/scores-{uuid.uuid4().hex}"

@@ -66,6 +66,23 @@ def landing(read_target: Callable[[], DataFrame], write: Callable[[DataFrame], N
     return batch
 
 
+def deduplicated(rows: DataFrame, keys: list[str], late: str, at: str = "ts") -> DataFrame:
+    """The first row of each key; one that repeats it within ``late`` is dropped in the stream, whose state forgets keys behind the watermark. What
+    comes later than that is the landing's to ignore."""
+    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def landing_once(table: VersionedTable, keys: list[str], arrival: str, writer: str = "landing") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: :func:`landing` into a versioned table. Rows and the batch's number are published together, so a batch that died between
+    its write and the stream's commit is known when it comes again, and one that died before has left nothing."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        rows = written(df, "arrived")
+        table.change(rows, lambda old, new: old.unionByName(insert_or_ignore(old, new, keys, arrival)), writer, number)
+
+    return batch
+
+
 def scoring(score: Callable[[DataFrame], DataFrame], prices: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: scores a batch and fills the actuals that are known already."""
 
