@@ -48,12 +48,13 @@ def by_value(counts: DataFrame) -> DataFrame:
 
 
 def reference_cuts(counts: DataFrame, bins: int) -> DataFrame:
-    """``feature, cuts``: the exact quantiles of the reference, between ranks by the straight line."""
+    """``feature, cuts``: the exact quantiles of the reference, between ranks by the straight line; between equal values exactly these, so that a value
+    never falls below a cut made of it."""
     at = {i: (F.col("na") - 1) * F.lit(i / bins) for i in range(1, bins)}
     low = {i: F.min(F.when(F.col("a_upto") > F.floor(x), F.col("value"))) for i, x in at.items()}
     high = {i: F.min(F.when(F.col("a_upto") > F.ceil(x), F.col("value"))) for i, x in at.items()}
     t = counts.where("a > 0").groupBy("feature", "na").agg(*[c.alias(f"l{i}") for i, c in low.items()], *[c.alias(f"h{i}") for i, c in high.items()])
-    between = lambda i, x: F.when(F.ceil(x) == F.floor(x), F.col(f"l{i}")).otherwise((F.ceil(x) - x) * F.col(f"l{i}") + (x - F.floor(x)) * F.col(f"h{i}"))
+    between = lambda i, x: F.when(F.ceil(x) == F.floor(x), F.col(f"l{i}")).otherwise(F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (x - F.floor(x)))
     return t.select("feature", F.array_distinct(F.array(*[between(i, x) for i, x in at.items()])).alias("cuts"))
 
 
