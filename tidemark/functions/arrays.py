@@ -26,14 +26,16 @@ def weighted_mean(hist: Column) -> Column:
 
 def weighted_percentile(hist: Column, q: float) -> Column:
     """The first rate, from the least, whose cumulative size reaches ``q`` of all; null if there is no weight."""
-    total = summed(hist, lambda x: x["size"])
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("rate"))
 
-    def step(acc, x):
-        s = acc["sum"] + x["size"]
-        return F.struct(s.alias("sum"), F.coalesce(acc["rate"], F.when(s >= total * q, x["rate"])).alias("rate"))
+    def reached(total: Column) -> Column:
+        def step(acc, x):
+            s = acc["sum"] + x["size"]
+            return F.struct(s.alias("sum"), F.coalesce(acc["rate"], F.when(s >= total * q, x["rate"])).alias("rate"))
+
+        return F.when(total > 0, F.aggregate(F.array_sort(hist), start, step, lambda acc: acc["rate"]))
 
-    return F.when(total > 0, F.aggregate(F.array_sort(hist), start, step, lambda acc: acc["rate"]))
+    return let(summed(hist, lambda x: x["size"]), reached)
 
 
 def zipped_histogram(bins: Column, counts: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.arrays import let
 from ..functions.scalars import safe_double
 from ..operators.timegrid import floor_to, keep_last
 from ..operators.windows import chained_change
@@ -58,8 +59,8 @@ def chart_series(payloads: DataFrame, value_names: Sequence[str] = VALUES, start
 def histogram(v: Column) -> Column:
     """Fee histogram of a variant: ``{bins, counts}``, or a list of pairs or of objects whose size is positive."""
     zipped = arrays.zipped_histogram(F.try_variant_get(v, "$.bins", "array<double>"), F.try_variant_get(v, "$.counts", "array<double>"))
-    rate = lambda x: safe_double(F.coalesce(first_of(x, ("feerate", "fee", "rate")), text_at(x, "$[0]")))
-    size = lambda x: safe_double(F.coalesce(first_of(x, ("vsize", "size", "weight", "count")), text_at(x, "$[1]")))
+    rate = lambda x: let(F.coalesce(first_of(x, ("feerate", "fee", "rate")), text_at(x, "$[0]")), safe_double)
+    size = lambda x: let(F.coalesce(first_of(x, ("vsize", "size", "weight", "count")), text_at(x, "$[1]")), safe_double)
     pairs = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(rate(x).alias("rate"), size(x).alias("size")))
     return F.coalesce(zipped, arrays.positive(pairs))
 
@@ -67,12 +68,13 @@ def histogram(v: Column) -> Column:
 def fee_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), zero_as_missing: bool = True, arrival: str | None = None) -> DataFrame:
     """``ts, wavg, p50, p90, vsize`` from objects or five-tuples; what is missing (or zero) comes from the point's histogram."""
     v = F.col("p")
-    hist = histogram(F.coalesce(F.try_variant_get(v, "$.histogram", "variant"), F.try_variant_get(v, "$.fee_histogram", "variant")))
+    whole = F.coalesce(F.try_variant_get(v, "$.histogram", "variant"), F.try_variant_get(v, "$.fee_histogram", "variant"))
+    hist = F.col("_hist")
     stat = {"wavg": arrays.weighted_mean(hist), "p50": arrays.weighted_percentile(hist, 0.5), "p90": arrays.weighted_percentile(hist, 0.9), "vsize": arrays.summed(hist, lambda x: x["size"])}
     names = {"wavg": ("wavg", "avg", "avgFee"), "p50": ("p50", "median"), "p90": ("p90",), "vsize": ("vsize", "mempool_vsize")}
     got = {n: safe_double(F.coalesce(first_of(v, names[n]), text_at(v, f"$[{i}]"))) for i, n in enumerate(names, 1)}
     own = {n: F.nullif(c, F.lit(0.0)) if zero_as_missing else c for n, c in got.items()}
-    p = points(payloads, keys, arrival)
+    p = points(payloads, keys, arrival).withColumn("_hist", let(whole, histogram))  # a column of its own: it has many uses
     t = p.select(*keys, "_at", when_of(v).alias("ts"), *[F.coalesce(own[n], stat[n]).alias(n) for n in names])
     return keep_last(t, [*keys, "ts"], "_at").drop("_at")
 
@@ -91,10 +93,12 @@ def difficulty_series(payloads: DataFrame, keys: Sequence[str] = ("symbol",), ar
 def snapshot(payloads: DataFrame, seconds: int = 900, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Mempool snapshots (``fetched_at``, ``payload``) stamped to the grid: counts, histogram statistics and recommended fees, where the
     economy fee stands in for a missing minimum."""
-    v = F.try_parse_json("payload")
-    num = lambda *names: safe_double(F.coalesce(*[text_at(v, f"$.{n}") for n in names]))
-    hist = histogram(F.try_variant_get(v, "$.fee_histogram", "variant"))
-    return payloads.select(
+    num = lambda *names: safe_double(F.coalesce(*[text_at(F.col("_v"), f"$.{n}") for n in names]))
+    hist = F.col("_hist")
+    # columns of their own: inside expressions each of their many uses, some for each element, would parse the text again
+    parsed = payloads.select(*keys, "fetched_at", F.try_parse_json("payload").alias("_v"))
+    parsed = parsed.withColumn("_hist", let(F.try_variant_get("_v", "$.fee_histogram", "variant"), histogram))
+    return parsed.select(
         *keys, floor_to(F.col("fetched_at"), seconds).alias("ts"), num("count").alias("onch_mempool_count"), num("vsize").alias("onch_mempool_vsize_vB"), num("total_fee").alias("onch_mempool_total_fee_sat"),
         num("fastestFee").alias("onch_fee_fast_satvb"), num("halfHourFee").alias("onch_fee_30m_satvb"), num("hourFee").alias("onch_fee_60m_satvb"), num("minimumFee", "economyFee").alias("onch_fee_min_satvb"),
         arrays.weighted_mean(hist).alias("onch_fee_wavg_satvb"), arrays.weighted_percentile(hist, 0.5).alias("onch_fee_p50_satvb"), arrays.weighted_percentile(hist, 0.9).alias("onch_fee_p90_satvb"),
