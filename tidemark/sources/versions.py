@@ -81,9 +81,10 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(*places) if places else self.spark.createDataFrame([], self.schema)
 
     def _written(self, df: DataFrame) -> dict[str, str]:
-        """``df`` as new files; their folders by partition. Rows of a partition may come from many tasks."""
+        """``df`` as new files; their folders by partition. Rows are dealt by partition first, else each task writes a file to each of them; adaptive
+        execution deals a large partition over many tasks."""
         place = f"data/{uuid.uuid4().hex}"
-        df.select(*self.schema.names, self.part.alias(PART)).write.partitionBy(PART).parquet(f"{self.folder}/{place}")
+        df.select(*self.schema.names, self.part.alias(PART)).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.folder}/{place}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(place)) if s.isDirectory()]
         return {unquote(n[len(PART) + 1 :]): f"{place}/{n}" for n in names if n.startswith(f"{PART}=")}
 
