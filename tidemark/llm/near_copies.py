@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch
@@ -47,8 +47,8 @@ def digest(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 7) - (1 << 63)
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, version, f, size, bands, lows, grams`` for each row: the hash of its text, the digest of its set of shingles, their number, the band
+def _sketches(docs: DataFrame, words: int, fingerprint: Callable[[str | None, int], int] | None = None) -> DataFrame:
+    """``doc_id, version, f, print, size, bands, lows, grams`` for each row (``print``: its ``fingerprint``): the hash of its text, the digest of its set of shingles, their number, the band
     keys, eight bits of each minimum and the set itself."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,11 +56,11 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
         for x in frames:
             g = [shingles(t, hashes, words) for t in x.text]
             keys = [bands(s) for s in g]
-            out = {"f": np.array([digest(s) for s in g], np.int64), "size": np.array([len(s) for s in g], np.int64), "bands": [k for k, _ in keys], "lows": [b for _, b in keys], "grams": [s.view(np.int64) for s in g]}
+            out = {"f": np.array([digest(s) for s in g], np.int64), "print": np.array([fingerprint(t, words) if fingerprint else 0 for t in x.text], np.int64), "size": np.array([len(s) for s in g], np.int64), "bands": [k for k, _ in keys], "lows": [b for _, b in keys], "grams": [s.view(np.int64) for s in g]}
             yield pd.DataFrame({"doc_id": x.doc_id.to_numpy(object), "version": x.version.to_numpy()} | out)
 
     keyed = id_text(docs, F.xxhash64("text").alias("version"), "text")
-    return id_back(keyed.mapInPandas(batches, "doc_id string, version long, f long, size long, bands array<long>, lows array<tinyint>, grams array<long>"))
+    return id_back(keyed.mapInPandas(batches, "doc_id string, version long, f long, print long, size long, bands array<long>, lows array<tinyint>, grams array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -110,56 +110,70 @@ def _rarest(last: DataFrame, rows: DataFrame, similarity: float, room: int) -> D
     return near.unionByName(far.drop("gram")).distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, room: int = 48, depth: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, room: int = 48, depth: int = 4, fingerprint: Callable[[str | None, int], int] | None = None, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``doc_id, version, component_id, first`` for each row of ``docs``: documents whose sets of shingles of ``words`` words have a Jaccard
     similarity of ``similarity`` or more are linked, and a component's id is its smallest ``doc_id`` (null only where no member has
     one). ``version`` is the text's hash; ``first`` marks the rows that are the component's first by ``doc_id`` and version. Wordless texts
     are equal.
 
-    Sets that share a band key are candidates, where their sizes allow the similarity. Equal sets meet once. In a band of up to ``room`` sets all
-    pairs are verified; in a fuller one all sets are verified against one of them, so variants of one text never make all their pairs.
-    The sets of shingles are written once, and removed when the groups are known.
-    A band that then still holds several components is cut by the other bands that its sets share (``depth`` times, each time with one
-    set against all others). Sets that are left then, of different components, meet by their rarest shingles (:func:`_rarest`).
+    With a ``fingerprint``, sets of equal ones, and those that ``linked`` (``a, b`` of a table of ``f``) gives, are verified first. Then sets that
+    share a band key are candidates, where their sizes allow the similarity. Equal sets meet once. In each band all sets are verified against one
+    of them, which leaves the band; so variants of one text never make all their pairs. This is done ``depth`` times, with the bands that still
+    hold several components. Of what is left then all pairs of a band of up to ``room`` sets are verified, and the sets of a fuller one meet
+    by their rarest shingles (:func:`_rarest`), where they are of different components. The sets of shingles are written once, and removed when
+    the groups are known.
     """
     with scratch(docs.sparkSession) as scope:
-        rows = written(_sketches(docs, words), "sketches")
+        rows = written(_sketches(docs, words, fingerprint), "sketches")
         at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "version")
-        sets = written(rows.groupBy("f").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("lows").alias("lows")), "sets")
-        known = rooted(sets.select("f", "first", "n"), _roots(sets, rows, similarity, room, depth), F.min("first").alias("component"))
+        sets = written(rows.groupBy("f").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min("print").alias("print"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("lows").alias("lows")), "sets")
+        links = _fingerprinted(sets, rows, similarity, linked) if fingerprint and linked else None
+        known = rooted(sets.select("f", "first", "n"), _roots(sets, rows, similarity, room, depth, links), F.min("first").alias("component"))
         out = attach(rows.select("doc_id", "version", "f"), known.select("f", "n", "component"), "f", "n")
         first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("version") == F.col("component.version"))
         return scope.keep(out.select("doc_id", "version", F.col("component.doc_id").alias("component_id"), first.alias("first")), "near_groups")
 
 
-def _roots(sets: DataFrame, rows: DataFrame, similarity: float, room: int, depth: int) -> DataFrame:
-    """``node, root`` of the sets that are linked."""
-    fits = (F.col("f") != F.col("g")) & (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
-    bands = F.posexplode("bands").alias("at", "cell")
-    cells, links = sets.select("f", "size", F.col("f").alias("root"), bands), None
+def _fits(similarity: float) -> Column:
+    return (F.col("f") != F.col("g")) & (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
+
+
+def _fingerprinted(sets: DataFrame, rows: DataFrame, similarity: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``a, b`` of sets: each with the first of its fingerprint, and the first ones of linked fingerprints, where they are similar."""
+    one = F.min_by(F.struct("f", "size"), "f").alias("one")
+    prints = written(sets.groupBy("print").agg(one, F.count("*").alias("n")), "prints")
+    own = attach(sets.select("f", "size", "print"), prints, "print", "n").select("f", "size", F.col("one.f").alias("g"), F.col("one.size").alias("size_b"))
+    first = prints.select("print", "one")
+    near = linked(prints.select(F.col("print").alias("f"))).join(first.select(F.col("print").alias("a"), F.col("one").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("one").alias("y")), "b")
+    near = near.select(F.col("x.f").alias("f"), F.col("x.size").alias("size"), F.col("y.f").alias("g"), F.col("y.size").alias("size_b"))
+    return _verified(own.unionByName(near).where(_fits(similarity)).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")), sets, rows, similarity)
+
+
+def _roots(sets: DataFrame, rows: DataFrame, similarity: float, room: int, depth: int, links: DataFrame | None = None) -> DataFrame:
+    """``node, root`` of the sets that are linked; ``links``: those that are known."""
+    cells, roots = sets.select("f", "size", F.explode("bands").alias("cell")), components(links) if links is not None else None
+    mixed = F.min("root") < F.max("root")  # without links each set is its own
     for level in range(depth + 1):
-        mixed = F.min("root") < F.max("root")  # at first each set is its own
-        pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)))
+        if roots is not None:
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components, one link to a node
         several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")  # of most cells no more than this is shuffled
-        cells = written(cells.join(several, "cell", "left_semi"), "shared")
+        cells = cells.join(several, "cell", "left_semi")
+        cells = cells.withColumn("root", F.col("f")) if roots is None else cells.join(roots, F.col("f") == F.col("node"), "left").select("cell", "f", "size", F.coalesce("root", "f").alias("root"))
+        cells = written(cells, "shared")
+        pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)))
         sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), mixed.alias("mixed"), pivot.alias("pivot")).where("mixed").drop("mixed")
         cells = written(met(cells, sizes, "cell"), "cells")
-        small = cells.where(F.col("n") <= room).groupBy("cell").agg(F.collect_list(F.struct("f", "size", "root")).alias("fs"))
-        small = small.select("fs", F.explode("fs").alias("x")).select("x.*", F.explode(F.filter("fs", lambda y: (y.f > F.col("x.f")) & (y.root != F.col("x.root")))).alias("y"))
-        last = cells.where(F.col("n") > room)
-        if level == depth and not last.isEmpty():  # what shares so many bands and is not similar
-            star = _rarest(last, rows, similarity, room)
+        if level < depth:
+            pairs = cells.where("root <> pivot.root").select("f", "size", F.col("pivot").alias("y"))
         else:
-            star = last.select("f", "size", "root", F.col("pivot").alias("y")).where("root <> y.root")
-        pairs = small.select("f", "size", "y").unionByName(star.select("f", "size", "y")).select("f", "size", F.col("y.f").alias("g"), F.col("y.size").alias("size_b"))
-        found = _verified(pairs.where(fits).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")), sets, rows, similarity)
+            small = cells.where(F.col("n") <= room).groupBy("cell").agg(F.collect_list(F.struct("f", "size", "root")).alias("fs"))
+            small = small.select("fs", F.explode("fs").alias("x")).select("x.*", F.explode(F.filter("fs", lambda y: (y.f > F.col("x.f")) & (y.root != F.col("x.root")))).alias("y"))
+            pairs, last = small.select("f", "size", "y"), cells.where(F.col("n") > room)
+            if not last.isEmpty():  # what shares bands and is not similar
+                pairs = pairs.unionByName(_rarest(last, rows, similarity, room).select("f", "size", "y"))
+        pairs = pairs.select("f", "size", F.col("y.f").alias("g"), F.col("y.size").alias("size_b")).where(_fits(similarity))
+        found = _verified(pairs.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")), sets, rows, similarity)
         roots = components(found if links is None else links.unionByName(found))
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components, one link to a node
-        if level == depth or last.isEmpty():
-            return roots
-        now = last.select("cell", "at", "f", "size").join(roots, F.col("f") == F.col("node"), "left").select("cell", "at", "f", "size", F.coalesce("root", "f").alias("root"))
-        open_ = now.groupBy("cell").agg(mixed.alias("mixed")).where("mixed").select("cell")
-        cells = now.join(open_, "cell", "left_semi").join(sets.select("f", "bands"), "f").select("f", "size", "root", F.col("at").alias("from"), F.col("cell").alias("above"), bands)
-        cells = written(cells.where(F.col("at") > F.col("from")).select("f", "size", "root", "at", F.xxhash64("above", "cell").alias("cell")), "parts")
-        if cells.isEmpty():
+        if level == depth or cells.isEmpty():
             return roots
+        cells = cells.where("f <> pivot.f").select("cell", "f", "size")
