@@ -25,3 +25,26 @@ def test_fingerprints_and_rounds_give_the_groups_of_similarity(spark):
     linked = lambda prints: (asked.append(prints.count()), simhash.links(prints))[1]
     got = near_copies.near_groups(df, room=3, depth=1, fingerprint=simhash.fingerprint, linked=linked)
     assert {x.doc_id: x.component_id for x in got.collect()} == group and asked[0] > 1
+
+
+def test_far_variants_do_not_meet_their_crowd(spark):
+    """400 variants of one text: 250 of them similar to it, 150 so far that they are similar to none, and one pair of these to each other. Only that
+    pair meets, although all share the text's shingles; sizes differ a little."""
+    r = random.Random(9)
+    base, sets = list(range(400)), {}
+    for i in range(400):
+        gone = r.sample(base, r.randrange(8, 20) if i < 250 else r.randrange(50, 110))
+        new = [1_000 * (i + 1) + j for j in range(len(gone) - r.randrange(4))]
+        sets[i] = sorted(set(base) - set(gone)) + new
+    sets[400] = sets[399][:-2] + [999_998, 999_999]
+    rows = spark.createDataFrame(list(sets.items()), "f long, grams array<long>")
+    last = spark.createDataFrame([(1, f, len(g), 0 if f < 250 else f) for f, g in sets.items()], "cell long, f long, size long, root long")
+    for room in (3, 48):
+        met = {tuple(sorted((x.f, x.y.f))) for x in near_copies._rarest(last, rows, 0.8, room).collect()}
+        assert (399, 400) in met and len(met) < 100
+        assert met >= {(b, a) for a in range(250, 401) for b in range(a) if _similar(sets[a], sets[b])}
+
+
+def _similar(a, b):
+    a, b = set(a), set(b)
+    return 5 * len(a & b) >= 4 * len(a | b)

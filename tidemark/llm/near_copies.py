@@ -87,27 +87,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: fl
 
 
 def _rarest(last: DataFrame, rows: DataFrame, similarity: float, room: int) -> DataFrame:
-    """``f, size, root, y``: the sets of full cells with those (``y``: ``f, size, root``) of other components that may be similar.
-
-    Of two sets of that similarity, the rarest of each, one more than the share that may differ, have a shingle in common, if all are
-    ordered alike. Shingles are counted over these sets; so texts that share what is common, and are not similar, meet only if they also
-    share something rare. Nothing is lost.
+    """``f, size, y``: the sets of full cells with those (``y``: ``f, size, root``) of other components that may be similar.
+
+    Shingles are ordered alike in all sets: first those of one component only, which no link between components needs, then the rarest, counted
+    over these sets. Two sets of that similarity, of ``a`` and ``b`` shingles, have a share ``s / (1 + s)`` of ``a + b`` in common; so the first one in common stands
+    no later in either than what that leaves. How much this is depends on the other's size: a set is entered under a shingle once
+    for each class of sizes, two in the hundred wide, that occurs with it and lets it stand there. Where one component alone is entered, nothing
+    meets; else each set that is not of the most frequent component meets the others. So variants of one text that are not similar to it
+    do not meet those that are, and the latter never meet each other. Up to ``room`` entries meet in place, more by a join that can be split.
+    Nothing is lost.
     """
-    sets = written(last.select("f", "size", "root").distinct(), "left")
-    grams = rows.select("f", "grams").join(sets, "f", "left_semi").dropDuplicates(["f"]).select("f", F.explode("grams").alias("gram"))
+    share, eps = similarity / (1 + similarity), 1e-6
+    sets = written(last.select("f", "size", "root").distinct().withColumn("class", F.floor(F.log("size") / np.log(1.02))), "left")
+    grams = rows.select("f", "grams").join(sets, "f").dropDuplicates(["f"]).select(*sets.columns, F.explode("grams").alias("gram"))
     grams = written(grams, "grams")
-    counts = written(grams.groupBy("gram").agg(F.count("*").alias("n")), "counts")
-    kept = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    order = F.row_number().over(Window.partitionBy("f").orderBy("n", "gram"))
-    first = met(grams, counts, "gram").withColumn("at", order).join(sets, "f").where(F.col("at") <= kept).select("gram", "f", "size", "root")
-    first = written(first, "rarest")
-    mixed = written(first.groupBy("gram").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("gram", "n"), "mixed")
-    shared = written(first.join(mixed, "gram"), "shared")
-    small = shared.where(F.col("n") <= room).groupBy("gram").agg(F.collect_list(F.struct("f", "size", "root")).alias("ys")).select(F.explode("ys").alias("x"), "ys")
-    near = small.select("x.*", F.explode(F.filter("ys", lambda y: (y.f > F.col("x.f")) & (y.root != F.col("x.root")))).alias("y"))
-    more = shared.where(F.col("n") > room)  # what shares a shingle so common and still cannot be told apart by rarer ones
-    far = more.select("gram", "f", "size", "root").join(more.select("gram", F.struct("f", "size", "root").alias("y")), "gram").where("f < y.f and root <> y.root")
-    return near.unionByName(far.drop("gram")).distinct()
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("gram", "n")
+    own = Window.partitionBy("f")
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "gram"))
+    first = met(grams, counts, "gram").withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - eps) + 1)
+    first = written(first.select("gram", "f", "size", "root", "class", "at"), "rarest")
+    others = first.groupBy("gram", "class").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    others = others.groupBy("gram").agg(F.collect_list(F.struct("class", "least", "most", "low", "high")).alias("others"), (F.min("low") < F.max("high")).alias("mixed")).where("mixed").drop("mixed")
+    common = lambda a, b: F.ceil((a + b) * share - eps)
+    fit = lambda o: (o.least * similarity <= F.col("size") + eps) & (o.most + eps >= F.col("size") * similarity) & ((o.low != F.col("root")) | (o.high != F.col("root")))
+    stands = lambda o: F.col("at") <= F.col("size") - common(F.col("size"), F.greatest(o.least, F.col("size") * similarity)) + 1
+    other = F.explode(F.transform(F.filter("others", lambda o: fit(o) & stands(o)), lambda o: o["class"])).alias("other")
+    entered = met(first, others, "gram").select("gram", "f", "size", "root", "class", "at", other)
+    entered = written(entered.withColumn("place", F.xxhash64("gram", F.least("class", "other"), F.greatest("class", "other"))), "entered")
+    mains = entered.groupBy("place", "root").agg(F.count("*").alias("n"))
+    mains = mains.groupBy("place").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    entered = written(met(entered, mains, "place"), "places").withColumn("x", F.struct("f", "size", "root", "class", "other", "at"))
+
+    def near(x: Column, y: Column) -> Column:
+        t = common(x.size, y.size)
+        return (x.root != y.root) & (x["class"] == y.other) & (x.other == y["class"]) & (x["at"] <= x.size - t + 1) & (y["at"] <= y.size - t + 1)
+
+    small = entered.where(F.col("n") <= room).groupBy("place").agg(F.first("main").alias("main"), F.collect_list("x").alias("ys"))
+    small = small.select("ys", F.explode(F.filter("ys", lambda y: y.root != F.col("main"))).alias("x"))
+    small = small.select("x", F.explode(F.filter("ys", lambda y: near(F.col("x"), y))).alias("y"))
+    more = entered.where(F.col("n") > room)
+    far = more.where("x.root <> main").select("place", "x").join(more.select("place", F.col("x").alias("y")), "place").where(near(F.col("x"), F.col("y")))
+    return small.unionByName(far.select("x", "y")).select("x.f", "x.size", F.struct("y.f", "y.size", "y.root").alias("y")).distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, room: int = 48, depth: int = 4, fingerprint: Callable[[str | None, int], int] | None = None, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -118,10 +138,10 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, room:
 
     With a ``fingerprint``, sets of equal ones, and those that ``linked`` (``a, b`` of a table of ``f``) gives, are verified first. Then sets that
     share a band key are candidates, where their sizes allow the similarity. Equal sets meet once. In each band all sets are verified against one
-    of them, which leaves the band; so variants of one text never make all their pairs. This is done ``depth`` times, with the bands that still
-    hold several components. Of what is left then all pairs of a band of up to ``room`` sets are verified, and the sets of a fuller one meet
-    by their rarest shingles (:func:`_rarest`), where they are of different components. The sets of shingles are written once, and removed when
-    the groups are known.
+    of them, which leaves the band; so variants of one text never make all their pairs. The first is the set that shares bands with the most others,
+    as the middle of many variants does. This is done ``depth`` times, with the bands that still hold several components. Of what is left
+    then all pairs of a band of up to ``room`` sets are verified, and the sets of a fuller one meet by their rarest shingles (:func:`_rarest`),
+    where they are of different components. The sets of shingles are written once, and removed when the groups are known.
     """
     with scratch(docs.sparkSession) as scope:
         rows = written(_sketches(docs, words, fingerprint), "sketches")
@@ -152,15 +172,17 @@ def _fingerprinted(sets: DataFrame, rows: DataFrame, similarity: float, linked:
 def _roots(sets: DataFrame, rows: DataFrame, similarity: float, room: int, depth: int, links: DataFrame | None = None) -> DataFrame:
     """``node, root`` of the sets that are linked; ``links``: those that are known."""
     cells, roots = sets.select("f", "size", F.explode("bands").alias("cell")), components(links) if links is not None else None
+    cells = written(cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell"), "banded")
+    cells = cells.drop("n").join(cells.groupBy("f").agg(F.sum("n").alias("weight")), "f")
     mixed = F.min("root") < F.max("root")  # without links each set is its own
     for level in range(depth + 1):
         if roots is not None:
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components, one link to a node
-        several = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")  # of most cells no more than this is shuffled
-        cells = cells.join(several, "cell", "left_semi")
-        cells = cells.withColumn("root", F.col("f")) if roots is None else cells.join(roots, F.col("f") == F.col("node"), "left").select("cell", "f", "size", F.coalesce("root", "f").alias("root"))
+        if level:
+            cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi")
+        cells = cells.withColumn("root", F.col("f")) if roots is None else cells.join(roots, F.col("f") == F.col("node"), "left").select("cell", "f", "size", "weight", F.coalesce("root", "f").alias("root"))
         cells = written(cells, "shared")
-        pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)))
+        pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)) if level else F.struct(-F.col("weight"), "f"))
         sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), mixed.alias("mixed"), pivot.alias("pivot")).where("mixed").drop("mixed")
         cells = written(met(cells, sizes, "cell"), "cells")
         if level < depth:
@@ -176,4 +198,4 @@ def _roots(sets: DataFrame, rows: DataFrame, similarity: float, room: int, depth
         roots = components(found if links is None else links.unionByName(found))
         if level == depth or cells.isEmpty():
             return roots
-        cells = cells.where("f <> pivot.f").select("cell", "f", "size")
+        cells = cells.where("f <> pivot.f").select("cell", "f", "size", "weight")
