@@ -595,3 +595,16 @@ def test_substring_dedup_of_many_equal_rows(spark, ids):
     first, last = (9, ids) if ids is None else (ids, 9)
     assert len(got) == 3 and seen[first][1] == 0 and seen[last][1] == words
     assert seen[ids][::2] == (words, 20_000) and seen[1 << 40][1] == len(sentences(11, 60).split()) and took < 60
+
+
+def test_substring_dedup_of_batches_without_a_new_row(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, text = spark.conf.get(name), sentences(11, 40)
+    spark.conf.set(name, "10")
+    try:
+        rows = [(7, text)] * 100 + [(9, text)]
+        got = substring_dedup.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    finally:
+        spark.conf.set(name, before)
+    words = len(text.split())
+    assert sorted(tuple(r) for r in got) == [(7, words, 0, 100), (9, words, words, 1)]

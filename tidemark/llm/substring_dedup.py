@@ -98,7 +98,8 @@ def earlier_windows(docs: DataFrame, window: int = 20, gram: int = 8, most_bits:
         hashes, once = WordHashes(), Once()
         for x in frames:
             texts = x.text[once.new(x.key, x.version)]
-            yield pd.DataFrame({"grams": [grams[np.unique(at)].view(np.int64) for _, at, grams in (anchored(t, hashes, window, gram) for t in texts)]})
+            found = [grams[np.unique(at)].view(np.int64) for _, at, grams in (anchored(t, hashes, window, gram) for t in texts)]
+            yield pd.DataFrame({"grams": pd.Series(found, dtype=object)})  # of a batch without any new row, pandas would make floats
 
     spark = docs.sparkSession
     keyed = docs.select(_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("version"), "text")
