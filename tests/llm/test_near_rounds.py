@@ -2,7 +2,8 @@
 
 import random
 
-from tidemark.llm import near_copies, simhash
+from tidemark.llm import components, near_copies, simhash
+from tidemark.sources import shared
 
 
 def test_fingerprints_and_rounds_give_the_groups_of_similarity(spark):
@@ -48,3 +49,25 @@ def test_far_variants_do_not_meet_their_crowd(spark):
 def _similar(a, b):
     a, b = set(a), set(b)
     return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_few_links_are_followed_at_once_and_tables_go_early(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(-60, 60) * 10**16, r.randrange(-60, 60) * 10**16) for _ in range(90)] + [(7, 7), (1, 2), (2, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few, many = ({x.node: x.root for x in near_copies._linked(df, n).collect()} for n in (100, 10))
+    assert few == many and few[2] == 1 and 7 not in few and near_copies._linked(df.where("false")).count() == 0
+    write, held = shared.written, []
+
+    def counted(df, name="part"):
+        out = write(df, name)
+        held.append(sum(map(len, shared._scopes.open)))
+        return out
+
+    for module in (near_copies, simhash, components, shared):
+        monkeypatch.setattr(module, "written", counted)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, texts[i % 12] + f" x{i // 12}") for i in range(36)], "doc_id long, text string")
+    got = near_copies.near_groups(docs, room=3, fingerprint=simhash.fingerprint, linked=simhash.links).collect()
+    assert all(x.component_id == x.doc_id % 12 for x in got) and max(held) <= 24, max(held)

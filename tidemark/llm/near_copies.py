@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: fl
     thousand million of these is lost. Then only the sets of the others are shuffled: a filter of 2^19 numbers at most, whatever the
     input, spares most sets that.
     """
+    with scratch(sets.sparkSession) as scope:
+        return scope.keep(_similar(pairs, sets, rows, similarity), "near")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     n = BANDS * MINIMA
     lows = sets.select("f", "lows")
     both = pairs.distinct().join(lows.select(F.col("f").alias("a"), F.col("lows").alias("x")), "a").join(lows.select(F.col("f").alias("b"), F.col("lows").alias("y")), "b")
@@ -83,7 +89,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: fl
     right = grams.select(F.col("f").alias("b"), F.col("grams").alias("other"), "n")
     sides = attach(pairs, right, "b", "n").join(grams.select(F.col("f").alias("a"), "grams"), "a")
     both = F.size(F.array_intersect("grams", "other"))
-    return written(sides.where(both / (F.size("grams") + F.size("other") - both) >= similarity).select("a", "b"), "near")
+    return sides.where(both / (F.size("grams") + F.size("other") - both) >= similarity).select("a", "b")
+
+
+def _linked(edges: DataFrame, few: int = 1 << 18) -> DataFrame:
+    """The components of ``edges``, as a table. Up to ``few`` links are followed in the driver, which takes some megabytes, whatever the input: rounds
+    over all partitions would write far more than that."""
+    spark = edges.sparkSession
+    with scratch(spark) as scope:
+        links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if links.count() > few:
+            return scope.keep(components(links), "roots")
+        table = links.toArrow()
+        a, b = table["a"].to_numpy(), table["b"].to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        roots = spark.createDataFrame(pa.table({"node": nodes, "root": nodes[_least(len(nodes), *np.split(at, 2))]}), "node long, root long")
+        return scope.keep(roots, "roots")
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` nodes that each can reach by the links ``a, b``."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
 
 
 def _rarest(last: DataFrame, rows: DataFrame, similarity: float, room: int) -> DataFrame:
@@ -97,6 +129,11 @@ def _rarest(last: DataFrame, rows: DataFrame, similarity: float, room: int) -> D
     do not meet those that are, and the latter never meet each other. Up to ``room`` entries meet in place, more by a join that can be split.
     Nothing is lost.
     """
+    with scratch(last.sparkSession) as scope:
+        return scope.keep(_entered(last, rows, similarity, room), "far")
+
+
+def _entered(last: DataFrame, rows: DataFrame, similarity: float, room: int) -> DataFrame:
     share, eps = similarity / (1 + similarity), 1e-6
     sets = written(last.select("f", "size", "root").distinct().withColumn("class", F.floor(F.log("size") / np.log(1.02))), "left")
     grams = rows.select("f", "grams").join(sets, "f").dropDuplicates(["f"]).select(*sets.columns, F.explode("grams").alias("gram"))
@@ -160,6 +197,11 @@ def _fits(similarity: float) -> Column:
 
 def _fingerprinted(sets: DataFrame, rows: DataFrame, similarity: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links ``a, b`` of sets: each with the first of its fingerprint, and the first ones of linked fingerprints, where they are similar."""
+    with scratch(sets.sparkSession) as scope:
+        return scope.keep(_prints_met(sets, rows, similarity, linked), "links")
+
+
+def _prints_met(sets: DataFrame, rows: DataFrame, similarity: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     one = F.min_by(F.struct("f", "size"), "f").alias("one")
     prints = written(sets.groupBy("print").agg(one, F.count("*").alias("n")), "prints")
     own = attach(sets.select("f", "size", "print"), prints, "print", "n").select("f", "size", F.col("one.f").alias("g"), F.col("one.size").alias("size_b"))
@@ -171,31 +213,34 @@ def _fingerprinted(sets: DataFrame, rows: DataFrame, similarity: float, linked:
 
 def _roots(sets: DataFrame, rows: DataFrame, similarity: float, room: int, depth: int, links: DataFrame | None = None) -> DataFrame:
     """``node, root`` of the sets that are linked; ``links``: those that are known."""
-    cells, roots = sets.select("f", "size", F.explode("bands").alias("cell")), components(links) if links is not None else None
-    cells = written(cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell"), "banded")
-    cells = cells.drop("n").join(cells.groupBy("f").agg(F.sum("n").alias("weight")), "f")
+    spark = sets.sparkSession
+    cells, roots = sets.select("f", "size", F.explode("bands").alias("cell")), _linked(links) if links is not None else None
+    with scratch(spark) as scope:
+        cells = written(cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell"), "banded")
+        cells = scope.keep(cells.drop("n").join(cells.groupBy("f").agg(F.sum("n").alias("weight")), "f"), "weighed")
     mixed = F.min("root") < F.max("root")  # without links each set is its own
     for level in range(depth + 1):
-        if roots is not None:
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components, one link to a node
-        if level:
-            cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi")
-        cells = cells.withColumn("root", F.col("f")) if roots is None else cells.join(roots, F.col("f") == F.col("node"), "left").select("cell", "f", "size", "weight", F.coalesce("root", "f").alias("root"))
-        cells = written(cells, "shared")
-        pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)) if level else F.struct(-F.col("weight"), "f"))
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), mixed.alias("mixed"), pivot.alias("pivot")).where("mixed").drop("mixed")
-        cells = written(met(cells, sizes, "cell"), "cells")
-        if level < depth:
-            pairs = cells.where("root <> pivot.root").select("f", "size", F.col("pivot").alias("y"))
-        else:
-            small = cells.where(F.col("n") <= room).groupBy("cell").agg(F.collect_list(F.struct("f", "size", "root")).alias("fs"))
-            small = small.select("fs", F.explode("fs").alias("x")).select("x.*", F.explode(F.filter("fs", lambda y: (y.f > F.col("x.f")) & (y.root != F.col("x.root")))).alias("y"))
-            pairs, last = small.select("f", "size", "y"), cells.where(F.col("n") > room)
-            if not last.isEmpty():  # what shares bands and is not similar
-                pairs = pairs.unionByName(_rarest(last, rows, similarity, room).select("f", "size", "y"))
-        pairs = pairs.select("f", "size", F.col("y.f").alias("g"), F.col("y.size").alias("size_b")).where(_fits(similarity))
-        found = _verified(pairs.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")), sets, rows, similarity)
-        roots = components(found if links is None else links.unionByName(found))
+        with scratch(spark) as scope:
+            if roots is not None:
+                links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same components, one link to a node
+            if level:
+                cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi")
+            cells = cells.withColumn("root", F.col("f")) if roots is None else cells.join(roots, F.col("f") == F.col("node"), "left").select("cell", "f", "size", "weight", F.coalesce("root", "f").alias("root"))
+            cells = written(cells, "shared")
+            pivot = F.min_by(F.struct("f", "size", "root"), F.xxhash64("f", F.lit(level)) if level else F.struct(-F.col("weight"), "f"))
+            sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), mixed.alias("mixed"), pivot.alias("pivot")).where("mixed").drop("mixed")
+            cells = scope.keep(met(cells, sizes, "cell"), "cells")
+            if level < depth:
+                pairs = cells.where("root <> pivot.root").select("f", "size", F.col("pivot").alias("y"))
+            else:
+                small = cells.where(F.col("n") <= room).groupBy("cell").agg(F.collect_list(F.struct("f", "size", "root")).alias("fs"))
+                small = small.select("fs", F.explode("fs").alias("x")).select("x.*", F.explode(F.filter("fs", lambda y: (y.f > F.col("x.f")) & (y.root != F.col("x.root")))).alias("y"))
+                pairs, last = small.select("f", "size", "y"), cells.where(F.col("n") > room)
+                if not last.isEmpty():  # what shares bands and is not similar
+                    pairs = pairs.unionByName(_rarest(last, rows, similarity, room).select("f", "size", "y"))
+            pairs = pairs.select("f", "size", F.col("y.f").alias("g"), F.col("y.size").alias("size_b")).where(_fits(similarity))
+            found = _verified(pairs.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")), sets, rows, similarity)
+            roots = scope.keep(_linked(found if links is None else links.unionByName(found)), "roots")
         if level == depth or cells.isEmpty():
             return roots
         cells = cells.where("f <> pivot.f").select("cell", "f", "size", "weight")
